@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from .queries import audits, catalogue, files, fragments, holdouts, sketching
+from .queries.common import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
+FAMILIES = (catalogue, holdouts, fragments, sketching, audits, files)
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["FAMILIES", "ORACLES", "QUERIES"]

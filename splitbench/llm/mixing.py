@@ -1,9 +1,9 @@
 """Mixing sources to target weights by hash-threshold histograms.
 
 Every row has a 60-bit hash of its id.  Words are summed by source and leading
-hash digits; a running sum over at most 2**15 buckets of a source finds the
+hash digits; a running sum over at most 2**10 buckets of a source finds the
 bucket in which the source's budget ends, and only that bucket is looked at with
-the next 15 bits, four times in all.  A row is then taken by comparing its hash
+the next 10 bits, six times in all.  A row is then taken by comparing its hash
 with its source's threshold: nothing is sorted, and no row is moved.
 
 Defined cases: a null text has size 0; null sources are one source, the last; a
@@ -24,7 +24,7 @@ from pyspark.sql.window import Window
 
 from .common import WORD, Numbered, pick, shared_table
 
-LEVELS, BITS = 4, 15
+LEVELS, BITS = 6, 10
 
 
 def word_count(text: Column) -> Column:

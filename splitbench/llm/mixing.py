@@ -25,6 +25,8 @@ from pyspark.sql.window import Window
 from .common import WORD, Numbered, pick, shared_table
 
 LEVELS, BITS = 6, 10
+#: A table with a row of numbers per source is broadcast up to this many sources, else joined by shuffle.
+BROADCAST_ROWS = 10_000
 
 
 def word_count(text: Column) -> Column:
@@ -65,6 +67,11 @@ def _same_source(a: DataFrame, b: DataFrame) -> Column:
     return a["source"].eqNullSafe(b["source"])
 
 
+def _sized(table: DataFrame, rows: int) -> DataFrame:
+    """A driver-made table of that many rows, marked for broadcast if they are few."""
+    return F.broadcast(table) if rows <= BROADCAST_ROWS else table
+
+
 def _rows(df: DataFrame) -> DataFrame:
     return pick(df, "doc_id", "source", "text").select("doc_id", "source", word_count(F.col("text")).alias("size"), id_hash(F.col("doc_id")).alias("hash"))
 
@@ -86,7 +93,7 @@ def plan_mix(rows: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), most: int = 3)
     source = T.StructField("source", T.StringType())
     asked = T.StructType([source, *[T.StructField(c, T.LongType()) for c in ("prefix", "rest")]])
     for level in range(LEVELS):
-        table = spark.createDataFrame([(s, p["edge"], p["rest"]) for s, p in plan.items()], asked)
+        table = _sized(spark.createDataFrame([(s, p["edge"], p["rest"]) for s, p in plan.items()], asked), len(plan))
         here = F.shiftright("hash", BITS * (LEVELS - level)) if level else F.lit(0).cast("long")
         part = rows.join(table, _same_source(rows, table) & (here == table["prefix"])).select(rows["source"], "size", "rest", _bucket(level).alias("bucket"))
         sums = part.groupBy("source", "bucket", "rest").agg(F.sum("size").alias("n"))
@@ -105,7 +112,8 @@ def plan_mix(rows: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), most: int = 3)
 
     fields = [source, T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType())]
     fields += [T.StructField(c, T.LongType()) for c in ("passes", "edge", "rest", "atom")]
-    return spark.createDataFrame([(s, size[s], *[p[c] for c in ("target", "passes", "edge", "rest", "atom")]) for s, p in plan.items()], T.StructType(fields))
+    table = [(s, size[s], *[p[c] for c in ("target", "passes", "edge", "rest", "atom")]) for s, p in plan.items()]
+    return _sized(spark.createDataFrame(table, T.StructType(fields)), len(table))
 
 
 def taken_words() -> Column:

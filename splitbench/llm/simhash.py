@@ -116,34 +116,39 @@ def near_duplicates(df: DataFrame) -> DataFrame:
 
 
 def components_of(rows: DataFrame) -> DataFrame:
-    """(fp, component_id) for the distinct fingerprints of rows (doc_id, fp)."""
+    """(fp, label, component_id) for the distinct fingerprints of rows (doc_id, fp).
+
+    label is a fingerprint that names the component; component_id its smallest
+    id, null if none of its rows has one.
+    """
     classes = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
     labels = connected_components(near_pairs(rows.select("fp").distinct()))
     labelled = classes.join(labels, classes["fp"] == labels["node"], "left").select("fp", "least", F.coalesce("label", "fp").alias("label"), F.col("label").isNotNull().alias("linked"))
     labelled = shared_table(labelled, "simhash-classes")
-    alone = labelled.where(~F.col("linked")).select("fp", F.col("least").alias("component_id"))
+    alone = labelled.where(~F.col("linked")).select("fp", "label", F.col("least").alias("component_id"))
     linked = labelled.where("linked")
     least = linked.groupBy("label").agg(F.min("least").alias("component_id"))
-    return alone.unionByName(linked.join(least, "label").select("fp", "component_id"))
+    return alone.unionByName(linked.join(least, "label").select("fp", "label", "component_id"))
 
 
 def keep_one(df: DataFrame) -> DataFrame:
     """The rows of df without all but one row of each component, df's own columns.
 
-    The row that stays has the smallest id; of equal rows any one, and of
-    components without an id one of the rows with the smallest text.
+    The row that stays has the smallest id; among equal ids, or where there is
+    none, the smallest hash of its text, and of repeated rows one.  Rows are
+    numbered in a shared table, so the choice is made on ids, fingerprints and
+    numbers, and one join brings back the texts.
     """
     on_path(df.sparkSession)
     own = Numbered(df)
     ident, text = F.col(own.place("doc_id")), F.col(own.place("text"))
-    rows = own.df.withColumn("fp", fingerprint_of(text)).withColumn("hash", F.xxhash64(text))
-    rows = shared_table(rows, "simhash-rows")
-    small = rows.select(ident.alias("doc_id"), "fp", "hash")
-    tagged = small.groupBy("doc_id", "fp", "hash").agg(F.count("*").alias("n"))
-    best = tagged.join(components_of(small), "fp").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "hash", "fp")).alias("best"))
-    chosen = best.select("best.doc_id", "best.fp", "best.hash")
-    kept = rows.join(chosen, ident.eqNullSafe(chosen["doc_id"]) & (rows["fp"] == chosen["fp"]) & rows["hash"].eqNullSafe(chosen["hash"]), "left_semi")
-    return own.restore(kept)
+    numbered = own.df.withColumns({"fp": fingerprint_of(text), "row": F.monotonically_increasing_id()})
+    rows = shared_table(numbered, "simhash-rows")
+    small = rows.select(ident.alias("doc_id"), "fp", F.xxhash64(text).alias("hash"), "row")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id"), F.col("hash"), F.col("row")))
+    per_class = small.groupBy("fp").agg(first.alias("best"))
+    best = per_class.join(components_of(small), "fp").groupBy("label").agg(F.min("best").alias("best"))
+    return own.restore(rows.join(best.select(F.col("best.row").alias("row")), "row", "left_semi"))
 
 
 def digest_components(found: DataFrame) -> DataFrame:

@@ -39,9 +39,9 @@ class Numbered:
         folded = [c.lower() for c in self.names]
         return f"_own_{self.names.index(name) if name in self.names else folded.index(name.lower())}"
 
-    def restore(self, df: DataFrame) -> DataFrame:
-        """Only the frame's own columns, under their own names."""
-        return df.select(*[F.col(f"_own_{i}").alias(n) for i, n in enumerate(self.names)])
+    def restore(self, df: DataFrame, *more: str) -> DataFrame:
+        """The frame's own columns under their own names, and df's columns ``more``, which replace own ones."""
+        return df.select(*[F.col(f"_own_{i}").alias(n) for i, n in enumerate(self.names) if n not in more], *more)
 
 
 def on_path(spark: SparkSession) -> SparkSession:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import on_path
+from .common import Numbered, on_path
 from .webp import decode_all, encode_payload, payload_of
 
 IMAGES = "array<struct<width int, height int, pixels binary>>"
@@ -88,19 +88,22 @@ def described(media: Column | str) -> Column:
     return F.arrow_udf(_describe, DESCRIBED)(media)
 
 
+def _add(df: DataFrame, source: str, make, to: str) -> DataFrame:
+    on_path(df.sparkSession)
+    own = Numbered(df)
+    return own.restore(own.df.withColumn(to, make(own.place(source))), to)
+
+
 def store_texts(df: DataFrame, text: str = "text", to: str = "media") -> DataFrame:
     """df with the texts stored in a media column."""
-    on_path(df.sparkSession)
-    return df.withColumn(to, stored(text))
+    return _add(df, text, stored, to)
 
 
 def decode_media(df: DataFrame, media: str = "media", to: str = "images") -> DataFrame:
     """df with the media column's pixel arrays."""
-    on_path(df.sparkSession)
-    return df.withColumn(to, images(media))
+    return _add(df, media, images, to)
 
 
 def describe_media(df: DataFrame, media: str = "media", to: str = "described") -> DataFrame:
     """df with sizes, digests and features of what the media column decodes to."""
-    on_path(df.sparkSession)
-    return df.withColumn(to, described(media))
+    return _add(df, media, described, to)

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK, WORD, pick
+from .common import BLANK, WORD, Numbered, pick
 
 WINDOW = 5
 SYMBOLS = r"[#*$%&|<>]+"
@@ -155,16 +155,18 @@ def order_rules(df: DataFrame, rules: list[Rule], sample_rows: int = 2000, seed:
     return order
 
 
-def quality_cascade(df: DataFrame, rules: list[Rule] | None = None, before: Column | None = None, sample_rows: int = 2000) -> DataFrame:
+def quality_cascade(df: DataFrame, rules: list[Rule] | None = None, before: str | None = None, sample_rows: int = 2000) -> DataFrame:
     """df with kept and failed_rule (null if kept), rules in order of rejections per cost.
 
-    ``before`` is a condition known already: rows for which it holds are rejected
-    as ``before`` without looking at any rule.  A CASE evaluates its branches in
-    order and stops at the first that holds.
+    ``before`` names a boolean column of df that is known already: rows for which
+    it holds are rejected as ``before`` without looking at any rule.  A CASE
+    evaluates its branches in order and stops at the first that holds.
     """
-    df = df.drop("kept", "failed_rule")
-    ordered = order_rules(df, default_rules() if rules is None else rules, sample_rows)
-    verdict = F.when(F.lit(False) if before is None else before, F.lit("before"))
+    own = Numbered(df)
+    rows = own.df.withColumn("text", F.col(own.place("text")))
+    ordered = order_rules(rows, default_rules() if rules is None else rules, sample_rows)
+    verdict = F.when(F.lit(False) if before is None else F.col(own.place(before)), F.lit("before"))
     for rule in ordered:
         verdict = verdict.when(rule.fails, F.lit(rule.name))
-    return df.withColumn("failed_rule", verdict).withColumn("kept", F.col("failed_rule").isNull())
+    judged = rows.withColumn("failed_rule", verdict).withColumn("kept", F.col("failed_rule").isNull())
+    return own.restore(judged, "kept", "failed_rule")

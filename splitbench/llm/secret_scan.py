@@ -237,8 +237,9 @@ def redact_secrets(df: DataFrame, rate: float = 0.01, mask: str = "[SECRET]") ->
 
     masked = F.aggregate(spans, begin, step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1)))
     changed = F.size(spans) > 0
-    new = {name: F.when(changed, masked).otherwise(text)}
+    out = found.withColumn("changed", changed).withColumn("new", F.when(changed, masked).otherwise(text))
+    out = out.withColumn(name, F.col("new"))
     if "n_chars" in own.names:
         count = own.place("n_chars")
-        new[count] = F.when(changed, F.length(masked).cast("long")).otherwise(F.col(count))
-    return own.restore(found.withColumns(new))
+        out = out.withColumn(count, F.when(F.col("changed"), F.length("new").cast("long")).otherwise(F.col(count)))
+    return own.restore(out)

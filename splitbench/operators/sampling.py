@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import random
+from bisect import bisect_right
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..errors import InputError, require_empty
 from ..functions import dna, hashing
+from ..session import materialize
 
 MAX_ATTEMPTS = 10_000
 FIRST_ATTEMPTS = 8
@@ -89,7 +94,7 @@ def sample_fragments(
         accepted, first, size = None, 0, FIRST_ATTEMPTS
         while True:
             tries = wanted.withColumn("attempt", F.explode(F.sequence(F.lit(first), F.lit(first + size - 1))))
-            good = _drawn(tries, space, contigs, seed, strand_mode).where(fine)
+            good = materialize(_drawn(tries, space, contigs, seed, strand_mode).where(fine), "draws")
             best = good.groupBy(*keys).agg(F.min("attempt").alias("attempt"))
             got = good.join(best, [*keys, "attempt"], "left_semi")
             accepted = got if accepted is None else accepted.unionByName(got)
@@ -160,3 +165,51 @@ def reconstruction_violations(fragments: DataFrame, contigs: DataFrame) -> DataF
 
 def semantic_order(df: DataFrame, seed: int, namespace: str, ident: str) -> DataFrame:
     return df.orderBy(hashing.semantic_rank(seed, f"output-order:{namespace}", F.col(ident)), ident)
+
+
+SEQUENTIAL = "fragment_id string, sequence string, genome_id string, sequence_id string, start long, end long, strand string, fragment_length long, local_index long"
+
+
+def sample_sequential(contigs: DataFrame, lengths: list[int], per_genome: int, seed: int, max_ambiguous: float = 0.05, strand_mode: str = "both") -> DataFrame:
+    """The sampler as one seeded generator per genome and length, draw after draw.
+
+    Rejected draws advance the generator, so a genome is one group of one task;
+    sample_fragments() is the parallel form.
+    """
+    turned = str.maketrans(dna.IUPAC, dna.COMPLEMENT)
+    names = [f.split()[0] for f in SEQUENTIAL.split(", ")]
+
+    def sample(pdf: pd.DataFrame) -> pd.DataFrame:
+        genome = pdf["genome_id"].iloc[0]
+        sources = sorted(zip(pdf["sequence_id"], pdf["sequence"], pdf["topology"]))
+        share, more = divmod(per_genome, len(lengths))
+        order = list(lengths)
+        random.Random(hashing.derive_seed(seed, "length-balance", genome)).shuffle(order)
+        rows = []
+        for n in lengths:
+            fit = [s for s in sources if len(s[1]) >= n]
+            ends, total = [], 0
+            for _, s, topology in fit:
+                total += len(s) if topology == "circular" else len(s) - n + 1
+                ends.append(total)
+            if not total:
+                raise InputError(f"genome {genome} has no contig of {n}")
+            place = random.Random(hashing.derive_seed(seed, "coordinates", genome, n))
+            strand = random.Random(hashing.derive_seed(seed, "strands", genome, n))
+            for i in range(share + (n in order[:more])):
+                for _ in range(MAX_ATTEMPTS):
+                    ticket = place.randrange(total)
+                    at = bisect_right(ends, ticket)
+                    ident, source, _ = fit[at]
+                    start = ticket - (ends[at - 1] if at else 0)
+                    piece = (source + source)[start : start + n]
+                    if sum(c not in "ACGT" for c in piece) / n <= max_ambiguous:
+                        break
+                else:
+                    raise InputError(f"no clear window in genome {genome}")
+                minus = strand_mode == "both" and strand.random() < 0.5
+                name = hashing.derive_seed(seed, "fragment-id", genome, ident, n, i, start, "-" if minus else "+")
+                rows.append((f"frag-{name:032x}", piece.translate(turned)[::-1] if minus else piece, genome, ident, start, start + n, "-" if minus else "+", n, i))
+        return pd.DataFrame(rows, columns=names)
+
+    return contigs.select("genome_id", "sequence_id", "sequence", "topology").groupBy("genome_id").applyInPandas(sample, SEQUENTIAL)

@@ -1 +1,116 @@
-"""Queries that read and write files; filled by the sources and sinks."""
+"""Queries that read and write files: FASTA, metadata, similarity tables, and whole bundles."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+from pathlib import Path
+
+from pyspark.sql import functions as F
+
+from .. import sinks
+from ..config import BenchmarkConfig
+from ..operators import sampling
+from ..plans import benchmark
+from ..plans.validate import validate_bundle
+from ..session import shared_folder
+from ..sources import adapters, fasta, tables
+from .common import SEED, SQL_CONTIGS, query
+from .fragments import source_contigs
+
+
+def _fasta_folder(spark, sf_dir) -> str:
+    """All documents' contigs as FASTA files in the shared folder, sequences in two lines."""
+    c = adapters.contigs_from_documents(spark, sf_dir)
+    half = (F.length("sequence") / 2).cast("int")
+    body = F.concat_ws("\n", F.substr("sequence", F.lit(1), half), F.lower(F.substr("sequence", half + 1)))
+    path = f"{shared_folder(spark)}/fasta-{uuid.uuid4().hex}"
+    c.select(F.concat(F.lit(">"), "sequence_id", F.lit(" from "), "genus", F.lit("\n"), body)).write.text(path)
+    return path
+
+
+_SCANNED = f"WITH {SQL_CONTIGS} SELECT sequence_id, 'from ' || genus AS description, sha256(sequence) AS sha256 FROM contigs"
+
+
+@query(_SCANNED)
+def fasta_scan(spark, sf_dir):
+    """The strict reader, with the place of every fault."""
+    rows = fasta.scan(spark, [_fasta_folder(spark, sf_dir)])
+    return rows.where("error is null").select("sequence_id", "description", F.sha2("sequence", 256).alias("sha256"))
+
+
+@query(_SCANNED)
+def fasta_scan_large(spark, sf_dir):
+    """The splitting reader for large plain files."""
+    rows = fasta.scan_large(spark, _fasta_folder(spark, sf_dir))
+    return rows.select("sequence_id", "description", F.sha2("sequence", 256).alias("sha256"))
+
+
+@query("""SELECT 'o-' || o_orderkey AS sequence_id, 'c-' || o_custkey AS genome_id, 'virus' AS label, CAST(o_orderdate AS DATE) AS release_date, 'linear' AS topology, o_orderpriority AS family, o_orderstatus AS status FROM orders""")
+def metadata_scan(spark, sf_dir):
+    """Metadata written as TSV under odd headers and read back typed."""
+    o = adapters.table(spark, sf_dir, "orders")
+    cells = o.select(
+        F.concat(F.lit("o-"), "o_orderkey").alias("Sequence-ID"), F.concat(F.lit("c-"), "o_custkey").alias("genome id"), F.lit(" VIRUS ").alias("LABEL"),
+        F.date_format("o_orderdate", "yyyy-MM-dd").alias("release_date"), F.lit("").alias("family"), F.col("o_orderpriority").alias("tax_family"), F.col("o_orderstatus").alias("Status"),
+    )
+    path = f"{shared_folder(spark)}/metadata-{uuid.uuid4().hex}"
+    cells.write.csv(path, sep="\t", header=True, quote='"', escape='"', emptyValue="")
+    m = tables.read_metadata(spark, path)
+    return m.select("sequence_id", "genome_id", "label", "release_date", "topology", F.col("taxonomy")["family"].alias("family"), F.col("metadata_extra")["status"].alias("status"))
+
+
+@query("""WITH m AS (SELECT 's' || l_suppkey AS q, 'p' || l_partkey AS r, CASE WHEN l_linenumber <> 7 THEN round(l_discount * 10, 2) END AS s, CASE WHEN l_linenumber % 3 <> 1 THEN round(1 - 10 * l_tax, 2) END AS c,
+    CASE WHEN l_linenumber = 2 THEN 'aligner' ELSE 'aligner-1' END AS method FROM lineitem), rows AS (SELECT q, r, CASE WHEN (s IS NULL) <> (c IS NULL) THEN 'similarity_and_coverage_must_both_be_blank_or_filled'
+    WHEN s IS NOT NULL AND (s NOT BETWEEN 0 AND 1 OR c NOT BETWEEN 0 AND 1) THEN 'not_a_fraction' WHEN method = 'aligner' THEN 'method_without_version' END AS chk FROM m),
+  everything AS (SELECT chk FROM rows WHERE chk IS NOT NULL UNION ALL SELECT 'repeated_pair' FROM (SELECT q, r FROM m GROUP BY q, r HAVING count(*) > 1)
+    UNION ALL SELECT 'missing_pairs' FROM (SELECT s_suppkey FROM supplier LEFT JOIN m ON q = 's' || s_suppkey GROUP BY s_suppkey HAVING count(DISTINCT r) < (SELECT count(*) FROM part)))
+SELECT chk AS "check", count(*) AS n FROM everything GROUP BY chk""")
+def similarity_table_violations(spark, sf_dir):
+    """Everything that the line items would do wrong as a similarity table, by kind."""
+    li = adapters.table(spark, sf_dir, "lineitem")
+    t = li.select(
+        F.concat(F.lit("s"), "l_suppkey").alias("query_genome_id"), F.concat(F.lit("p"), "l_partkey").alias("reference_genome_id"),
+        F.when(F.col("l_linenumber") != 7, F.round(F.col("l_discount") * 10, 2)).cast("string").alias("similarity"),
+        F.when(F.col("l_linenumber") % 3 != 1, F.round(1 - 10 * F.col("l_tax"), 2)).cast("string").alias("coverage"), F.lit("aligned_fraction_shorter").alias("coverage_definition"),
+        F.when(F.col("l_linenumber") == 2, "aligner").otherwise("aligner-1").alias("method"),
+    )
+    q = adapters.table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("genome_id"))
+    r = adapters.table(spark, sf_dir, "part").select(F.concat(F.lit("p"), "p_partkey").alias("genome_id"))
+    return tables.similarity_violations(t, q, r).groupBy("check").agg(F.count("*").alias("n"))
+
+
+@query()
+def fragment_sample_sequential(spark, sf_dir):
+    """The sampler with sequential draws of a seeded generator per genome."""
+    return sampling.sample_sequential(source_contigs(spark, sf_dir), [31, 61], 20, SEED, 1.0)
+
+
+def _bundle(spark, sf_dir) -> Path:
+    """A bundle of two protocols from the documents' longest sequence of each source and label."""
+    c = source_contigs(spark, sf_dir).where(F.length("sequence") >= 61)
+    best = c.groupBy("genome_id", "label").agg(F.max_by(F.struct("sequence_id", "sequence", "release_date", "family"), F.struct(F.length("sequence"), "sequence_id")).alias("b"))
+    rows = best.select("label", "b.*").dropDuplicates(["sequence"]).orderBy("sequence_id")
+    folder = Path(tempfile.mkdtemp(prefix="bundle-"))
+    for label in ("virus", "host"):
+        sinks.write(folder / f"{label}.fa.gz", sinks.fasta(rows.where(F.col("label") == label)))
+    sinks.write(folder / "metadata.tsv", sinks.tsv(rows.select("sequence_id", "label", "release_date", "family")))
+    config = BenchmarkConfig(
+        (str(folder / "virus.fa.gz"),), (str(folder / "host.fa.gz"),), str(folder / "bundle"), str(folder / "metadata.tsv"), splits=("genome", "temporal"), fragment_lengths=(31, 61),
+        fragments_per_genome=4, duplicate_policy="drop", max_ambiguous_fraction=1.0,
+    )
+    benchmark.generate(spark, config)
+    return folder / "bundle"
+
+
+@query()
+def bundle_roundtrip(spark, sf_dir):
+    """Write a bundle (validated before it appears) and list its files with their digests."""
+    root = _bundle(spark, sf_dir)
+    return spark.createDataFrame(sorted(sinks.read_checksums(root).items()), "file string, sha256 string")
+
+
+@query()
+def bundle_validate(spark, sf_dir):
+    report = validate_bundle(spark, _bundle(spark, sf_dir))
+    return spark.createDataFrame([(report["files"], report["genomes"], ",".join(report["splits"]))], "files long, genomes long, splits string")

@@ -88,7 +88,10 @@ def scan(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 def read(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Checked records: source_path, sequence_id, description, sequence."""
-    rows = materialize(scan(spark, discover(paths)), "records")
+    files = discover(paths)
+    rows = materialize(scan(spark, files), "records")
+    if rows.select("source_path").distinct().count() < len(files):  # empty files give no row at all
+        raise InputError("a FASTA file has no record")
     require_empty(rows.where("error is not null").select("error"), "malformed FASTA")
     twice = rows.groupBy("sequence_id").agg(F.count("*").alias("n"), F.min("source_path").alias("first"), F.max("source_path").alias("last")).where("n > 1")
     require_empty(twice, "sequence identifiers repeat")

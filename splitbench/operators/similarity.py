@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import dna, hashing
 
@@ -12,11 +13,16 @@ NO_MATCH = "no_detectable_match"
 
 
 def chunks(df: DataFrame, k: int, sequence: str = "sequence", size: int = CHUNK) -> DataFrame:
-    """df's other columns with piece: stretches that hold each k-mer exactly once."""
+    """df's other columns with piece: stretches that hold each k-mer exactly once.
+
+    Stretches are dealt evenly: one long sequence, or a file that one task reads,
+    does not leave the twentyfold larger expansion to one core.
+    """
     keep = [c for c in df.columns if c != sequence]
     long_enough = df.where(F.length(sequence) >= k)
     at = F.explode(F.sequence(F.lit(0), F.floor((F.length(sequence) - k) / size).cast("int"))).alias("_c")
-    return long_enough.select(*keep, sequence, at).select(*keep, F.expr(f"substring({sequence}, _c * {size} + 1, {size + k - 1})").alias("piece"))
+    pieces = long_enough.select(*keep, sequence, at).select(*keep, "_c", F.expr(f"substring({sequence}, _c * {size} + 1, {size + k - 1})").alias("piece"))
+    return pieces.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keep, "_c").drop("_c")
 
 
 def kmers(df: DataFrame, k: int, sequence: str = "sequence") -> DataFrame:
@@ -31,6 +37,22 @@ def canonical_kmers(df: DataFrame, k: int, sequence: str = "sequence") -> DataFr
     return kmers(df, k, sequence).withColumn("kmer", dna.canonical(F.col("kmer")))
 
 
+def kmer_hashes(df: DataFrame, k: int, sequence: str = "sequence") -> DataFrame:
+    """The hash of every unambiguous canonical k-mer occurrence, beside df's other columns.
+
+    A stretch is complemented once; the reverse complement of its i-th k-mer is a
+    slice of that.  Only stretches with an ambiguous letter look at each k-mer.
+    """
+    pieces = chunks(df, k, sequence)
+    keep = [c for c in pieces.columns if c != "piece"]
+    both = pieces.select(*keep, "piece", dna.reverse_complement(F.col("piece")).alias("back"), F.col("piece").rlike("[^ACGT]").alias("unclear"))
+    at = both.select("*", F.explode(F.sequence(F.lit(1), F.length("piece") - (k - 1))).alias("_i"))
+    here = F.substr("piece", "_i", F.lit(k))
+    back = F.substr("back", F.length("piece") - F.col("_i") - (k - 2), F.lit(k))
+    hashed = F.when(~(F.col("unclear") & here.rlike("[^ACGT]")), hashing.kmer_hash(F.least(here, back)))
+    return at.select(*keep, hashed.alias("h")).where("h is not null")
+
+
 def sketches(df: DataFrame, k: int, size: int, genome: str = "genome_id", sequence: str = "sequence", blake2: bool = False) -> DataFrame:
     """(genome, hashes, unique_kmers, is_exact): the ``size`` smallest distinct k-mer hashes.
 
@@ -38,11 +60,13 @@ def sketches(df: DataFrame, k: int, size: int, genome: str = "genome_id", sequen
     genome, so no task holds all hashes of a genome.  unique_kmers stops at
     size + 1, which means: more than the sketch holds.
     """
-    canon = canonical_kmers(df.select(genome, sequence), k, sequence).distinct()
-    hashed = canon.select(genome, (hashing.kmer_hash_blake2 if blake2 else hashing.kmer_hash)(F.col("kmer")).alias("h")).distinct()
-    from pyspark.sql.window import Window
-
-    first = hashed.withColumn("_rn", F.row_number().over(Window.partitionBy(genome).orderBy("h"))).where(F.col("_rn") <= size + 1)
+    own = df.select(genome, sequence)
+    if blake2:
+        hashed = canonical_kmers(own, k, sequence).distinct().select(genome, hashing.kmer_hash_blake2(F.col("kmer")).alias("h"))
+    else:
+        hashed = kmer_hashes(own, k, sequence)
+    order = Window.partitionBy(genome).orderBy("h")
+    first = hashed.distinct().withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= size + 1)
     held = first.groupBy(genome).agg(F.sort_array(F.collect_list("h")).alias("all"))
     return held.select(
         genome,

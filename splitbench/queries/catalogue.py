@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dna, hashing, text
 from ..operators import catalog, similarity
+from ..session import materialize
 from ..sources import adapters
 from .common import SQL_CONTIGS, SQL_GENOMES, genomes_from_documents, query, sql_digest, sql_rc
 
@@ -122,7 +123,8 @@ _DUP = f"""WITH {SQL_GENOMES}, d AS (SELECT *, CASE WHEN doc_id % 7 <> 0 THEN re
 
 
 def _dated(spark, sf_dir):
-    return genomes_from_documents(spark, sf_dir).withColumn("release_date", F.when(F.col("doc_id") % 7 != 0, F.col("release_date")))
+    g = genomes_from_documents(spark, sf_dir).drop("sequence")
+    return materialize(g.withColumn("release_date", F.when(F.col("doc_id") % 7 != 0, F.col("release_date"))), "genomes")
 
 
 @query(f"{_DUP} SELECT genome_id, label, CASE WHEN rep <> genome_id THEN rep END AS duplicate_of, CASE WHEN rep <> genome_id THEN 'same_class_content_duplicate' END AS reason FROM r")

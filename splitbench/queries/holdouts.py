@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import hashing
 from ..operators import audit, catalog
 from ..plans import protocols
+from ..session import materialize
 from ..sources import adapters
 from .common import SEED, SQL_GENOMES, genomes_from_documents, query, sql_draw, sql_ranked
 
@@ -15,8 +16,12 @@ _ONE = f"""WITH {SQL_GENOMES}, clean AS (SELECT * FROM genomes WHERE group_id NO
 
 
 def clean_genomes(spark, sf_dir):
-    """Genomes of groups that have one label: what is left after the conflict check."""
+    """Genomes of groups that have one label: what is left after the conflict check.
+
+    Digests are computed once; what follows works on ids and digests, not sequences.
+    """
     g = genomes_from_documents(spark, sf_dir).select("genome_id", "doc_id", "label", "group_id", "digest", "family", "genus", "release_date")
+    g = materialize(g, "genomes")
     return g.join(catalog.cross_label_conflicts(g, "digest").select("digest"), "digest", "left_anti")
 
 

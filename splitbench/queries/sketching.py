@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import dna
 from ..operators import audit, similarity, stats
 from ..plans import protocols
+from ..session import materialize
 from ..sources import adapters
 from .common import SEED, SQL_CONTIGS, query, sql_ranked, sql_rc
 
@@ -62,7 +63,7 @@ def _sides(spark, sf_dir):
     """Sketches of documents as queries and of benchmark items as references."""
     docs = adapters.contigs_from_documents(spark, sf_dir).select("genome_id", "sequence")
     items = adapters.table(spark, sf_dir, "benchmark").select(F.concat(F.lit("item-"), "item_id").alias("genome_id"), adapters.nucleotides(F.col("text")).alias("sequence"))
-    q = similarity.sketches(docs, K, SIZE).withColumnRenamed("genome_id", "query_id")
+    q = materialize(similarity.sketches(docs, K, SIZE), "sketches").withColumnRenamed("genome_id", "query_id")
     r = similarity.sketches(items, K, SIZE).withColumnRenamed("genome_id", "reference_id")
     return q, r
 
@@ -130,7 +131,7 @@ def strict_gate(spark, sf_dir):
     """The similarity-filtered holdout of all documents: proposal, nearest training genome, gate, band."""
     c = adapters.contigs_from_documents(spark, sf_dir).withColumn("group_id", F.col("genome_id"))
     proposal = protocols.similarity_proposal(c.select("genome_id", "label", "group_id"), 0.2, SEED)
-    hits = protocols.sketch_hits(proposal, similarity.sketches(c, K, SIZE), K, SIZE, 0.95)
+    hits = protocols.sketch_hits(materialize(proposal, "proposal"), materialize(similarity.sketches(c, K, SIZE), "sketches"), K, SIZE, 0.95)
     final = protocols.apply_gate(proposal, hits, 0.95)
     return final.select("genome_id", "label", "partition", "candidate_partition", "reason", "similarity_bin", F.round("max_train_similarity", 9).alias("max_train_similarity"))
 
@@ -140,7 +141,7 @@ def similarity_recheck(spark, sf_dir):
     """Evidence that contradicts its plan after planted edits."""
     c = adapters.contigs_from_documents(spark, sf_dir).withColumn("group_id", F.col("genome_id"))
     proposal = protocols.similarity_proposal(c.select("genome_id", "label", "group_id"), 0.2, SEED)
-    final = protocols.apply_gate(proposal, protocols.sketch_hits(proposal, similarity.sketches(c, K, SIZE), K, SIZE, 0.95), 0.95)
+    final = protocols.apply_gate(proposal, protocols.sketch_hits(proposal, materialize(similarity.sketches(c, K, SIZE), "sketches"), K, SIZE, 0.95), 0.95)
     edited = final.withColumn("partition", F.when(F.col("partition") == "excluded", "test").otherwise(F.col("partition")))
     return audit.similarity_violations(edited, 0.95)
 

@@ -44,8 +44,15 @@ class Numbered:
         return df.select(*[F.col(f"_own_{i}").alias(n) for i, n in enumerate(self.names) if n not in more], *more)
 
 
+#: Rows that an Arrow batch may hold on its way to Python: texts may be long, and a worker holds a batch.
+BATCH_ROWS = 1000
+_BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def on_path(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package even if the driver found it by sys.path."""
+    """Let Python workers import this package even if the driver found it by sys.path, and bound their batches."""
+    if not 0 < int(spark.conf.get(_BATCH_CONF, "10000")) <= BATCH_ROWS:
+        spark.conf.set(_BATCH_CONF, str(BATCH_ROWS))
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(":"):

@@ -61,22 +61,25 @@ def has_letter(text: str | None) -> bool:
     return any(map(str.isalpha, text or ""))
 
 
-def fit_svm(x: np.ndarray, y: np.ndarray, c: float = 4.0, passes: int = 15) -> np.ndarray:
-    """Weights (bias last) of a linear SVM with squared hinge loss, by dual coordinate descent.
+def fit_svm(x: np.ndarray, y: np.ndarray, rows: np.ndarray | None = None, c: float = 4.0, passes: int = 15) -> np.ndarray:
+    """Weights of a linear SVM with squared hinge loss, by dual coordinate descent.
 
-    y is +1 or -1; each class's cost is scaled so that both weigh the same.
+    x has the bias as its last column and is not copied; only ``rows`` of it are
+    used, if given.  y is +1 or -1 for each of these; each class's cost is scaled
+    so that both weigh the same.
     """
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
+    rows = np.arange(len(x)) if rows is None else rows
     share = np.where(y > 0, (y > 0).mean(), (y < 0).mean())
     slack = share / c  # 1 / (2 C) with C = c / (2 share)
-    q = (x * x).sum(axis=1) + slack
-    w, alpha, rng = np.zeros(x.shape[1], np.float64), np.zeros(len(x)), np.random.default_rng(11)
+    q = np.array([(x[r] * x[r]).sum() for r in rows]) + slack
+    w, alpha, rng = np.zeros(x.shape[1], np.float64), np.zeros(len(rows)), np.random.default_rng(11)
     for _ in range(passes):
-        for i in rng.permutation(len(x)):
-            step = max(alpha[i] - (y[i] * (x[i] @ w) - 1 + alpha[i] * slack[i]) / q[i], 0.0) - alpha[i]
+        for i in rng.permutation(len(rows)):
+            own = x[rows[i]]
+            step = max(alpha[i] - (y[i] * (own @ w) - 1 + alpha[i] * slack[i]) / q[i], 0.0) - alpha[i]
             if step:
                 alpha[i] += step
-                w += step * y[i] * x[i]
+                w += step * y[i] * own
     return w.astype(np.float32)
 
 
@@ -108,6 +111,7 @@ class LanguageModel:
 
 
 def fit(x: np.ndarray, lang: list[str]) -> LanguageModel:
+    """The machines for rows x, bias last, and their languages."""
     langs = np.array(lang)
     families: dict[str, list[str]] = {}
     for s in sorted(set(lang)):
@@ -117,8 +121,8 @@ def fit(x: np.ndarray, lang: list[str]) -> LanguageModel:
     pairs = {}
     for members in families.values():
         for a, b in combinations(members, 2):
-            rows = np.isin(langs, (a, b))
-            pairs[a, b] = fit_svm(x[rows], side(langs[rows] == a))
+            rows = np.flatnonzero(np.isin(langs, (a, b)))
+            pairs[a, b] = fit_svm(x, side(langs[rows] == a), rows)
     return LanguageModel(families, family_weights, pairs)
 
 
@@ -129,16 +133,20 @@ def _snippet(text: str) -> str:
 
 
 def _training_rows(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Features of a text, then of its snippet: the places of those that are not zero, and their values."""
     for batch in texts:
-        both = [(features(t), features(_snippet(t))) for t in (v.as_py() for v in batch)]
-        yield pa.array([np.concatenate(b).tobytes() for b in both], pa.binary())
+        both = [np.concatenate((features(t), features(_snippet(t)))) for t in (v.as_py() for v in batch)]
+        places = [np.flatnonzero(b).astype(np.uint16) for b in both]
+        columns = [[p.tobytes() for p in places], [b[p].tobytes() for b, p in zip(both, places)]]
+        yield pa.StructArray.from_arrays([pa.array(c, pa.binary()) for c in columns], ["at", "value"])
 
 
 def train(labelled: DataFrame, sample_rows: int = 1600) -> LanguageModel:
     """Fit on about ``sample_rows`` of the rows (doc_id, text, lang), as many of each language.
 
     The sample is by hash of id and text, so it does not depend on the rows'
-    order; only features of the sample reach the driver.
+    order; only features of the sample reach the driver, which holds them once
+    (32 KB a sample row).
     """
     rows = labelled.where("lang is not null and text is not null and text rlike '\\\\p{L}'")
     counts = {r["lang"]: r["count"] for r in labelled.where("lang is not null and text is not null").groupBy("lang").count().collect()}
@@ -150,14 +158,20 @@ def train(labelled: DataFrame, sample_rows: int = 1600) -> LanguageModel:
     for lang, n in counts.items():
         wanted = wanted | ((F.col("lang") == lang) & (place < int(min(1.0, 1.3 * each / n) * (1 << 30))))
     sample = rows.withColumn("place", place).where(wanted).limit(2 * each * len(counts))
-    found = sample.select("lang", "place", "doc_id", F.arrow_udf(_training_rows, "binary")("text").alias("x")).collect()
+    found = sample.select("lang", "place", "doc_id", F.arrow_udf(_training_rows, "at binary, value binary")("text").alias("x")).collect()
     found.sort(key=lambda r: (r["lang"], r["place"], str(r["doc_id"])))
-    taken: dict[str, list[bytes]] = {}
+    taken: dict[str, list] = {}
     for r in found:
         if len(own := taken.setdefault(r["lang"], [])) < each:
-            own.append(bytes(r["x"]))
+            own.append(r["x"])
     lang = [s for s, own in taken.items() for _ in range(2 * len(own))]
-    x = np.frombuffer(b"".join(b for own in taken.values() for b in own), np.float32).reshape(-1, WIDTH)
+    x = np.zeros((len(lang), WIDTH + 1), np.float32)
+    x[:, WIDTH] = 1
+    both = np.empty(2 * WIDTH, np.float32)
+    for k, sparse in enumerate(v for own in taken.values() for v in own):
+        both[:] = 0
+        both[np.frombuffer(sparse["at"], np.uint16)] = np.frombuffer(sparse["value"], np.float32)
+        x[2 * k : 2 * k + 2, :WIDTH] = both.reshape(2, WIDTH)
     return fit(x, lang)
 
 

@@ -1,13 +1,17 @@
 """Best-fit packing of tokenised documents by hierarchical residual packing.
 
 Each partition tokenises its documents, cuts the long ones and packs the pieces
-by best fit, longest first, a block of pieces at a time.  Bins that are nearly
-full are final.  The others, at most ``OPEN`` of a partition, go up a tree as
-single items: a node packs the bins of ``FAN`` nodes by best fit again, finals
-again the nearly full ones, and passes on the rest.  Only bins move in the tree,
-each with the places of the bins inside it; pieces are not moved until a join
-gives those in merged bins their final place.  A bin that a node does not pass
-on is final as it is: nothing is lost, it is only not filled further.
+by best fit, longest first, a block of pieces at a time; every bin with room is
+open until the partition ends.  The open bins then go up a tree as single items:
+a node packs the bins of ``FAN`` nodes by best fit again and passes them on.
+Only bins move in the tree, each with the places of the bins inside it; pieces
+are not moved until a join gives those in merged bins their final place.
+
+Of two bins that fit into one, the smaller is at most half full, and best fit
+leaves a partition at most one such bin.  With n of them no fuller than g, at
+most n bins with room g are ever filled further, and bins of equal room are as
+good as each other: a node reads and passes on n of each room, and the packing
+is the one without that limit.
 
 Defined cases: a null or empty text is one piece holding the end id alone;
 repeated rows and null ids are documents of their own; texts of any length are
@@ -18,6 +22,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import itertools
 import os
 import re
 import zlib
@@ -27,7 +32,7 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import on_path, pick, shared_table
@@ -35,8 +40,7 @@ from .common import on_path, pick, shared_table
 CAPACITY = 1024
 END_ID = 2
 BLOCK = 1 << 16
-#: A bin with this little room left is final; of the others, so many go on from a partition or node.
-FULL, OPEN, FAN = 4, 1024, 8
+FAN = 8
 #: Characters on which the two tokenizer libraries agree by construction: their tables of letters and blanks are the same here.
 PLAIN = re.compile(r"[\t-\r\x20-\x7e\xa0-ɏ]*")
 
@@ -103,15 +107,6 @@ class BestFit:
         self.add(bin_id, free - length)
         return bin_id, self.capacity - free
 
-    def trim(self, full: int, most: int) -> None:
-        """Let go of bins with at most ``full`` room, and of all but the ``most`` with the most room."""
-        kept = BestFit(self.capacity)
-        for free in range(self.capacity, full, -1):
-            for bin_id in self.by_free[free][: most]:
-                kept.add(bin_id, free)
-            most -= min(most, len(self.by_free[free]))
-        self.by_free, self.some = kept.by_free, kept.some
-
     def bins(self) -> Iterator[tuple[int, int]]:
         for free, held in enumerate(self.by_free):
             for bin_id in held:
@@ -148,7 +143,6 @@ def _packer(path: str, ranks_path: str | None, capacity: int):
                     fit.add(at[0], capacity - length)
                 rows.append((doc_id, piece, start, length, crc, *at, node))
             held = []
-            fit.trim(FULL, OPEN)
             return batch(rows)
 
         for b in batches:
@@ -159,7 +153,9 @@ def _packer(path: str, ranks_path: str | None, capacity: int):
             if len(held) >= BLOCK:
                 yield place()
         yield place()
-        yield batch([(None, OPEN_BIN, 0, capacity - free, 0, bin_id, 0, node) for bin_id, free in fit.bins()])
+        bins = fit.bins()
+        while rows := [(None, OPEN_BIN, 0, capacity - free, 0, bin_id, 0, node) for bin_id, free in itertools.islice(bins, BLOCK)]:
+            yield batch(rows)
 
     return pack
 
@@ -167,7 +163,7 @@ def _packer(path: str, ranks_path: str | None, capacity: int):
 MERGED = "node long, bin long, fill long, inside array<struct<bin:long,base:long>>, open boolean"
 
 
-def _merger(capacity: int):
+def _merger(capacity: int, needed: list[int]):
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         """Best fit of a node's bins, fullest first."""
         fit, inside, fill = BestFit(capacity), {}, {}
@@ -181,8 +177,7 @@ def _merger(capacity: int):
                 into, base = at
                 inside[into] += [(b, base + o) for b, o in held]
                 fill[into] += size
-        fit.trim(FULL, OPEN)
-        still = {b for b, _ in fit.bins()}
+        still = {b for free, held in enumerate(fit.by_free) for b in held[: needed[free]]}
         node = int(pdf["node"].iloc[0])
         rows = [(node, b, fill[b], [{"bin": x, "base": o} for x, o in held], b in still) for b, held in inside.items()]
         return pd.DataFrame(rows, columns=["node", "bin", "fill", "inside", "open"])
@@ -222,13 +217,18 @@ def pack_documents(
 
 def merge_tree(bins: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """(bin, sequence_id, base) for the bins (node, bin, fill) that end inside another bin."""
+    counts = {r["fill"]: r["count"] for r in bins.where(F.col("fill") <= capacity // 2).groupBy("fill").count().collect()}
+    # By room: how many bins are small enough for it, and so how many bins of that room can be of use.
+    needed = list(itertools.accumulate(counts.get(g, 0) for g in range(capacity + 1)))
+    alike = F.row_number().over(Window.partitionBy("node", "fill").orderBy("bin"))
+    bins = bins.withColumn("nth", alike).where(F.col("nth") <= F.element_at(F.lit(needed), (capacity - F.col("fill") + 1).cast("int"))).drop("nth")
     state = bins.withColumn("inside", F.array(F.struct(F.col("bin"), F.lit(0).cast("long").alias("base"))))
     last = bins.agg(F.max("node").alias("n")).first()["n"] or 0
     done = []
     while True:
         last //= FAN
         up = state.select(F.expr(f"node div {FAN}").alias("node"), "bin", "fill", "inside")
-        level = shared_table(up.groupBy("node").applyInPandas(_merger(capacity), MERGED), "bins")
+        level = shared_table(up.groupBy("node").applyInPandas(_merger(capacity, needed), MERGED), "bins")
         done.append(level.where("not open") if last else level)
         if not last:
             break

@@ -96,6 +96,48 @@ def test_tree_merges_small_bins(spark):
     assert len(left) == 13 and all(r.base % 100 == 0 and r.base < 800 for r in moved)
 
 
+def test_lengths_in_file_order_fill_the_bins_of_earlier_blocks(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BLOCK", 1000)
+    text = {n: "a" + " a" * (n - 2) for n in (600, 400, 20)}
+    assert all(len(packing.token_ids(t, JSON, RANKS)) == n for n, t in text.items())
+    rows = [(i, text[(600, 400, 20)[i // 2000]], "en", "s") for i in range(6000)]
+    used, _ = check(df := documents(spark, rows).coalesce(1), packing.pack_documents(df))
+    # One 600, one 400 and one 20 in each, as without a limit on open bins.
+    assert used == 2000
+
+
+def test_tree_equals_one_that_passes_on_every_bin(spark):
+    def uncut(bins):
+        state, last = {}, max(n for n, _, _ in bins)
+        for node, b, fill in bins:
+            state.setdefault(node, []).append((fill, b))
+        while True:
+            up = {}
+            for node, held in state.items():
+                up.setdefault(node // packing.FAN, []).extend(held)
+            state, last = {}, last // packing.FAN
+            for node, held in up.items():
+                fit, fill = packing.BestFit(), {}
+                for size, b in sorted(held, key=lambda x: (-x[0], x[1])):
+                    at = fit.put(size)
+                    if at is None:
+                        fill[b] = size
+                        fit.add(b, 1024 - size)
+                    else:
+                        fill[at[0]] += size
+                state[node] = [(size, b) for b, size in fill.items()]
+            if not last:
+                return sum(map(len, state.values()))
+
+    nearly_full = spark.createDataFrame([(0, 0, 1022), (39, 1, 2)], "node long, bin long, fill long")
+    assert [tuple(r) for r in packing.merge_tree(nearly_full).select("bin", "sequence_id", "base").collect()] == [(1, 0, 1022)]
+    rng = np.random.default_rng(3)
+    bins = [(n, n << 33 | i, int(f)) for n in range(0, 40, 3) for i, f in enumerate([rng.integers(1, 512), *rng.integers(513, 1024, 1500)])]
+    bins += [(0, 1 << 30, 1022), (39, 39 << 33 | 1 << 30, 2)]
+    moved = packing.merge_tree(spark.createDataFrame(bins, "node long, bin long, fill long")).collect()
+    assert len(moved) == len({r.bin for r in moved}) and len(bins) - len(moved) == uncut(bins)
+
+
 def test_empty_and_clashing(spark, empty, clashing):
     assert packing.pack_documents(empty).count() == 0
     assert packing.pack_documents(clashing.withColumn("piece", F.lit("x"))).count() == 12

@@ -35,6 +35,8 @@ LINES = _names(
     "option search section summary tbody td tfoot th thead tr"
 ) | APART
 HIDDEN = _names("head title script style template noscript iframe object canvas audio video svg math datalist noembed noframes")
+#: What a head may hold; any other tag, or text, ends it.
+IN_HEAD = _names("base basefont bgsound head link meta noframes noscript script style template title")
 #: An opening tag ends these open elements, looking no further up than the named borders.
 ENDS = {
     **{t: (_names("p"), _names("button td th li table caption object template")) for t in LINES - _names("html body option tr td th tbody thead tfoot caption")},
@@ -78,9 +80,16 @@ class TreeBuilder(HTMLParser):
         if lowest is not None:
             del self.open[lowest:]
 
+    def _end_head(self) -> None:
+        """End the head if it is the innermost open element."""
+        if self.open[-1].tag == "head":
+            self.open.pop()
+
     def handle_starttag(self, tag, attrs):
-        if tag in ("html", "body") and any(n.tag == tag for n in self.open):
+        if tag in ("html", "head", "body") and any(n.tag == tag for n in self.open):
             return
+        if tag not in IN_HEAD:
+            self._end_head()
         if ENDS.get(tag):
             self._imply_end(tag)
         if tag in ("td", "th") and self.open[-1].tag in ("table", "tbody", "thead", "tfoot"):
@@ -105,6 +114,8 @@ class TreeBuilder(HTMLParser):
                 return  # an end tag in a cell does not close what holds the cell
 
     def handle_data(self, data):
+        if data.strip():
+            self._end_head()
         self.open[-1].children.append(data)
 
 

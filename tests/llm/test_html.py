@@ -35,6 +35,14 @@ def test_only_visible_text():
     assert render("<details open><summary>s</summary>body</details>") == "s\nbody"
 
 
+def test_a_head_without_end_tag_hides_no_body():
+    assert render("<html><head><title>T</title><h1>Top</h1><p>text") == "Top\n\ntext"
+    assert render("<head><meta a=x><link b=y><style>s</style>shown<title>T</title>") == "shown"
+    assert render("<head> \n<script>x</script><base c><noscript><p>n</p></noscript><template><p>t</p></template><p>shown") == "shown"
+    assert render("<head><title>T</title><body><p>shown") == "shown"
+    assert render("<head><head><title>T</title>first<p>next") == "first\n\nnext"
+
+
 def test_preformatted():
     assert render("a<pre>  x\n   y</pre>b") == "a\n\n  x\n   y\n\nb"
 

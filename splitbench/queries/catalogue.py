@@ -147,6 +147,15 @@ def metadata_join_audit(spark, sf_dir):
     return catalog.metadata_join_audit(c, m)
 
 
+@query("""SELECT coalesce(d.doc_id, q.doc_id) AS sequence_id, CASE WHEN q.doc_id IS NULL THEN 'missing_metadata' ELSE 'unused_metadata' END AS problem
+FROM documents d FULL JOIN (SELECT doc_id FROM labels UNION SELECT -1) q ON d.doc_id = q.doc_id WHERE d.doc_id IS NULL OR q.doc_id IS NULL""")
+def metadata_join_audit_whole(spark, sf_dir):
+    """All documents against all labels; one label without a document is added, so that both kinds of problem occur."""
+    c = adapters.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("sequence_id"))
+    m = adapters.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("sequence_id"))
+    return catalog.metadata_join_audit(c, m.union(spark.range(-1, 0).toDF("sequence_id")).distinct())
+
+
 @query("""SELECT doc_id, CASE WHEN quality = 1 THEN 'virus' ELSE 'host' END AS metadata_label, CASE WHEN doc_id % 3 = 0 THEN 'host' ELSE 'virus' END AS channel
 FROM labels WHERE (quality = 1) <> (doc_id % 3 <> 0)""")
 def metadata_label_channel_conflict(spark, sf_dir):
@@ -240,8 +249,8 @@ def similarity_bands(spark, sf_dir):
 
 @query()
 def taxon_casefold(spark, sf_dir):
-    """Full case folding of taxa, which lower() does not give."""
-    w = adapters.table(spark, sf_dir, "documents").select("doc_id", F.upper(F.substring_index("text", " ", 1)).alias("taxon"))
+    """Full case folding of whole texts as taxa, which lower() does not give."""
+    w = adapters.table(spark, sf_dir, "documents").select("doc_id", F.upper("text").alias("taxon"))
     return w.select("doc_id", text.casefold(F.col("taxon")).alias("folded"))
 
 

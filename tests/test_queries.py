@@ -36,6 +36,18 @@ def test_query_matches_sql(spark, sf_dir, duck, name):
     assert got == sorted(tuple(norm(r[i]) for i in at) for r in rel.fetchall())
 
 
+def test_casefold_of_whole_texts(spark, sf_dir):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    assert {r.doc_id: r.folded for r in QUERIES["taxon_casefold"](spark, sf_dir).collect()} == {i: t and t.upper().casefold() for i, t in texts.items()}
+
+
+def test_metadata_audit_reports_documents_of_all_languages(spark, sf_dir):
+    docs = {r.doc_id for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    labels = {r.doc_id for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
+    rows = {(r.sequence_id, r.problem) for r in QUERIES["metadata_join_audit_whole"](spark, sf_dir).collect()}
+    assert rows == {(i, "missing_metadata") for i in docs - labels} | {(i, "unused_metadata") for i in {*labels, -1} - docs}
+
+
 def test_entry(spark):
     df = entry.entry(spark)
     assert df.count() > 0 and set(entry.oracle_sql()) <= set(entry.queries())

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,15 +62,21 @@ def on_path(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share; a temporary one only where the session names none and is local."""
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if folder is None:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="checkpoint-")
         sc.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
+#: Paths of the shared tables made so far, for drop_shared_tables().
+_MADE: list[str] = []
+
+
 def shared_table(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back.
 
@@ -79,9 +86,50 @@ def shared_table(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _MADE.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_shared_tables(spark: SparkSession) -> int:
+    """Delete every shared table made so far, once no result needs them; returns how many."""
+    done, jvm, conf = 0, spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _MADE:
+        path = jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        done += bool(path.getFileSystem(conf).delete(path, True))
+    return done
+
+
+class Located(Numbered):
+    """A Numbered frame whose rows also have a place: ``_file``, a hash of the file's path, and ``_row``, the number in it.
+
+    Places are the same in every scan, however files are split among tasks, so a
+    decision made on a narrow scan can be joined to a second, whole one.  A frame
+    that is not a plain scan of Parquet files is written to a shared table first.
+    """
+
+    def __init__(self, df: DataFrame):
+        super().__init__(df)
+        try:
+            rows = self._placed(df)
+        except AnalysisException:
+            rows = self._placed(shared_table(self.df, "rows"))
+        self.df = rows.toDF(*self.df.columns, "_file", "_row")
+
+    @staticmethod
+    def _placed(df: DataFrame) -> DataFrame:
+        found = df.metadataColumn("_metadata")
+        return df.select("*", F.xxhash64(found["file_path"]).alias("_file"), found["row_index"].alias("_row"))
+
+
+#: A table of places and small values is broadcast up to this many rows (tens of MB), else joined by shuffle.
+FEW_ROWS = 500_000
+
+
+def broadcast_if_few(table: DataFrame, most: int = FEW_ROWS) -> DataFrame:
+    """The written table, marked for broadcast if a count shows at most ``most`` rows."""
+    return F.broadcast(table) if table.count() <= most else table
+
+
 def crc_mod(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as decimal text, modulo; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % modulus

@@ -15,8 +15,6 @@ are collected to compute the targets.
 
 from __future__ import annotations
 
-
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -143,13 +141,17 @@ def repeat_by_mix(df: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), most: int =
     """The rows of df, each as often as the mix takes it, with df's own columns.
 
     A row taken in part counts as whole if at least half of it is taken; a row
-    of size 0 gives the mix nothing and is kept once.
+    of size 0 gives the mix nothing and is kept once.  Words are counted in one
+    pass over the texts; the pass that repeats the rows only asks whether there
+    is a word, and counts again the few rows that lie on a threshold.
     """
     rows = shared_table(_rows(df), "mixing")
     table = plan_mix(rows, cycle, most).withColumnsRenamed({c: f"_mix_{c}" for c in ("source", "source_size", "target", "passes", "edge", "rest", "atom")})
     own = Numbered(df)
-    full = own.df.withColumns({"size": word_count(F.col(own.place("text"))), "hash": id_hash(F.col(own.place("doc_id")))})
+    text = F.col(own.place("text"))
+    full = own.df.withColumn("hash", id_hash(F.col(own.place("doc_id"))))
     joined = full.join(table, F.col(own.place("source")).eqNullSafe(F.col("_mix_source"))).withColumnsRenamed({f"_mix_{c}": c for c in ("passes", "edge", "rest", "atom")})
-    times = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.round(taken_words() / F.col("size")).cast("int"))
+    joined = joined.withColumn("size", F.when((F.col("hash") == F.col("edge")) & (F.col("rest") > 0), word_count(text)).otherwise(F.lit(1)))
+    times = F.when(text.rlike(WORD), F.round(taken_words() / F.col("size")).cast("int")).otherwise(F.lit(1))
     copies = joined.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), times)))
     return own.restore(copies)

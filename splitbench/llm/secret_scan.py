@@ -11,28 +11,38 @@ from its characters:
 * serial correlation: how little a vowel tells of the next character, against
   the alternation of vowels and consonants in words.
 
-Their normal scores are added (Stouffer) to one p-value a token.  Over all
-tokens of all documents a weighted Benjamini-Hochberg procedure controls the
-false-discovery rate; a token's weight is its information content, so that long
-tokens, which the tests can tell apart, get more of the error budget than short
-ones.  Its threshold comes from a histogram of p-values, whose size is fixed.
+The sum of their normal scores is no normal score, as the tests depend on each
+other; its distribution under the null is simulated for each encoding and length
+with tokens made of words, dates, counters and the like, and its lower tail
+carried on by an exponential.  So a token's p-value is uniform for such tokens.
+Over all tokens of all documents a weighted Benjamini-Hochberg procedure controls
+the false-discovery rate; a token's weight is its information content, so that
+long tokens, which the tests can tell apart, get more of the error budget than
+short ones.  Its threshold comes from a histogram of p-values, whose size is fixed.
+
+Tokens of digits alone are not tested: nothing tells a random number from an
+account's.  UUIDs in their usual form name things and are left alone.
 
 Defined cases: a null or empty text has no spans; texts of any length are read
-whole; repeated rows are scanned alike; an empty table gives no rows; further
-columns are ignored by scan_secrets() and kept by redact_secrets().
+whole; repeated rows are scanned alike; equal p-values are all discoveries or
+none; an empty table gives no rows; further columns are ignored by
+scan_secrets() and kept by redact_secrets().
 """
 
 from __future__ import annotations
 
+import functools
 import math
+import random
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Numbered, on_path, pick, shared_table
+from .common import Located, broadcast_if_few, on_path, pick, shared_table
 
 KINDS = ("assign", "access", "hex", "token")
 ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
@@ -43,8 +53,22 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 PART = re.compile(r"[A-Za-z0-9]{20,}")
 VOWELS = frozenset("aeiouyAEIOUY")
 
-#: What prose and identifiers are like: sum of squared letter frequencies, share of class changes, vowel correlation.
-PROSE_MATCH, CLASS_CHANGE, VOWEL_CORRELATION = 0.066, 0.35, -0.35
+UUID = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
+#: What prose and identifiers are like: sum of squared letter frequencies, share of class changes, share of vowels in letters, their correlation.
+PROSE_MATCH, CLASS_CHANGE, VOWEL_SHARE, VOWEL_CORRELATION = 0.066, 0.35, 0.4, -0.35
+#: What the simulated null makes names of, and the words among these letters that hex numbers can spell.
+PEOPLE_WORDS = (
+    "account address amount archive average backup bereich bericht branch buffer button cache campo canal client color commande compte config "
+    "contact content counter country customer data datei default delete digest document drucker entry error escuela event example export factura "
+    "feature field file filter format frage function gebiet gruppe header history house image import index input invoice item jardin kunde label "
+    "länge letter level liste logger maison manager mensaje message model module monitor nachricht name nombre number object order output page "
+    "parent pedido period person prefix product profile project quelle query range record region report request response result review route "
+    "schema school search server service session setting source status street string system table target template test ticket titre trabajo "
+    "update upload user value vehicle version view ville window worker zahlung"
+).split()
+HEX_WORDS = "ace add bad bed bee cab cafe dead deaf decade face facade fade fed feed".split()
+#: Simulated tokens for each encoding and length, and the share of them that the tail is fitted to.
+SIMULATED, TAIL, LONGEST = 2000, 0.05, 64
 BIN = 0.01
 
 
@@ -70,21 +94,19 @@ def said(spans: list[tuple[int, int, str]]) -> str:
 def encoding_of(token: str) -> tuple[str, int]:
     """The encoding that a token's characters suggest, and the size of its alphabet."""
     lower, upper, digit = (any(map(f, token)) for f in (str.islower, str.isupper, str.isdigit))
+    if re.search(r"[^A-Za-z0-9]", token):
+        return "base64", 64
     if digit and not (lower and upper) and re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", token):
         return ("hex", 16) if lower or upper else ("decimal", 10)
-    if upper and digit and not lower and re.fullmatch(r"[A-Z2-7]+", token):
-        return "base32", 32
     if lower + upper + digit == 1:
         return "letters", 26
-    return ("base64", 64) if re.search(r"[^A-Za-z0-9]", token) else ("base62", 62)
-
-
-def _normal_cdf(z: float) -> float:
-    return 0.5 * math.erfc(-z / math.sqrt(2))
+    if upper and digit and not lower and re.fullmatch(r"[A-Z2-7]+", token):
+        return "base32", 32
+    return ("base62", 62) if lower and upper else ("base36", 36)
 
 
 def scores(token: str) -> tuple[float, float, float]:
-    """Normal scores of the three tests; the lower, the less the token is like text."""
+    """Scores of the three tests; the lower, the less the token is like text."""
     n, (kind, m) = len(token), encoding_of(token)
     counts: dict[str, int] = {}
     for c in token:
@@ -98,20 +120,77 @@ def scores(token: str) -> tuple[float, float, float]:
     usual = CLASS_CHANGE if kind in ("base62", "base64") else 0.6 * CLASS_CHANGE
     runs = ((n - 1) * usual - changes + 0.5) / math.sqrt((n - 1) * usual * (1 - usual))
     vowels = [c in VOWELS for c in token]
-    p = sum(vowels) / n
+    p = sum(vowels) / n if kind == "hex" else VOWEL_SHARE * sum(map(str.isalpha, token)) / n  # the null's share
     spread = p * (1 - p)
     serial = 0.0
     if spread:
         r = sum((a - p) * (b - p) for a, b in zip(vowels, vowels[1:])) / ((n - 1) * spread)
-        serial = min(0.0, (VOWEL_CORRELATION - r) * math.sqrt(n - 1) / 2)
+        serial = (VOWEL_CORRELATION - r) * math.sqrt(n - 1) / 2
     return uniform, runs, serial
 
 
+def _number(rng: random.Random, digits: str) -> str:
+    n = rng.choice((1, 2, 2, 3, 4, 4, 4, 6, 8))
+    if n in (4, 8) and digits == "0123456789":  # a year or a date
+        return f"{rng.choice((19, 20))}{rng.randrange(100):02}" + (f"{rng.randrange(1, 13):02}{rng.randrange(1, 29):02}" if n == 8 else "")
+    return "".join(rng.choices(digits, k=n))
+
+
+def made_by_people(rng: random.Random, kind: str, n: int) -> str:
+    """A token of the null hypothesis: n characters of an encoding, put together as people do."""
+    while True:
+        parts: list[str] = []
+        upper, style = rng.random() < 0.3, rng.randrange(3)
+        often = rng.choice((0.05, 0.15, 0.3)) if kind != "letters" else 0.0
+        digits = "234567" if kind == "base32" else "0123456789"
+        while sum(map(len, parts)) < n:
+            if kind == "hex":
+                word = rng.choice((rng.choice(HEX_WORDS), _number(rng, digits), "0" * rng.randrange(1, 9), rng.choice("0123456789abcdef") * rng.randrange(2, 7), _number(rng, digits)))
+                parts.append(word.upper() if upper else word)
+                continue
+            if rng.random() < often:
+                parts.append(_number(rng, digits))
+                continue
+            word = rng.choice(PEOPLE_WORDS).replace("ä", "ae")
+            if kind in ("base62", "base64") and style:
+                word = word.title() if style == 1 or parts else word
+            elif kind == "base32" or upper and kind in ("letters", "base36", "base64"):
+                word = word.upper()
+            parts.append(word)
+            if kind == "base64":
+                parts.append(rng.choice("-_/") if style == 0 or rng.random() < 0.5 else "")
+        if kind != "letters" and kind != "hex" and kind != "base64" and not any(map(str.isdigit, "".join(parts)[:n])):
+            parts.insert(rng.randrange(max(1, len(parts) // 2)), _number(rng, digits))
+        token = "".join(parts)[:n]
+        if encoding_of(token)[0] == kind:
+            return token
+
+
+@functools.lru_cache(maxsize=1024)
+def null_sums(kind: str, n: int) -> tuple[list[float], float]:
+    """Sorted sums of scores of simulated tokens, and the mean depth of their lower tail."""
+    rng = random.Random(f"{kind} {n}")
+    sums = sorted(sum(scores(made_by_people(rng, kind, n))) for _ in range(SIMULATED))
+    k = int(TAIL * SIMULATED)
+    return sums, sum(sums[k] - x for x in sums[:k]) / k
+
+
+def p_value(token: str) -> float:
+    """How probable a sum of scores as low as the token's is for tokens made by people."""
+    sums, depth = null_sums(encoding_of(token)[0], min(len(token), LONGEST))
+    s, edge = sum(scores(token)), sums[int(TAIL * SIMULATED)]
+    if s >= edge:
+        return min(1.0, bisect_right(sums, s) / SIMULATED)
+    return max(TAIL * math.exp(-(edge - s) / depth), 1e-30)
+
+
 def tested_tokens(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, float, float]]:
     """(start, end, p, weight) of the long tokens that no pattern has found."""
     out = []
     for run in LONG.finditer(text):
         whole = run.group()
+        if UUID.fullmatch(whole):
+            continue
         mixed = any(map(str.islower, whole)) and any(map(str.isupper, whole)) and any(map(str.isdigit, whole))
         words = max(map(len, re.split(r"[-_/+=]", whole))) < 12
         places = [run.span()] if mixed and not words else [m.span() for m in PART.finditer(text, *run.span())]
@@ -120,10 +199,8 @@ def tested_tokens(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[in
             if len(token) < 20 or any(start < e and s < end for s, e, _ in taken):
                 continue
             kind, m = encoding_of(token)
-            if kind in ("letters", "decimal"):
-                continue  # one class only: words and numbers
-            z = sum(max(-8.0, min(8.0, x)) for x in scores(token)) / math.sqrt(3)
-            out.append((start, end, max(_normal_cdf(z), 1e-30), len(token) * math.log2(m)))
+            if kind != "decimal":
+                out.append((start, end, p_value(token), len(token) * math.log2(m)))
     return out
 
 
@@ -213,33 +290,44 @@ def digest_spans(scanned: DataFrame) -> DataFrame:
     )
 
 
+def _mask_batches(mask: str):
+    def cover(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, spans in batches:
+            out = []
+            for value, found in zip(texts, spans):
+                text, parts, at = value.as_py(), [], 0
+                if text is not None:
+                    for s in sorted((s["start"], s["end"]) for s in found.as_py()):
+                        if s[0] >= at:
+                            parts += [text[at : s[0]], mask]
+                        at = max(at, s[1])
+                    text = "".join([*parts, text[at:]])
+                out.append(text)
+            yield pa.array(out, pa.string())
+
+    return cover
+
+
 def redact_secrets(df: DataFrame, rate: float = 0.01, mask: str = "[SECRET]") -> DataFrame:
     """df with every found span in text replaced by ``mask``, overlapping spans by one.
 
-    n_chars, if df has it, follows where the text changes.
-
-    Rows keep their place beside what was found in them: no join on ids.
+    n_chars, if df has it, follows where the text changes.  The texts are scanned
+    once; what was found is kept with the rows' places, for rows in which
+    something was, and joined to a second pass, in which only texts to change go
+    to Python.  Texts are not moved, unless more rows change than may be broadcast.
     """
     on_path(df.sparkSession)
-    own = Numbered(df)
+    own = Located(df)
     name = own.place("text")
-    found = own.df.withColumn("found", _find(name))
-    least, mean = discovery_threshold(shared_table(found.select(F.inline("found.tested")), "secrets"), rate)
-    hits = F.filter("found.tested", lambda t: _bin(t["p"], t["weight"], mean) >= least)
-    spans = F.array_sort(F.concat(*[F.transform(a, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))) for a in (F.col("found.base"), hits)]))
-    begin = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    text = F.col(name)
-
-    def step(acc: Column, s: Column) -> Column:
-        before = F.substr(text, acc["at"] + 1, s["start"] - acc["at"])
-        out = F.when(s["start"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], before, F.lit(mask)))
-        return F.struct(out.alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
-
-    masked = F.aggregate(spans, begin, step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1)))
-    changed = F.size(spans) > 0
-    out = found.withColumn("changed", changed).withColumn("new", F.when(changed, masked).otherwise(text))
-    out = out.withColumn(name, F.col("new"))
+    found = own.df.select("_file", "_row", _find(name).alias("found")).where("size(found.base) > 0 or size(found.tested) > 0")
+    found = shared_table(found, "secrets")
+    spans = _spans(found, rate).select("_file", "_row", F.transform("all", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias("spans"))
+    spans = shared_table(spans.where(F.size("spans") > 0), "secret-spans")
+    rows = own.df.join(broadcast_if_few(spans), ["_file", "_row"], "left")
+    changed = F.col("spans").isNotNull()
+    new = F.arrow_udf(_mask_batches(mask), "string")(F.when(changed, F.col(name)), F.col("spans"))
+    out = rows.withColumn("_new", new).withColumn(name, F.when(changed, F.col("_new")).otherwise(F.col(name)))
     if "n_chars" in own.names:
         count = own.place("n_chars")
-        out = out.withColumn(count, F.when(F.col("changed"), F.length("new").cast("long")).otherwise(F.col(count)))
+        out = out.withColumn(count, F.when(changed, F.length("_new").cast("long")).otherwise(F.col(count)))
     return own.restore(out)

@@ -2,10 +2,12 @@
 
 A 64-bit fingerprint is eight bytes at eight positions.  Two fingerprints with at
 most three differing bits differ in at most three bytes, so they share five
-positional bytes or more, and of any seven positions four or more.  The index
-therefore has a posting list for each choice of four of the first seven positions
-and the bytes there; pairs on one list are candidates.  For each candidate the
-shared positional bytes are tallied, pairs below five are dropped, and the rest
+positional bytes or more, and of any seven positions four or more.  Posting
+lists of single positional bytes would have a 256th of all fingerprints each, so
+the index is kept behind a prefix filter that loses nothing: it has a posting
+list for each choice of four of the first seven positions and the bytes there,
+and only pairs on one list are tallied.  The tally counts the positional bytes
+that a pair shares, out of all eight; pairs below five are dropped, and the rest
 verified by counting differing bits.  A pair that meets on several lists is
 reported on the first only.  No list is cut short.
 
@@ -29,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Numbered, on_path, pick, shared_table
+from .common import Located, broadcast_if_few, on_path, pick, shared_table
 from .components import connected_components
 
 NEAR = 3
@@ -90,19 +92,25 @@ def _first_key(mask: int) -> int:
 
 
 def near_pairs(prints: DataFrame, near: int = NEAR) -> DataFrame:
-    """(a, b), a < b: the pairs of distinct fingerprints in column fp that differ in at most three bits."""
+    """(a, b), a < b: the pairs of distinct fingerprints in column fp that differ in at most three bits.
+
+    The fingerprints are dealt out before each becomes 35 postings, and both sides
+    of the join read one shuffled index.
+    """
     if near > NEAR:
         raise ValueError(f"the index guarantees {NEAR} differing bits")
-    left = _postings(prints)
-    right = left.select(F.col("fp").alias("other"), F.col("key").alias("other_key"))
-    apart = F.col("fp").bitwiseXOR(F.col("other"))
+    parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    index = _postings(prints.repartition(parts, "fp"))
+    left, right = index.alias("l"), index.alias("r")
+    fp, other, key = F.col("l.fp"), F.col("r.fp"), F.col("l.key")
+    apart = fp.bitwiseXOR(other)
     same = [(_byte(apart, p) == 0).cast("int") for p in range(BYTES)]
     tally = sum(same[1:], same[0])
     mask = sum((F.shiftleft(same[p], p) for p in range(1, POSITIONS)), same[0])
     firsts = F.array(*[F.lit(_first_key(m)) for m in range(1 << POSITIONS)])
-    met = F.shiftrightunsigned("key", 8 * KEY_BYTES).cast("int") == F.element_at(firsts, mask + 1)
-    on = (F.col("key") == F.col("other_key")) & (F.col("fp") < F.col("other")) & (tally >= SHARED) & (F.bit_count(apart) <= near) & met
-    return left.join(right, on).select(F.col("fp").alias("a"), F.col("other").alias("b"))
+    met = F.shiftrightunsigned(key, 8 * KEY_BYTES).cast("int") == F.element_at(firsts, mask + 1)
+    on = (key == F.col("r.key")) & (fp < other) & (tally >= SHARED) & (F.bit_count(apart) <= near) & met
+    return left.join(right, on).select(fp.alias("a"), other.alias("b"))
 
 
 def near_duplicates(df: DataFrame) -> DataFrame:
@@ -135,20 +143,20 @@ def keep_one(df: DataFrame) -> DataFrame:
     """The rows of df without all but one row of each component, df's own columns.
 
     The row that stays has the smallest id; among equal ids, or where there is
-    none, the smallest hash of its text, and of repeated rows one.  Rows are
-    numbered in a shared table, so the choice is made on ids, fingerprints and
-    numbers, and one join brings back the texts.
+    none, the smallest hash of its text, and of repeated rows one.  The choice is
+    made on ids, fingerprints and places; texts are read twice and not moved,
+    unless more rows go than may be broadcast.
     """
     on_path(df.sparkSession)
-    own = Numbered(df)
+    own = Located(df)
     ident, text = F.col(own.place("doc_id")), F.col(own.place("text"))
-    numbered = own.df.withColumns({"fp": fingerprint_of(text), "row": F.monotonically_increasing_id()})
-    rows = shared_table(numbered, "simhash-rows")
-    small = rows.select(ident.alias("doc_id"), "fp", F.xxhash64(text).alias("hash"), "row")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id"), F.col("hash"), F.col("row")))
+    small = shared_table(own.df.select(ident.alias("doc_id"), fingerprint_of(text).alias("fp"), F.xxhash64(text).alias("hash"), "_file", "_row"), "simhash-rows")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id"), F.col("hash"), F.col("_file"), F.col("_row")))
     per_class = small.groupBy("fp").agg(first.alias("best"))
     best = per_class.join(components_of(small), "fp").groupBy("label").agg(F.min("best").alias("best"))
-    return own.restore(rows.join(best.select(F.col("best.row").alias("row")), "row", "left_semi"))
+    gone = small.select("_file", "_row").join(best.select("best._file", "best._row"), ["_file", "_row"], "left_anti")
+    gone = shared_table(gone, "simhash-gone")
+    return own.restore(own.df.join(broadcast_if_few(gone), ["_file", "_row"], "left_anti"))
 
 
 def digest_components(found: DataFrame) -> DataFrame:

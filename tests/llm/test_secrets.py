@@ -68,3 +68,47 @@ def test_odd_empty_and_clashing(odd, empty, clashing):
     assert s.digest_spans(s.scan_secrets(empty)).count() == 0 and s.redact_secrets(empty).count() == 0
     assert s.digest_spans(s.scan_secrets(clashing)).count() == 12
     assert s.redact_secrets(clashing).columns == clashing.columns
+
+
+def test_p_values_are_uniform_for_tokens_made_by_people():
+    for kind in ("base62", "base36", "base32", "hex", "letters", "base64"):
+        rng = random.Random(99)
+        ps = [s.p_value(s.made_by_people(rng, kind, 32)) for _ in range(1000)]
+        for cut in (0.01, 0.05, 0.1, 0.25, 0.5, 0.75):
+            assert abs(sum(p <= cut for p in ps) / 1000 - cut) <= 0.06 if cut > 0.05 else sum(p <= cut for p in ps) / 1000 <= 2.5 * cut
+
+
+def discoveries(tokens, rate):
+    """Weighted Benjamini-Hochberg by sorting."""
+    mean = sum(w for _, w in tokens) / len(tokens)
+    q = sorted(min(p * mean / w, 1.0) for p, w in tokens)
+    ranks = [k for k, x in enumerate(q, 1) if x * len(q) / k <= rate]
+    return max(ranks, default=0)
+
+
+def test_discoveries_match_sorting_and_hold_the_rate(spark):
+    rng = random.Random(8)
+    alphabets = {"base62": string.ascii_letters + string.digits, "base32": string.ascii_uppercase + "234567", "hex": "0123456789ABCDEF"}
+    secret = [("".join(rng.choices(a, k=32)), True) for a in alphabets.values() for _ in range(200)]
+    plain = [(s.made_by_people(rng, k, rng.randrange(24, 48)), False) for k in ("base62", "base36", "base32", "letters") for _ in range(400)]
+    tokens = [(t, real) for t, real in secret + plain if not s.base_spans(f" {t} ")]
+    df = spark.createDataFrame([(i, f"see {t} there") for i, (t, _) in enumerate(tokens)], "doc_id long, text string")
+    hit = {r.doc_id for r in s.scan_secrets(df).collect() if any(x.kind == "token" for x in r.spans)}
+    tested = [(i, p, w) for i, (t, _) in enumerate(tokens) for _, _, p, w in s.tested_tokens(f"see {t} there", [])]
+    exact = discoveries([(p, w) for _, p, w in tested], 0.01)
+    assert 0.98 * exact <= len(hit) <= exact
+    real = {i for i, (_, r) in enumerate(tokens) if r}
+    for name, at in zip(alphabets, range(0, 600, 200)):
+        assert sum(i in hit for i in range(at, at + 200)) >= 180, name
+    assert len(hit - real) <= 0.03 * len(hit)
+
+
+def test_identifiers_are_left_alone():
+    for text in ("6f1c2d3e-4a5b-4c7d-8e9f-0a1b2c3d4e5f", "customer_account_number_2024", "12345678901234567890123", "getCustomerAccountAddressById2"):
+        assert all(p > 1e-3 for _, _, p, _ in s.tested_tokens(text, []))
+
+
+def test_overlapping_and_many_spans_are_masked_in_linear_time(spark):
+    text = "token=" + "0123456789abcdef" * 2 + " a " + "secret: abcdef1 " * 50_000
+    row = s.redact_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert row.text == "[SECRET] a " + "[SECRET] " * 50_000

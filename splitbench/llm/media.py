@@ -1,8 +1,8 @@
 """Media columns: texts stored as lossless WebP, decoded to pixel arrays and described.
 
 A text's UTF-8 bytes, padded with zero bytes to a positive multiple of 64, are
-the ARGB samples of images of 16 pixels a row; above 1 MiB a text takes several
-images, stored one after another.
+the 8-bit samples of grey images of 64 pixels a row; above 1 MiB a text takes
+several images, stored one after another.
 
 Defined cases: a null or empty text is 64 zero bytes; texts of any length are
 stored whole; equal texts give equal media; a null in a media column gives null

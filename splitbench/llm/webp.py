@@ -1,13 +1,24 @@
-"""Lossless WebP (VP8L): a decoder for the whole format, and an encoder for byte payloads.
+"""Lossless WebP (VP8L): a decoder for the whole format, and an encoder.
 
-Written from the public format description.  Pixels are 32-bit ARGB numbers.  The
-decoder reads prefix codes bit by bit where it must; images whose codes all have
-one length, which is what the encoder writes, are decoded as arrays.
+Written from the public format description.  Pixels are 32-bit ARGB numbers.
+
+The encoder weighs the format's tools by the size that they would give: palette
+(packed below 17 colours), predictor, cross-colour or subtract-green, colour
+cache; it always looks for back-references and writes optimal prefix codes.
+
+The decoder looks symbols up in tables.  Images of which only the green channel
+is coded, as grey and palette images are, it decodes as arrays: what starts at
+every bit is looked up at once, the codes that really start somewhere are found
+by following their lengths, and back-references are resolved by doubling.
+
+A payload of bytes is stored as grey pixels, one byte each.
 """
 
 from __future__ import annotations
 
 import functools
+import itertools
+import math
 import struct
 
 import numpy as np
@@ -53,76 +64,88 @@ class Bits:
         self.at = end
         return value
 
+    def ahead(self, n: int) -> int:
+        """The next n bits, zeros after the end."""
+        first = self.at >> 3
+        return int.from_bytes(self.data[first : first + 4], "little") >> (self.at & 7) & ((1 << n) - 1)
+
+    def skip(self, n: int) -> None:
+        self.at += n
+        if self.at > 8 * len(self.data):
+            raise WebpError("the image data end too early")
+
+
+def _bit_reversal(width: int) -> np.ndarray:
+    """The numbers of that many bits, each with its bits in reverse order."""
+    out = np.zeros(1, np.uint32)
+    for _ in range(width):
+        out = np.concatenate([out * 2, out * 2 + 1])
+    return out
+
+
+_REVERSED = functools.lru_cache(maxsize=20)(_bit_reversal)
+
 
 class Prefix:
-    """A canonical prefix code. A code of one symbol takes no bits."""
-
-    def __init__(self, lengths: list[int]):
-        used = sorted((n, s) for s, n in enumerate(lengths) if n)
-        self.only = used[0][1] if len(used) == 1 else None
-        self.symbols: dict[tuple[int, int], int] = {}
-        self.flat: np.ndarray | None = None
-        if not used:
+    """A canonical prefix code, as a table by the next ``width`` bits. A code of one symbol takes no bits."""
+
+    def __init__(self, lengths: np.ndarray):
+        used = np.flatnonzero(lengths)
+        if not len(used):
             raise WebpError("a prefix code has no symbol")
+        self.only = int(used[0]) if len(used) == 1 else None
+        self.width = 0 if self.only is not None else int(lengths[used].max())
         if self.only is not None:
-            return
-        code, last = 0, used[0][0]
-        for n, s in used:
-            code <<= n - last
-            last = n
-            self.symbols[n, code] = s
-            code += 1
-        if code != 1 << last:
-            raise WebpError("a prefix code is not complete")
-        if used[0][0] == last and len(used) == 1 << last:
-            self.flat = np.array([s for _, s in used], np.uint32)
+            self.symbols, self.bits = used.astype(np.int32), np.zeros(1, np.uint8)
+        else:
+            used = used[np.argsort(lengths[used], kind="stable")]
+            n = lengths[used]
+            share = 1 << (self.width - n)
+            if share.sum() != 1 << self.width:
+                raise WebpError("a prefix code is not complete")
+            order = _REVERSED(self.width)
+            self.symbols = np.repeat(used.astype(np.int32), share)[order]
+            self.bits = np.repeat(n.astype(np.uint8), share)[order]
+        self.fast: tuple[list[int], list[int]] | None = None
 
     def read(self, bits: Bits) -> int:
         if self.only is not None:
             return self.only
-        code = n = 0
-        while True:
-            code = code << 1 | bits.read(1)
-            n += 1
-            if (n, code) in self.symbols:
-                return self.symbols[n, code]
-
-    def width(self) -> int | None:
-        """Bits of each code if all have as many, else None."""
-        if self.only is not None:
-            return 0
-        return None if self.flat is None else len(self.flat).bit_length() - 1
+        if self.fast is None:
+            self.fast = self.symbols.tolist(), self.bits.tolist()
+        ahead = bits.ahead(self.width)
+        bits.skip(self.fast[1][ahead])
+        return self.fast[0][ahead]
 
 
 def _read_prefix(bits: Bits, size: int) -> Prefix:
-    lengths = [0] * size
+    lengths = np.zeros(size, np.int64)
     if bits.read(1):
         two, wide = bits.read(1), bits.read(1)
         symbols = [bits.read(8 if wide else 1)] + ([bits.read(8)] if two else [])
-        for s in symbols:
-            if s >= size:
-                raise WebpError("a symbol is outside its alphabet")
-            lengths[s] = 1
+        if max(symbols) >= size:
+            raise WebpError("a symbol is outside its alphabet")
+        lengths[symbols] = 1
         return Prefix(lengths)
-    of_lengths = [0] * 19
+    of_lengths = np.zeros(19, np.int64)
     for k in CODE_LENGTH_ORDER[: 4 + bits.read(4)]:
         of_lengths[k] = bits.read(3)
     code = Prefix(of_lengths)
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else size
-    at, last = 0, 8
-    while at < size and left:
+    found: list[int] = []
+    last = 8
+    while len(found) < size and left:
         left -= 1
         s = code.read(bits)
         if s < 16:
-            lengths[at] = s
-            at += 1
+            found.append(s)
             last = s or last
             continue
         value, times = (last, 3 + bits.read(2)) if s == 16 else (0, 3 + bits.read(3)) if s == 17 else (0, 11 + bits.read(7))
-        if at + times > size:
-            raise WebpError("code lengths run past their alphabet")
-        lengths[at : at + times] = [value] * times
-        at += times
+        found += [value] * times
+    if len(found) > size:
+        raise WebpError("code lengths run past their alphabet")
+    lengths[: len(found)] = found
     return Prefix(lengths)
 
 
@@ -147,10 +170,9 @@ def _read_pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
         groups_of = (_read_pixels(bits, across, -(-height >> block), False) >> 8 & 0xFFFF).tolist()
         n_groups = max(groups_of) + 1
     groups = [[_read_prefix(bits, size) for size in (280 + cached, 256, 256, 256, 40)] for _ in range(n_groups)]
-    if n_groups == 1 and not cached:
-        flat = _flat_pixels(bits, groups[0], n)
-        if flat is not None:
-            return flat
+    if n_groups == 1 and not cached and all(c.only is not None for c in groups[0][1:4]):
+        red, blue, alpha = (c.only for c in groups[0][1:4])
+        return _green_only(bits, groups[0][0], groups[0][4], n, width).astype(np.uint32) << 8 | np.uint32(alpha << 24 | red << 16 | blue)
 
     out: list[int] = []
     cache, shift = [0] * cached, 32 - cache_bits
@@ -183,32 +205,93 @@ def _read_pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     return np.array(out, np.uint32)
 
 
-def _flat_pixels(bits: Bits, codes: list[Prefix], n: int) -> np.ndarray | None:
-    """All pixels at once, if they are literals in codes of one length; else None."""
-    widths = [c.width() for c in codes[:4]]
-    green = codes[0]
-    if None in widths or (green.flat.max() if green.flat is not None else green.only) > 255:
-        return None
-    total = sum(widths)
-    end = bits.at + n * total
-    if end > 8 * len(bits.data):
+#: Bits looked at in one go by the array decoder.
+STRETCH = 1 << 17
+
+
+@functools.lru_cache(maxsize=64)
+def _near(width: int) -> np.ndarray:
+    """The distances of the short distance codes in an image of that width, code 1 first."""
+    return np.array([max(1, left + up * width) for left, up in SHORT_DISTANCES], np.int64)
+
+
+def _numbers(words: np.ndarray, at: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths or distances of prefix codes whose extra bits start at bits ``at``; and where those end."""
+    extra = np.where(code < 4, 0, (code - 2) >> 1)
+    more = (words[at >> 3] >> (at & 7).astype(np.uint32)).astype(np.int64) & ((1 << extra) - 1)
+    return np.where(code < 4, code, (2 + (code & 1) << extra) + more) + 1, at + extra
+
+
+def _green_only(bits: Bits, green: Prefix, distance: Prefix, n: int, width: int) -> np.ndarray:
+    """n values of the green channel, of an image that codes nothing else."""
+    if green.only is not None:
+        if green.only > 255:
+            raise WebpError("a back-reference leaves the image")
+        return np.full(n, green.only, np.uint8)
+    total = 8 * len(bits.data)
+    at, made = bits.at, 0
+    symbols, counts, fars, ends = [], [], [], []
+    eight = np.arange(8, dtype=np.uint32)
+    while made < n:
+        if at >= total:
+            raise WebpError("the image data end too early")
+        first = at >> 3
+        raw = np.frombuffer(bits.data[first : first + STRETCH // 8 + 12], np.uint8)
+        held = min(len(raw), STRETCH // 8)
+        raw = np.concatenate([raw, np.zeros(12, np.uint8)]).astype(np.uint32)
+        words = raw[:-3] | raw[1:-2] << 8 | raw[2:-1] << 16 | raw[3:] << 24
+        ahead = (words[:held, None] >> eight).ravel() & np.uint32((1 << green.width) - 1)
+        symbol = green.symbols[ahead]
+        following = np.arange(8 * held, dtype=np.int64) + green.bits[ahead]
+        refs = np.flatnonzero(symbol > 255)
+        if len(refs):
+            length, then = _numbers(words, following[refs], symbol[refs] - 256)
+            there = (words[then >> 3] >> (then & 7).astype(np.uint32)) & np.uint32((1 << distance.width) - 1)
+            far, then = _numbers(words, then + distance.bits[there], distance.symbols[there].astype(np.int64))
+            following[refs] = then
+        steps, p, place, limit = following.tolist(), at & 7, [], 8 * held
+        add = place.append
+        while p < limit:
+            add(p)
+            p = steps[p]
+        place = np.array(place)
+        got = symbol[place]
+        some = np.ones(len(place), np.int64)
+        apart = np.zeros(len(place), np.int64)
+        if len(refs):
+            which = np.flatnonzero(got > 255)
+            back = np.searchsorted(refs, place[which])
+            some[which], apart[which] = length[back], far[back]
+        sums = made + np.cumsum(some)
+        last = int(np.searchsorted(sums, n)) + 1  # codes up to the one that completes the image
+        symbols.append(got[:last])
+        counts.append(some[:last])
+        fars.append(apart[:last])
+        ends.append(sums[:last])
+        made = int(ends[-1][-1])
+        end = int(following[place[last - 1]]) if last <= len(place) else p
+        at = 8 * first + end
+    if made > n:
+        raise WebpError("a back-reference leaves the image")
+    if at > total:
         raise WebpError("the image data end too early")
-    first = bits.at >> 3
-    raw = np.frombuffer(bits.data, np.uint8, ((end + 7) >> 3) - first, first)
-    grid = np.unpackbits(raw, bitorder="little")[bits.at & 7 :][: n * total].reshape(n, total) if total else None
-    bits.at = end
-    pixels = np.zeros(n, np.uint32)
-    at = 0
-    for code, width, place in zip(codes, widths, (8, 16, 0, 24)):
-        if width:
-            value = np.zeros(n, np.uint8 if width <= 8 else np.uint16)
-            for k in range(width):
-                value |= grid[:, at + k] << (width - 1 - k)
-            at += width
-            pixels |= code.flat[value] << np.uint32(place)
-        else:
-            pixels |= np.uint32(code.only << place)
-    return pixels
+    bits.at = at
+    symbols, counts, fars, ends = map(np.concatenate, (symbols, counts, fars, ends))
+    values = np.minimum(symbols, 255).astype(np.uint8)
+    if not fars.any():
+        return values
+    fars = np.where(fars > 120, fars - 120, _near(width)[np.minimum(fars, 120) - 1]) * (fars > 0)
+    if (fars > ends - counts).any():
+        raise WebpError("a back-reference leaves the image")
+    out, origin = np.repeat(values, counts), np.arange(n)
+    copied = np.repeat(fars, counts)
+    todo = np.flatnonzero(copied)
+    origin[todo] -= copied[todo]
+    while len(todo):  # each round doubles how far back a pixel looks
+        further = origin[origin[todo]]
+        todo, further = todo[(moved := further != origin[todo])], further[moved]
+        origin[todo] = further
+    return out[origin]
 
 
 def _parts(p: int) -> tuple[int, int, int, int]:
@@ -389,60 +472,317 @@ def decode_all(data: bytes) -> list[np.ndarray]:
     return out
 
 
-class BitList:
-    """Collects numbers of a few bits, least significant first, as an array of bits."""
+class BitWriter:
+    """Collects numbers of a few bits, least significant first."""
 
     def __init__(self):
-        self.bits: list[int] = []
+        self.value = self.size = 0
 
     def put(self, value: int, n: int) -> None:
-        self.bits += [value >> k & 1 for k in range(n)]
+        self.value |= value << self.size
+        self.size += n
+
+    def put_all(self, values: np.ndarray, widths: np.ndarray) -> None:
+        """Put arrays of numbers, none over 64 bits."""
+        parts = [np.unpackbits(np.frombuffer(self.value.to_bytes((self.size + 7) // 8, "little"), np.uint8), bitorder="little")[: self.size]]
+        for s in range(0, len(values), STRETCH):
+            w = widths[s : s + STRETCH]
+            ends = np.cumsum(w)
+            within = np.arange(ends[-1]) - np.repeat(ends - w, w)
+            parts.append((np.repeat(values[s : s + STRETCH], w) >> within.astype(np.uint64) & np.uint64(1)).astype(np.uint8))
+        bits = np.concatenate(parts)
+        self.size = len(bits)
+        self.value = int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+
+    def bytes(self) -> bytes:
+        return self.value.to_bytes((self.size + 7) // 8, "little")
+
+
+def huffman_lengths(counts: list[int], limit: int) -> list[int]:
+    """Lengths of an optimal prefix code for symbols that all occur, none longer than ``limit`` bits."""
+    order = sorted(range(len(counts)), key=counts.__getitem__)
+    weights = [counts[i] for i in order]
+    m = len(weights)
+    if m == 1:
+        return [1]
+    # Two queues: leaves by weight, and joined nodes in the order in which they arise.
+    parent, joined, leaf, node = [0] * (2 * m - 1), [], 0, 0
+    for new in range(m, 2 * m - 1):
+        total = 0
+        for _ in range(2):
+            if node == len(joined) or leaf < m and weights[leaf] <= joined[node]:
+                parent[leaf] = new
+                total += weights[leaf]
+                leaf += 1
+            else:
+                parent[m + node] = new
+                total += joined[node]
+                node += 1
+        joined.append(total)
+    depth = [0] * (2 * m - 1)
+    for k in range(2 * m - 3, -1, -1):
+        depth[k] = depth[parent[k]] + 1
+    if max(depth[:m]) > limit:
+        # Package-merge: pairs of the level below compete with the symbols; a symbol's length is how often it is in the cheapest ones.
+        level: list[tuple[int, tuple[int, ...]]] = []
+        for _ in range(limit):
+            packed = [(a[0] + b[0], a[1] + b[1]) for a, b in zip(level[::2], level[1::2])]
+            level = sorted([(w, (i,)) for i, w in enumerate(weights)] + packed)
+        depth = [0] * m
+        for _, inside in level[: 2 * m - 2]:
+            for i in inside:
+                depth[i] += 1
+    out = [0] * m
+    for k, i in enumerate(order):
+        out[i] = depth[k]
+    return out
 
 
-def _put_flat_code(bits: BitList, size: int, width: int) -> None:
-    """A code in which the first 2**width symbols of an alphabet have codes of that many bits."""
-    if not width:
-        for value, n in ((1, 1), (0, 1), (0, 1), (0, 1)):  # simple, one symbol, a one-bit number, 0
-            bits.put(value, n)
+def _code_of(counts: np.ndarray, limit: int = 15) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of an alphabet with these counts: code lengths, the codes' bits as they are written, and bits written a symbol."""
+    used = np.flatnonzero(counts)
+    lengths, codes = np.zeros(len(counts), np.int64), np.zeros(len(counts), np.uint64)
+    if len(used) < 2:
+        lengths[used] = 1
+        return lengths, codes, np.zeros(len(counts), np.int64)
+    lengths[used] = huffman_lengths(counts[used].tolist(), limit)
+    used = used[np.argsort(lengths[used], kind="stable")]
+    longest = int(lengths[used[-1]])
+    share = 1 << (longest - lengths[used])
+    codes[used] = _REVERSED(longest)[np.cumsum(share) - share]
+    return lengths, codes, lengths
+
+
+def _put_code(bits: BitWriter, lengths: np.ndarray) -> None:
+    used = np.flatnonzero(lengths).tolist()
+    if len(used) < 2 and (not used or used[0] < 256) or len(used) == 2 and used[1] < 256:
+        used = used or [0]
+        bits.put(1, 1)
+        bits.put(len(used) - 1, 1)
+        wide = used[0] > 1
+        bits.put(wide, 1)
+        bits.put(used[0], 8 if wide else 1)
+        if len(used) == 2:
+            bits.put(used[1], 8)
         return
     bits.put(0, 1)
-    # The code length code: symbol `width` once and symbol 16 (repeat) at one bit each.
-    used = (width, 16)
-    last = max(CODE_LENGTH_ORDER.index(s) for s in used) + 1
-    bits.put(max(last, 4) - 4, 4)
-    for s in CODE_LENGTH_ORDER[: max(last, 4)]:
-        bits.put(int(s in used), 3)
-    count = 1 << width
-    repeats = []
-    left = count - 1
-    while left:
-        take = min(6, left if left not in (7, 8) else left - 3)
-        if take < 3:
-            break
-        repeats.append(take)
-        left -= take
-    literals = 1 + left
-    bits.put(1, 1)  # so many code length symbols follow; the alphabet's rest has none
-    n = literals + len(repeats)
-    size_bits = max(1, -(-max(1, (n - 2).bit_length()) // 2)) * 2
-    bits.put((size_bits - 2) // 2, 3)
-    bits.put(n - 2, size_bits)
-    for _ in range(literals):
-        bits.put(0, 1)
-    for take in repeats:
+    said: list[tuple[int, int, int]] = []  # a symbol of the code length code, extra bits, their number
+    last = 8
+    for value, run in itertools.groupby(lengths[: used[-1] + 1].tolist()):
+        n = len(list(run))
+        if value and value != last:
+            said.append((value, 0, 0))
+            n, last = n - 1, value
+        while n >= 3:
+            k = min(n, 6 if value else 138)
+            said.append((16, k - 3, 2) if value else (17, k - 3, 3) if k <= 10 else (18, k - 11, 7))
+            n -= k
+        said += [(value, 0, 0)] * n
+    counts = np.bincount([x[0] for x in said], minlength=19)
+    own, codes, widths = _code_of(counts, 7)
+    n = 19
+    while n > 4 and not own[CODE_LENGTH_ORDER[n - 1]]:
+        n -= 1
+    bits.put(n - 4, 4)
+    for k in CODE_LENGTH_ORDER[:n]:
+        bits.put(int(own[k]), 3)
+    if used[-1] + 1 < len(lengths) and len(said) > 1:
         bits.put(1, 1)
-        bits.put(take - 3, 2)
+        room = max(2, (len(said) - 2).bit_length() + 1 & ~1)
+        bits.put((room - 2) // 2, 3)
+        bits.put(len(said) - 2, room)
+    else:
+        bits.put(0, 1)
+        if rest := len(lengths) - used[-1] - 1:
+            raise AssertionError(f"{rest} code lengths are left over")
+    codes, widths = codes.tolist(), widths.tolist()
+    for value, extra, more in said:
+        bits.put(codes[value] | extra << widths[value], widths[value] + more)
+
+
+def _size(counts: np.ndarray) -> float:
+    """About how many bits symbols with these counts take."""
+    some = counts[counts > 0]
+    return float((some * np.log2(some.sum() / some)).sum()) + 4 * len(some)
+
+
+#: The farthest that a back-reference can reach.
+REACH = (1 << 20) - 120
+
+
+def _matches(items: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, length and distance of back-references to the last place with the same five bytes or two pixels, greedily from the left."""
+    n, size = len(items), items.itemsize
+    least = 5 if size == 1 else 2
+    none = np.zeros(0, np.int64)
+    if n <= least:
+        return none, none, none
+    words = np.ndarray((n + 8 // size,), "<u8", items.tobytes() + bytes(16), strides=(size,))  # eight bytes from each item on
+    key = words[: n - least + 1] & np.uint64((1 << 8 * size * least) - 1)
+    order = np.argsort(key, kind="stable")
+    same = np.diff(key[order]) == 0
+    here, before = order[1:][same], order[:-1][same]
+    if not len(here):
+        return none, none, none
+    place = np.argsort(here)
+    here, far = here[place], (here - before)[place]
+    # Where the next item looks as far back, its match is this one's but one; so only the last of such a run is compared.
+    ends = np.append(np.flatnonzero((np.diff(here) != 1) | (np.diff(far) != 0)), len(here) - 1)
+    last, back = here[ends], far[ends]
+    alike = np.full(len(ends), least)
+    todo, step = np.arange(len(ends)), 8 // size
+    while len(todo):
+        at = np.minimum(last[todo] + alike[todo], n)
+        apart = words[at] ^ words[at - back[todo]]
+        low = apart & (~apart + np.uint64(1))
+        alike[todo] += np.where(apart == 0, step, np.log2(np.maximum(low, np.uint64(1))).astype(np.int64) // (8 * size))
+        todo = todo[(apart == 0) & (at + step < n)]
+    run = np.searchsorted(ends, np.arange(len(here)))
+    length = np.minimum(np.minimum(last + alike, n)[run] - here, 4096)
+    picked, until = [], 0
+    for k, (i, end) in enumerate(zip(here.tolist(), (here + length).tolist())):
+        if i >= until:
+            picked.append(k)
+            until = end
+    picked = np.array(picked)
+    picked = picked[far[picked] <= REACH]
+    return here[picked], length[picked], far[picked]
+
+
+def _prefixed(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Prefix code, extra bits and their number, of lengths or distances."""
+    v = values - 1
+    top = np.maximum(np.log2(np.maximum(v, 1)).astype(np.int64), 1)
+    extra = np.where(v < 4, 0, top - 1)
+    return np.where(v < 4, v, 2 * top + (v >> (top - 1) & 1)), np.where(v < 4, 0, v & ((1 << extra) - 1)), extra
+
+
+@functools.lru_cache(maxsize=64)
+def _short_code(width: int) -> np.ndarray:
+    """By distance: its short distance code in an image of that width, or 0."""
+    near = _near(width)
+    out = np.zeros(int(near.max()) + 1, np.int64)
+    out[near[::-1]] = np.arange(len(near), 0, -1)
+    return out
 
 
-@functools.lru_cache(maxsize=4096)
-def _head(width: int, height: int, code_widths: tuple[int, ...]) -> np.ndarray:
-    bits = BitList()
-    for value, n in ((0x2F, 8), (width - 1, 14), (height - 1, 14), (1, 1), (0, 3), (0, 1), (0, 1), (0, 1)):
-        bits.put(value, n)  # ..., no transform, no cache, one group of codes
-    for size, w in zip((280, 256, 256, 256), code_widths):
-        _put_flat_code(bits, size, w)
-    _put_flat_code(bits, 40, 0)
-    return np.array(bits.bits, np.uint8)
+def _cache_hits(pixels: np.ndarray, cache_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each pixel's place in a colour cache, and whether the pixel is there when its turn comes."""
+    key = (pixels * np.uint32(CACHE_FACTOR)) >> np.uint32(32 - cache_bits)
+    order = np.argsort(key, kind="stable")
+    hit = np.zeros(len(pixels), bool)
+    hit[order[1:]] = (key[order[1:]] == key[order[:-1]]) & (pixels[order[1:]] == pixels[order[:-1]])
+    return key.astype(np.int64), hit
+
+
+def _put_pixels(bits: BitWriter, pixels: np.ndarray, width: int, main: bool) -> dict[str, int]:
+    """Write an entropy-coded image; returns how often what was used."""
+    channels = [(pixels >> np.uint32(s)).astype(np.uint8) for s in (8, 16, 0, 24)]
+    grey = all(int(c.min()) == int(c.max()) for c in channels[1:])
+    start, length, far = _matches(channels[0] if grey else pixels)
+    n = len(pixels)
+    edge = np.zeros(n + 1, np.int8)
+    edge[start] += 1
+    edge[start + length] -= 1
+    inside = np.cumsum(edge[:-1]) > 0
+    first = ~inside
+    first[start] = True
+    at = np.flatnonzero(first)
+    ref = np.flatnonzero(inside[at])
+    symbol = channels[0][at].astype(np.int64)
+    size_code, size_extra, size_more = _prefixed(length)
+    symbol[ref] = 256 + size_code
+    literal = np.ones(len(at), bool)
+    literal[ref] = False
+
+    cache_bits = 0
+    if not grey:
+        spent = sum(_size(np.bincount(c[at[literal]], minlength=1)) for c in channels)
+        for b in (4, 7, 10):
+            key, hit = _cache_hits(pixels, b)
+            hit = hit[at] & literal
+            rest = at[literal & ~hit]
+            cost = _size(np.bincount(np.where(hit, 256 + key[at], channels[0][at])[literal])) + sum(_size(np.bincount(c[rest], minlength=1)) for c in channels[1:])
+            if cost < spent:
+                spent, cache_bits, cached = cost, b, (key, hit)
+    if cache_bits:
+        key, hit = cached
+        symbol[hit] = 280 + key[at[hit]]
+        literal &= ~hit
+    bits.put(cache_bits > 0, 1)
+    if cache_bits:
+        bits.put(cache_bits, 4)
+    if main:
+        bits.put(0, 1)  # one group of codes
+
+    short = _short_code(width)
+    known = short[np.minimum(far, len(short) - 1)] * (far < len(short))
+    far_code, far_extra, far_more = _prefixed(np.where(known > 0, known, far + 120))
+    alphabets = [np.bincount(symbol, minlength=280 + (1 << cache_bits if cache_bits else 0))]
+    alphabets += [np.bincount(c[at[literal]], minlength=256) for c in channels[1:]]
+    codes = [_code_of(counts) for counts in [*alphabets, np.bincount(far_code, minlength=40)]]
+    for lengths, _, _ in codes:
+        _put_code(bits, lengths)
+    values, widths = codes[0][1][symbol], codes[0][2][symbol]
+    for c, (_, code, wide) in zip(channels[1:], codes[1:4]):
+        if wide.any():
+            own = c[at[literal]]
+            values[literal] |= code[own] << widths[literal].astype(np.uint64)
+            widths[literal] += wide[own]
+    for value, more in ((size_extra.astype(np.uint64), size_more), (codes[4][1][far_code], codes[4][2][far_code]), (far_extra.astype(np.uint64), far_more)):
+        values[ref] |= value << widths[ref].astype(np.uint64)
+        widths[ref] += more
+    bits.put_all(values, widths)
+    return {"back-reference": len(ref), "colour cache": int(cache_bits and hit.sum()), "prefix code": sum(int(c[2].max()) > int(c[2][c[2] > 0].min(initial=99)) for c in codes)}
+
+
+def _minus(pixels: np.ndarray, guess: np.ndarray) -> np.ndarray:
+    """Each channel less that of its prediction."""
+    parts = pixels.view(np.uint8) - guess.view(np.uint8)
+    return parts.view(np.uint32)
+
+
+#: The predictions that the encoder tries, each for a whole image.
+TRIED_MODES = (1, 2, 4)
+
+
+def _residual(pixels: np.ndarray, width: int, mode: int) -> np.ndarray:
+    grid = pixels.reshape(-1, width)
+    guess = np.empty_like(grid)
+    guess[0, 0], guess[0, 1:], guess[1:, 0] = OPAQUE, grid[0, :-1], grid[:-1, 0]
+    guess[1:, 1:] = {1: grid[1:, :-1], 2: grid[:-1, 1:], 4: grid[:-1, :-1]}[mode]
+    return _minus(pixels, guess.ravel())
+
+
+def _grey_rest(samples: np.ndarray, mode: int) -> float:
+    """The size that rows of samples would take after prediction, but for the first row and column."""
+    rest = samples[:, 1:] - samples[:, :-1] if mode == 1 else samples[1:] - samples[:-1] if mode == 2 else samples[1:, 1:] - samples[:-1, :-1]
+    return _size(np.bincount(rest.ravel(), minlength=1)) * samples.size / max(rest.size, 1) if rest.size else math.inf
+
+
+def _colours_size(pixels: np.ndarray) -> float:
+    return sum(_size(np.bincount((pixels >> np.uint32(s)).astype(np.uint8), minlength=1)) for s in (0, 8, 16, 24))
+
+
+def _best_factor(of: np.ndarray, by: np.ndarray) -> int:
+    """The cross-colour factor by which one channel follows another, from a least-squares fit."""
+    x, y = _signed(by).astype(float), _signed(of).astype(float)
+    spread = float(((x - x.mean()) ** 2).sum())
+    slope = float(((x - x.mean()) * (y - y.mean())).sum()) / spread if spread else 0.0
+    return max(-128, min(127, round(32 * slope)))
+
+
+def _cross(pixels: np.ndarray) -> tuple[np.ndarray, int]:
+    """The pixels without what green tells of red and blue, and red of blue; and the factors as one pixel."""
+    red, green, blue = (pixels >> np.uint32(s) & np.uint32(255) for s in (16, 8, 0))
+    delta = lambda factor, colour: factor * _signed(colour) >> 5
+    to_red, to_blue = _best_factor(red, green), _best_factor(blue, green)
+    rest = (blue.astype(np.int64) - delta(to_blue, green) & 255).astype(np.uint32)
+    from_red = _best_factor(rest, red)
+    rest = rest - delta(from_red, red) & 255
+    less = red.astype(np.int64) - delta(to_red, green) & 255
+    out = pixels & np.uint32(0xFF00FF00) | less.astype(np.uint32) << np.uint32(16) | rest.astype(np.uint32)
+    return out, OPAQUE | (from_red & 255) << 16 | (to_blue & 255) << 8 | to_red & 255
 
 
 def _riff(data: bytes) -> bytes:
@@ -450,30 +790,86 @@ def _riff(data: bytes) -> bytes:
     return b"RIFF" + struct.pack("<I", len(data) + 12) + b"WEBPVP8L" + struct.pack("<I", len(data)) + data
 
 
-def encode_pixels(pixels: np.ndarray) -> bytes:
-    """A WebP file of literal pixels; a channel takes as many bits a pixel as its largest value needs."""
-    height, width = pixels.shape
-    channels = [(pixels >> np.uint32(s) & np.uint32(255)).astype(np.uint8).ravel() for s in (8, 16, 0, 24)]
-    widths = tuple(int(c.max()).bit_length() for c in channels)
-    grid = np.empty((width * height, sum(widths)), np.uint8)
-    at = 0
-    for c, w in zip(channels, widths):
-        for k in range(w):
-            np.bitwise_and(c >> (w - 1 - k), 1, out=grid[:, at + k])
-        at += w
-    return _riff(np.packbits(np.concatenate([_head(width, height, widths), grid.ravel()]), bitorder="little").tobytes())
+def encode_image(image: np.ndarray) -> tuple[bytes, dict[str, int]]:
+    """A WebP file of height rows of ARGB pixels, and how often each of the format's tools was used."""
+    height, width = image.shape
+    pixels = np.ascontiguousarray(image, np.uint32).ravel()
+    bits, used = BitWriter(), {}
+    for value, n in ((0x2F, 8), (width - 1, 14), (height - 1, 14), (1, 1), (0, 3)):
+        bits.put(value, n)
+
+    def transform(kind: int, name: str) -> None:
+        bits.put(1, 1)
+        bits.put(kind, 2)
+        used[name] = 1
+
+    def one_block(pixel: int) -> None:
+        across, down = -(-width >> 9), -(-height >> 9)
+        bits.put(7, 3)
+        _put_pixels(bits, np.full(across * down, pixel, np.uint32), across, False)
+
+    green = (pixels >> np.uint32(8)).astype(np.uint8)
+    grey = bool((pixels == green * np.uint32(0x010101) + np.uint32(OPAQUE)).all())
+    colours = np.flatnonzero(np.bincount(green, minlength=256)).astype(np.uint32) * np.uint32(0x010101) + np.uint32(OPAQUE) if grey else np.unique(pixels)
+    whole = _size(np.bincount(green)) if grey else _colours_size(pixels)
+    index_size = len(colours) <= 256 and not grey and _size(np.unique(pixels, return_counts=True)[1]) + 24 * len(colours)
+    if len(colours) <= 16 or not grey and len(colours) <= 256 and index_size < whole:
+        transform(PALETTE, "palette")
+        bits.put(len(colours) - 1, 8)
+        _put_pixels(bits, _minus(colours, np.append(np.uint32(0), colours[:-1])), len(colours), False)
+        packed = 3 if len(colours) <= 2 else 2 if len(colours) <= 4 else 1 if len(colours) <= 16 else 0
+        index = np.searchsorted(colours, pixels).astype(np.uint32).reshape(height, width)
+        index = np.pad(index, ((0, 0), (0, -width % (1 << packed)))).reshape(height, -1, 1 << packed)
+        shifts = np.arange(1 << packed, dtype=np.uint32) * np.uint32(8 >> packed)
+        index = (index << shifts).sum(axis=2, dtype=np.uint32)
+        pixels, coded_width = index.ravel() << np.uint32(8) | np.uint32(OPAQUE), index.shape[1]
+    else:
+        coded_width = width
+        best, mode = min((_grey_rest(green.reshape(height, width), m) if grey else _colours_size(_residual(pixels, width, m)), m) for m in TRIED_MODES)
+        if best + 64 < whole:
+            transform(PREDICT, "predictor")
+            one_block(mode << 8 | OPAQUE)
+            pixels, whole = _residual(pixels, width, mode), best
+        if not grey:
+            crossed, factors = _cross(pixels)
+            plain, other = _colours_size(_less_green(pixels)), _colours_size(crossed) + 64
+        if grey or plain <= min(other, whole):
+            transform(GREEN, "subtract green")
+            pixels = _less_green(pixels)
+        elif other < whole:
+            transform(CROSS, "cross-colour")
+            one_block(factors)
+            pixels = crossed
+    bits.put(0, 1)
+    used |= _put_pixels(bits, pixels, coded_width, True)
+    return _riff(bits.bytes()), used
+
+
+def _less_green(pixels: np.ndarray) -> np.ndarray:
+    green = pixels >> np.uint32(8) & np.uint32(255)
+    return _minus(pixels, green * np.uint32(0x010001))
+
+
+def encode_pixels(image: np.ndarray) -> bytes:
+    return encode_image(image)[0]
+
+
+ROW, TILE = 64, 64 * SIDE
 
 
-TILE_WIDTH, TILE = 16, 16 * SIDE * 4
+def grey(payload: bytes) -> list[np.ndarray]:
+    """A payload of a multiple of 64 bytes as grey images of 64 pixels a row, at most 1 MiB each."""
+    if len(payload) % ROW:
+        raise ValueError(f"a payload is whole rows of {ROW} bytes")
+    samples = [np.frombuffer(payload[s : s + TILE], np.uint8).reshape(-1, ROW) for s in range(0, len(payload), TILE)]
+    return [x * np.uint32(0x010101) + np.uint32(OPAQUE) for x in samples]
 
 
 def encode_payload(payload: bytes) -> bytes:
-    """A payload of a multiple of 64 bytes as WebP files of 16 pixels a row, at most 1 MiB each."""
-    if len(payload) % 64:
-        raise ValueError("a payload is whole rows of 64 bytes")
-    return b"".join(encode_pixels(np.frombuffer(payload[s : s + TILE], ">u4").astype(np.uint32).reshape(-1, TILE_WIDTH)) for s in range(0, len(payload), TILE))
+    """A payload of a multiple of 64 bytes as WebP files, one after another."""
+    return b"".join(map(encode_pixels, grey(payload)))
 
 
 def payload_of(images: list[np.ndarray]) -> bytes:
     """The bytes of the pixels, as encode_payload() took them."""
-    return b"".join(p.astype(">u4").tobytes() for p in images)
+    return b"".join((p >> np.uint32(8)).astype(np.uint8).tobytes() for p in images)

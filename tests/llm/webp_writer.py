@@ -5,6 +5,16 @@ import numpy as np
 from splitbench.llm import webp
 
 
+class BitList:
+    """Collects numbers of a few bits, least significant first, as a list of bits."""
+
+    def __init__(self):
+        self.bits = []
+
+    def put(self, value, n):
+        self.bits += [value >> k & 1 for k in range(n)]
+
+
 def code_lengths(used, size):
     """Lengths of a complete code for the used symbols: skewed if they are few, else two neighbouring lengths."""
     used, lengths = sorted(used), [0] * size
@@ -166,7 +176,7 @@ def forward_cross(pixels, width, block, factors):
 def write(pixels, width, transforms=(), cache_bits=0, group_bits=0, seed=0):
     rng = np.random.default_rng(seed)
     height, full = len(pixels) // width, width
-    bits = webp.BitList()
+    bits = BitList()
     for v, n in ((0x2F, 8), (width - 1, 14), (height - 1, 14), (1, 1), (0, 3)):
         bits.put(v, n)
     pixels = list(pixels)

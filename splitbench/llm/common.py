@@ -77,15 +77,34 @@ def shared_folder(spark: SparkSession) -> str:
 _MADE: list[str] = []
 
 
-def shared_table(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back.
+#: Partitions for each core that a narrow table or a stage is written in at most.
+FILES_A_CORE = 8
+
+
+def fewer_files(df: DataFrame) -> DataFrame:
+    """df in at most ``FILES_A_CORE`` partitions a core, without a shuffle.
+
+    A scan has a task for every so many MB of text.  What comes out of it may be a
+    few bytes a row, and a file for each task would be more work than its rows.
+    Where executors come and go without a known limit, df stays as it is.
+    """
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    cores = sc.defaultParallelism
+    if sc.getConf().get("spark.dynamicAllocation.enabled", "false") == "true":
+        cores = int(sc.getConf().get("spark.dynamicAllocation.maxExecutors", "0")) * int(sc.getConf().get("spark.executor.cores", "1"))
+    return df.coalesce(FILES_A_CORE * cores) if cores else df
+
+
+def shared_table(df: DataFrame, name: str, as_is: bool = False) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it back; ``as_is`` with a file for each of its partitions.
 
     Later steps start from the table: they survive lost executors without
     recomputing df, and rows keep what nondeterministic steps assigned to them.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df if as_is else fewer_files(df)).write.parquet(path)
     _MADE.append(path)
     return spark.read.schema(df.schema).parquet(path)
 

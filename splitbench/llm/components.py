@@ -37,12 +37,17 @@ def _mark(edges: DataFrame) -> tuple[int, int]:
     return r["n"], int(r["s"] or 0)
 
 
+#: A round's edges are written in files of so many rows.
+EDGES_A_FILE = 500_000
+
+
 def connected_components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     """(node, label) for every node of the undirected edges (a, b); label is its component's smallest node."""
     edges = shared_table(edges.distinct(), "edges")
     before = _mark(edges)
     for _ in range(rounds if before[0] else 0):
-        edges = shared_table(_small_star(_large_star(edges)).distinct(), "edges")
+        # A round makes no more edges than twice the last one's.
+        edges = shared_table(_small_star(_large_star(edges)).distinct().coalesce(1 + 2 * before[0] // EDGES_A_FILE), "edges", as_is=True)
         now = _mark(edges)
         if now == before:
             break

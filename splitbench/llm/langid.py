@@ -9,7 +9,8 @@ labelled rows; prediction reads nothing but the text.
 Defined cases: a null text or one without a letter is ``und`` with score 0; if
 nothing can be learnt, every text is ``und``; texts of any length are read
 whole; repeated rows get equal predictions; a language not in the family table
-is a family of its own; an empty table gives no rows; further columns are
+is a family of its own; of equal votes or margins the first language or family
+by name wins; an empty table gives no rows; further columns are
 ignored by identify_languages() and kept by keep_identified().
 """
 
@@ -21,7 +22,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Numbered, crc_mod, on_path, pick
@@ -142,11 +143,11 @@ def _training_rows(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
 
 
 def train(labelled: DataFrame, sample_rows: int = 1600) -> LanguageModel:
-    """Fit on about ``sample_rows`` of the rows (doc_id, text, lang), as many of each language.
+    """Fit on at most ``sample_rows`` of the rows (doc_id, text, lang), as many of each language, 8 at least.
 
-    The sample is by hash of id and text, so it does not depend on the rows'
-    order; only features of the sample reach the driver, which holds them once
-    (32 KB a sample row).
+    The sample is by hash of id and length, then id and text, so it does not
+    depend on the rows' order; only features of the sample reach the driver,
+    which holds them once (32 KB a sample row).
     """
     rows = labelled.where("lang is not null and text is not null and text rlike '\\\\p{L}'")
     counts = {r["lang"]: r["count"] for r in labelled.where("lang is not null and text is not null").groupBy("lang").count().collect()}
@@ -157,13 +158,14 @@ def train(labelled: DataFrame, sample_rows: int = 1600) -> LanguageModel:
     wanted = F.lit(False)
     for lang, n in counts.items():
         wanted = wanted | ((F.col("lang") == lang) & (place < int(min(1.0, 1.3 * each / n) * (1 << 30))))
-    sample = rows.withColumn("place", place).where(wanted).limit(2 * each * len(counts))
-    found = sample.select("lang", "place", "doc_id", F.arrow_udf(_training_rows, "at binary, value binary")("text").alias("x")).collect()
-    found.sort(key=lambda r: (r["lang"], r["place"], str(r["doc_id"])))
+    # Rows that repeat id and text are one row of the sample, however many they are.
+    sample = rows.withColumn("place", place).where(wanted).groupBy("lang", "place", "doc_id", F.xxhash64("text").alias("hash")).agg(F.min("text").alias("text"))
+    first = sample.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("place", "doc_id", "hash"))).where(F.col("nth") <= each)
+    found = first.select("lang", "nth", F.arrow_udf(_training_rows, "at binary, value binary")("text").alias("x")).collect()
+    found.sort(key=lambda r: (r["lang"], r["nth"]))
     taken: dict[str, list] = {}
     for r in found:
-        if len(own := taken.setdefault(r["lang"], [])) < each:
-            own.append(r["x"])
+        taken.setdefault(r["lang"], []).append(r["x"])
     lang = [s for s, own in taken.items() for _ in range(2 * len(own))]
     x = np.zeros((len(lang), WIDTH + 1), np.float32)
     x[:, WIDTH] = 1

@@ -13,7 +13,9 @@ most n bins with room g are ever filled further, and bins of equal room are as
 good as each other: a node reads and passes on n of each room, and the packing
 is the one without that limit.
 
-Defined cases: a null or empty text is one piece holding the end id alone;
+Defined cases: of pieces of equal length the first read is placed first, of bins
+with equal room the one that got it last is filled first; a null or empty text is
+one piece holding the end id alone;
 repeated rows and null ids are documents of their own; texts of any length are
 tokenised whole; an empty table gives no rows; further columns are ignored.
 """
@@ -201,7 +203,8 @@ def pack_documents(
     if tokenizer_path is None:
         tokenizer_path, ranks_path = (public_tokenizers.path(f"byte_bpe_50k.{x}") for x in ("json", "tiktoken"))
     rows = pick(df, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    table = shared_table(rows.mapInArrow(_packer(tokenizer_path, ranks_path, capacity), PIECES), "pieces")
+    # A partition is a node, so partitions may not be joined once they are packed.
+    table = shared_table(rows.mapInArrow(_packer(tokenizer_path, ranks_path, capacity), PIECES), "pieces", as_is=True)
     pieces = table.where(F.col("piece") != OPEN_BIN)
     moved = merge_tree(table.where(F.col("piece") == OPEN_BIN).select("node", "bin", F.col("length").alias("fill")), capacity)
     return pieces.join(moved, "bin", "left").select(

@@ -1,9 +1,12 @@
 """Quality rules as a short-circuit cascade, in built-in expressions only.
 
-Each rule is a predicate over one row and a cost in units of work.  Costs and
-rejections are estimated on a sample; the rules then run in order of rejections
-per cost, and a row stops at the first rule that it fails.  The order never
-changes which rows are kept.
+Each rule is a predicate over one row.  On a sample of the rows that reach the
+rules at all, its rejections are counted and its cost estimated: one unit for
+each row, and one for each character that one of its patterns reads.  The rules
+then run in order of rejections per cost, each judged on what those before it
+leave, and a row stops at the first rule that it fails.  Costs are counted, not
+timed, so that reruns choose the same order; the order never changes which rows
+are kept.
 
 Defined cases: a null text has no words and every count is 0; texts of any
 length are read whole; repeated rows are judged alike; an empty table gives no
@@ -13,6 +16,7 @@ are replaced.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -21,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import BLANK, WORD, Numbered, pick
 
 WINDOW = 5
-SYMBOLS = r"[#*$%&|<>]+"
+SYMBOLS = r"[#*$%&|<>]"
 
 
 def let(value: Column, body) -> Column:
@@ -30,7 +34,7 @@ def let(value: Column, body) -> Column:
 
 
 def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
+    return F.filter(F.split(F.coalesce(text, F.lit("")), BLANK + "+"), lambda w: w != "")
 
 
 def removed(text: Column, pattern: str) -> Column:
@@ -43,7 +47,7 @@ def word_chars(text: Column) -> Column:
 
 
 def n_symbols(text: Column) -> Column:
-    return removed(text, SYMBOLS)
+    return F.coalesce(F.regexp_count(text, F.lit(SYMBOLS)), F.lit(0)).cast("long")
 
 
 def n_dup_lines(text: Column) -> Column:
@@ -86,86 +90,105 @@ def n_repeat_words(words: Column) -> Column:
 def base_statistics(df: DataFrame) -> DataFrame:
     """doc_id, text, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed for each row."""
     text = F.col("text")
+
+    def of_words(w: Column) -> Column:
+        chars = F.length(F.array_join(w, "")).cast("long")
+        return F.struct(F.size(w).cast("long").alias("n_words"), chars.alias("word_chars"), n_repeat_words(w).alias("n_repeat_words"))
+
     counted = pick(df, "doc_id", "text").select(
         "doc_id",
         "text",
-        let(words_of(text), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), n_repeat_words(w).alias("n_repeat_words"))).alias("w"),
-        word_chars(text).alias("word_chars"),
+        let(words_of(text), of_words).alias("w"),
         n_symbols(text).alias("n_symbols"),
         n_dup_lines(text).alias("n_dup_lines"),
     )
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    return counted.select("doc_id", "text", "w.n_words", "word_chars", "n_symbols", "n_dup_lines", "w.n_repeat_words").withColumn("base_failed", failed)
+    return counted.select("doc_id", "text", "w.n_words", "w.word_chars", "n_symbols", "n_dup_lines", "w.n_repeat_words").withColumn("base_failed", failed)
 
 
 @dataclass(frozen=True)
 class Rule:
-    """A named predicate that is true for rows to reject, and its work on a row."""
+    """A named predicate that is true for rows to reject."""
 
     name: str
     fails: Column
-    work: Column
+
+    def scans(self) -> int:
+        """How often the predicate goes through the text: its calls of functions that match patterns."""
+        return len(re.findall(r"\b(?:regexp_\w+|rlike|split)\(", str(self.fails), re.IGNORECASE))
+
+
+#: What default_rules() can take from columns of base_statistics().
+STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines")
 
 
-def default_rules() -> list[Rule]:
-    """Rules over ``text`` alone.  Their thresholds leave ordinary prose of any language alone.
+def default_rules(counted: bool = False) -> list[Rule]:
+    """Rules over ``text``, and over base_statistics() if they are ``counted`` already.
 
-    Work is in characters read, times a factor for how often a pattern looks at one.
+    Their thresholds leave ordinary prose of any language alone.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     size = F.length(text).cast("double")
     part = lambda pattern: removed(text, pattern) / F.greatest(size, F.lit(1.0))
-    n_words = F.regexp_count(text, F.lit(WORD))
+    made = {"n_words": F.regexp_count(text, F.lit(WORD)), "word_chars": word_chars(text), "n_symbols": n_symbols(text), "n_dup_lines": n_dup_lines(text)}
+    n_words, chars, symbols, dup_lines = (F.col(f"_stat_{name}") if counted else made[name] for name in STATISTICS)
     n_lines = F.greatest(F.regexp_count(text, F.lit(r"[^\n]*[^\x20\x09-\x0D][^\n]*")), F.lit(1))
     return [
-        Rule("too_few_words", n_words < 10, 2 * size),
-        Rule("symbols", n_symbols(text) > 0.3 * n_words, 3 * size),
-        Rule("mostly_no_letters", part(r"\p{L}+") < 0.4, 2 * size),
-        Rule("shouting", (part(r"\p{Lu}+") > 0.5 * part(r"\p{L}+")) & (size > 40), 4 * size),
-        Rule("repeated_lines", n_dup_lines(text) > 0.3 * n_lines, 4 * size),
-        Rule("word_length", ~(word_chars(text) / F.greatest(n_words, F.lit(1))).between(1.5, 60.0), 3 * size),
+        Rule("too_few_words", n_words < 10),
+        Rule("symbols", symbols > 0.3 * n_words),
+        Rule("mostly_no_letters", part(r"\p{L}+") < 0.4),
+        Rule("shouting", (part(r"\p{Lu}+") > 0.5 * part(r"\p{L}+")) & (size > 40)),
+        Rule("repeated_lines", (dup_lines > 0) & (dup_lines > 0.3 * n_lines)),
+        Rule("word_length", ~(chars / F.greatest(n_words, F.lit(1))).between(1.5, 60.0)),
     ]
 
 
-def order_rules(df: DataFrame, rules: list[Rule], sample_rows: int = 2000, seed: int = 17) -> list[Rule]:
+def order_rules(df: DataFrame, rules: list[Rule], sample_rows: int = 2000, seed: int = 17, reach: Column | None = None) -> list[Rule]:
     """The rules by rejections per unit of work, each judged on sample rows that those before it leave.
 
-    The sample is Bernoulli over all rows, then at most ``sample_rows`` rows; one
-    job returns a count and the mean work for each set of failed rules, at most
-    one row per sample row.
+    The sample is Bernoulli over all rows, about ``sample_rows`` of them, less the
+    rows that do not ``reach`` the rules; one job returns a count and the
+    characters read for each set of failed rules, at most one row per sample row.
     """
     total = df.count()
     if not total or len(rules) < 2:
         return list(rules)
-    sample = df.sample(fraction=min(1.0, 2.0 * sample_rows / total), seed=seed).limit(sample_rows)
+    sample = df.sample(fraction=min(1.0, sample_rows / total), seed=seed)
+    if reach is not None:
+        sample = sample.where(reach)
     mask = sum((F.when(F.coalesce(r.fails, F.lit(False)), F.lit(1 << i)).otherwise(F.lit(0)) for i, r in enumerate(rules)), F.lit(0))
-    seen = sample.select(mask.alias("mask"), *[F.coalesce(r.work, F.lit(0.0)).alias(f"w{i}") for i, r in enumerate(rules)])
-    groups = seen.groupBy("mask").agg(F.count("*").alias("n"), *[F.sum(f"w{i}").alias(f"w{i}") for i in range(len(rules))]).collect()
+    seen = sample.select(mask.alias("mask"), F.coalesce(F.length("text"), F.lit(0)).alias("chars"))
+    groups = seen.groupBy("mask").agg(F.count("*").alias("n"), F.sum("chars").alias("chars")).collect()
+    scans = [r.scans() for r in rules]
     left, order = list(range(len(rules))), []
     while left:
 
         def gain(i: int) -> float:
             rejected = sum(g["n"] for g in groups if g["mask"] >> i & 1)
-            return rejected / max(sum(g[f"w{i}"] for g in groups), 1e-9)
+            return rejected / max(sum(g["n"] + scans[i] * g["chars"] for g in groups), 1)
 
-        best = max(left, key=lambda i: (gain(i), -i))
+        best = max(left, key=lambda i: (gain(i), -scans[i], -i))
         order.append(rules[best])
         left.remove(best)
         groups = [g for g in groups if not g["mask"] >> best & 1]
     return order
 
 
-def quality_cascade(df: DataFrame, rules: list[Rule] | None = None, before: str | None = None, sample_rows: int = 2000) -> DataFrame:
+def quality_cascade(df: DataFrame, rules: list[Rule] | None = None, before: str | None = None, sample_rows: int = 2000, counted: bool = False) -> DataFrame:
     """df with kept and failed_rule (null if kept), rules in order of rejections per cost.
 
     ``before`` names a boolean column of df that is known already: rows for which
     it holds are rejected as ``before`` without looking at any rule.  A CASE
-    evaluates its branches in order and stops at the first that holds.
+    evaluates its branches in order and stops at the first that holds.  With
+    ``counted``, df comes from base_statistics() and its counts are not made again.
     """
     own = Numbered(df)
     rows = own.df.withColumn("text", F.col(own.place("text")))
-    ordered = order_rules(rows, default_rules() if rules is None else rules, sample_rows)
-    verdict = F.when(F.lit(False) if before is None else F.col(own.place(before)), F.lit("before"))
+    if counted:
+        rows = rows.withColumns({f"_stat_{name}": F.col(own.place(name)) for name in STATISTICS})
+    out = F.lit(False) if before is None else F.coalesce(F.col(own.place(before)), F.lit(False))
+    ordered = order_rules(rows, default_rules(counted) if rules is None else rules, sample_rows, reach=~out)
+    verdict = F.when(out, F.lit("before"))
     for rule in ordered:
         verdict = verdict.when(rule.fails, F.lit(rule.name))
     judged = rows.withColumn("failed_rule", verdict).withColumn("kept", F.col("failed_rule").isNull())

@@ -49,13 +49,31 @@ def test_rules_are_ordered_by_rejections_per_cost(spark):
     df = spark.createDataFrame([(i, "x" * i) for i in range(100)], "doc_id long, text string")
     n = F.length("text")
     rules = [
-        quality.Rule("dear", n > 10, F.lit(100.0)),
-        quality.Rule("cheap", n > 50, F.lit(1.0)),
-        quality.Rule("useless", n < 0, F.lit(0.1)),
+        quality.Rule("dear", F.regexp_count("text", F.lit("x")) > 10),
+        quality.Rule("cheap", n > 50),
+        quality.Rule("useless", n < 0),
     ]
+    assert [r.scans() for r in rules] == [1, 0, 0]
     assert [r.name for r in quality.order_rules(df, rules)] == ["cheap", "dear", "useless"]
 
 
+def test_rules_are_judged_on_rows_that_reach_them(spark):
+    """A rule that rejects only what was out before counts for nothing, and every partition is sampled."""
+    rows = [(i, "few words" if i < 300 else " ".join(f"#{chr(97 + k)}" for k in range(20)) if i % 3 else "a plain text of more than ten words that every rule lets pass by") for i in range(600)]
+    df = quality.base_statistics(spark.createDataFrame(rows, "doc_id long, text string").repartitionByRange(6, "doc_id"))
+    rules = [quality.Rule("few", F.col("n_words") < 10), quality.Rule("useless", F.length("text") < 0), quality.Rule("symbols", F.col("n_symbols") > 5)]
+    assert [r.name for r in quality.order_rules(df, rules, reach=~F.col("base_failed"))][0] == "symbols"
+    assert [r.name for r in quality.order_rules(df, rules)][0] == "few"
+    sampled = df.sample(fraction=0.1, seed=17).select(F.spark_partition_id().alias("p")).distinct().count()
+    assert sampled == 6
+
+
+def test_counted_rules_agree_with_rules_on_text(spark, odd):
+    counts = quality.base_statistics(odd)
+    both = [quality.quality_cascade(counts, counted=c).select("doc_id", "text", "kept").collect() for c in (True, False)]
+    assert sorted(map(str, both[0])) == sorted(map(str, both[1]))
+
+
 def test_empty_and_clashing(spark, empty, clashing):
     assert quality.quality_cascade(quality.base_statistics(empty), before="base_failed").count() == 0
     assert quality.quality_cascade(quality.base_statistics(clashing), before="base_failed").count() == 12

@@ -21,27 +21,27 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from splitbench.llm import langid, mixing, packing, secret_scan, simhash
-from splitbench.llm.common import shared_folder
+from splitbench.llm.common import fewer_files, shared_folder
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return langid.keep_identified(docs)
+    return fewer_files(langid.keep_identified(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs)
+    return fewer_files(simhash.keep_one(docs))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return secret_scan.redact_secrets(docs)
+    return fewer_files(secret_scan.redact_secrets(docs))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.repeat_by_mix(docs)
+    return fewer_files(mixing.repeat_by_mix(docs))
 
 
 def best_fit(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(docs)
+    return fewer_files(packing.pack_documents(docs))
 
 
 STAGES = [

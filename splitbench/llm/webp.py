@@ -7,9 +7,8 @@ The encoder weighs the format's tools by the size that they would give: palette
 cache; it always looks for back-references and writes optimal prefix codes.
 
 The decoder looks symbols up in tables.  Images of which only the green channel
-is coded, as grey and palette images are, it decodes as arrays: what starts at
-every bit is looked up at once, the codes that really start somewhere are found
-by following their lengths, and back-references are resolved by doubling.
+is coded, as grey and palette images are, have a loop of their own, in which a
+back-reference is one slice.
 
 A payload of bytes is stored as grey pixels, one byte each.
 """
@@ -89,72 +88,76 @@ _REVERSED = functools.lru_cache(maxsize=20)(_bit_reversal)
 class Prefix:
     """A canonical prefix code, as a table by the next ``width`` bits. A code of one symbol takes no bits."""
 
-    def __init__(self, lengths: np.ndarray):
-        used = np.flatnonzero(lengths)
-        if not len(used):
-            raise WebpError("a prefix code has no symbol")
-        self.only = int(used[0]) if len(used) == 1 else None
-        self.width = 0 if self.only is not None else int(lengths[used].max())
-        if self.only is not None:
-            self.symbols, self.bits = used.astype(np.int32), np.zeros(1, np.uint8)
-        else:
-            used = used[np.argsort(lengths[used], kind="stable")]
-            n = lengths[used]
-            share = 1 << (self.width - n)
-            if share.sum() != 1 << self.width:
-                raise WebpError("a prefix code is not complete")
-            order = _REVERSED(self.width)
-            self.symbols = np.repeat(used.astype(np.int32), share)[order]
-            self.bits = np.repeat(n.astype(np.uint8), share)[order]
+    def __init__(self, symbols: list[int], sizes: list[int]):
+        """A code for these symbols, in order, with code lengths that are not 0."""
         self.fast: tuple[list[int], list[int]] | None = None
+        self.only, self.width = None, 0
+        if len(symbols) < 2:
+            if not symbols:
+                raise WebpError("a prefix code has no symbol")
+            self.only = symbols[0]
+            self.symbols, self.bits = np.array(symbols, np.int64), np.zeros(1, np.int64)
+            return
+        self.width = max(sizes)
+        by_size = sorted(zip(sizes, symbols))
+        n = np.array([x[0] for x in by_size])
+        share = 1 << (self.width - n)
+        if share.sum() != 1 << self.width:
+            raise WebpError("a prefix code is not complete")
+        order = _REVERSED(self.width)
+        self.symbols = np.array([x[1] for x in by_size]).repeat(share)[order]
+        self.bits = n.repeat(share)[order]
+
+    def tables(self) -> tuple[list[int], list[int]]:
+        if self.fast is None:
+            self.fast = self.symbols.tolist(), self.bits.tolist()
+        return self.fast
 
     def read(self, bits: Bits) -> int:
         if self.only is not None:
             return self.only
-        if self.fast is None:
-            self.fast = self.symbols.tolist(), self.bits.tolist()
+        symbols, sizes = self.tables()
         ahead = bits.ahead(self.width)
-        bits.skip(self.fast[1][ahead])
-        return self.fast[0][ahead]
+        bits.skip(sizes[ahead])
+        return symbols[ahead]
 
 
 def _read_prefix(bits: Bits, size: int) -> Prefix:
-    lengths = np.zeros(size, np.int64)
     if bits.read(1):
         two, wide = bits.read(1), bits.read(1)
         symbols = [bits.read(8 if wide else 1)] + ([bits.read(8)] if two else [])
         if max(symbols) >= size:
             raise WebpError("a symbol is outside its alphabet")
-        lengths[symbols] = 1
-        return Prefix(lengths)
-    of_lengths = np.zeros(19, np.int64)
-    for k in CODE_LENGTH_ORDER[: 4 + bits.read(4)]:
-        of_lengths[k] = bits.read(3)
-    code = Prefix(of_lengths)
+        symbols = sorted(set(symbols))
+        return Prefix(symbols, [1] * len(symbols))
+    given = [(k, n) for k in CODE_LENGTH_ORDER[: 4 + bits.read(4)] if (n := bits.read(3))]
+    code = Prefix([k for k, _ in sorted(given)], [n for _, n in sorted(given)])
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else size
-    found: list[int] = []
-    last = 8
-    while len(found) < size and left:
+    symbols, sizes, at, last = [], [], 0, 8
+    while at < size and left:
         left -= 1
         s = code.read(bits)
         if s < 16:
-            found.append(s)
-            last = s or last
-            continue
-        value, times = (last, 3 + bits.read(2)) if s == 16 else (0, 3 + bits.read(3)) if s == 17 else (0, 11 + bits.read(7))
-        found += [value] * times
-    if len(found) > size:
+            if s:
+                symbols.append(at)
+                sizes.append(s)
+                last = s
+            at += 1
+        elif s == 16:
+            times = 3 + bits.read(2)
+            symbols += range(at, at + times)
+            sizes += [last] * times
+            at += times
+        else:
+            at += 3 + bits.read(3) if s == 17 else 11 + bits.read(7)
+    if at > size:
         raise WebpError("code lengths run past their alphabet")
-    lengths[: len(found)] = found
-    return Prefix(lengths)
+    return Prefix(symbols, sizes)
 
 
 def _extended(code: int, bits: Bits) -> int:
     """The length or distance of a prefix code with its extra bits."""
-    if code < 4:
-        return code + 1
-    extra = (code - 2) >> 1
-    return ((2 + (code & 1)) << extra) + bits.read(extra) + 1
+    return LEAST[code] + bits.read(EXTRA[code])
 
 
 def _read_pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
@@ -205,21 +208,25 @@ def _read_pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     return np.array(out, np.uint32)
 
 
-#: Bits looked at in one go by the array decoder.
-STRETCH = 1 << 17
-
-
 @functools.lru_cache(maxsize=64)
-def _near(width: int) -> np.ndarray:
+def _near(width: int) -> list[int]:
     """The distances of the short distance codes in an image of that width, code 1 first."""
-    return np.array([max(1, left + up * width) for left, up in SHORT_DISTANCES], np.int64)
+    return [max(1, left + up * width) for left, up in SHORT_DISTANCES]
+
+
+#: A length or distance by its prefix code: the least one, and the extra bits that are added to it.
+LEAST = [c + 1 if c < 4 else (2 + (c & 1) << (c - 2 >> 1)) + 1 for c in range(40)]
+EXTRA = [0 if c < 4 else c - 2 >> 1 for c in range(40)]
 
 
-def _numbers(words: np.ndarray, at: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Lengths or distances of prefix codes whose extra bits start at bits ``at``; and where those end."""
-    extra = np.where(code < 4, 0, (code - 2) >> 1)
-    more = (words[at >> 3] >> (at & 7).astype(np.uint32)).astype(np.int64) & ((1 << extra) - 1)
-    return np.where(code < 4, code, (2 + (code & 1) << extra) + more) + 1, at + extra
+def _pairs(green: Prefix) -> np.ndarray:
+    """By the next bits: a symbol and the length of its code, or two literals and the length of both, from 8192 on."""
+    symbol, size = green.symbols, green.bits
+    rest = np.arange(len(symbol)) >> size
+    both = size + size[rest]
+    # A literal of 0 after another could not be told from a single symbol, so it stays alone.
+    double = (symbol < 256) & (symbol[rest] < 256) & (symbol[rest] > 0) & (both <= min(green.width, 15))
+    return np.where(double, symbol[rest] << 13 | symbol << 4 | both, symbol << 4 | size)
 
 
 def _green_only(bits: Bits, green: Prefix, distance: Prefix, n: int, width: int) -> np.ndarray:
@@ -228,70 +235,48 @@ def _green_only(bits: Bits, green: Prefix, distance: Prefix, n: int, width: int)
         if green.only > 255:
             raise WebpError("a back-reference leaves the image")
         return np.full(n, green.only, np.uint8)
-    total = 8 * len(bits.data)
-    at, made = bits.at, 0
-    symbols, counts, fars, ends = [], [], [], []
-    eight = np.arange(8, dtype=np.uint32)
-    while made < n:
-        if at >= total:
-            raise WebpError("the image data end too early")
-        first = at >> 3
-        raw = np.frombuffer(bits.data[first : first + STRETCH // 8 + 12], np.uint8)
-        held = min(len(raw), STRETCH // 8)
-        raw = np.concatenate([raw, np.zeros(12, np.uint8)]).astype(np.uint32)
-        words = raw[:-3] | raw[1:-2] << 8 | raw[2:-1] << 16 | raw[3:] << 24
-        ahead = (words[:held, None] >> eight).ravel() & np.uint32((1 << green.width) - 1)
-        symbol = green.symbols[ahead]
-        following = np.arange(8 * held, dtype=np.int64) + green.bits[ahead]
-        refs = np.flatnonzero(symbol > 255)
-        if len(refs):
-            length, then = _numbers(words, following[refs], symbol[refs] - 256)
-            there = (words[then >> 3] >> (then & 7).astype(np.uint32)) & np.uint32((1 << distance.width) - 1)
-            far, then = _numbers(words, then + distance.bits[there], distance.symbols[there].astype(np.int64))
-            following[refs] = then
-        steps, p, place, limit = following.tolist(), at & 7, [], 8 * held
-        add = place.append
-        while p < limit:
-            add(p)
-            p = steps[p]
-        place = np.array(place)
-        got = symbol[place]
-        some = np.ones(len(place), np.int64)
-        apart = np.zeros(len(place), np.int64)
-        if len(refs):
-            which = np.flatnonzero(got > 255)
-            back = np.searchsorted(refs, place[which])
-            some[which], apart[which] = length[back], far[back]
-        sums = made + np.cumsum(some)
-        last = int(np.searchsorted(sums, n)) + 1  # codes up to the one that completes the image
-        symbols.append(got[:last])
-        counts.append(some[:last])
-        fars.append(apart[:last])
-        ends.append(sums[:last])
-        made = int(ends[-1][-1])
-        end = int(following[place[last - 1]]) if last <= len(place) else p
-        at = 8 * first + end
-    if made > n:
-        raise WebpError("a back-reference leaves the image")
-    if at > total:
+    raw = np.append(np.frombuffer(bits.data, np.uint8, offset=bits.at >> 3), np.zeros(12, np.uint8)).astype(np.uint32)
+    words = (raw[:-3] | raw[1:-2] << 8 | raw[2:-1] << 16 | raw[3:] << 24).tolist()  # 32 bits from each byte on
+    last = 8 * (len(raw) - 12)
+    codes, mask = _pairs(green).tolist(), (1 << green.width) - 1
+    far_codes, far_mask = (distance.symbols << 4 | distance.bits).tolist(), (1 << distance.width) - 1
+    near, out, at = _near(width), bytearray(), bits.at & 7
+    add, left = out.append, n
+    while left > 0 and at < last:
+        code = codes[words[at >> 3] >> (at & 7) & mask]
+        at += code & 15
+        if code >= 8192:  # two literals
+            add(code >> 4 & 255)
+            add(code >> 13)
+            left -= 2
+            continue
+        if code < 4096:
+            add(code >> 4)
+            left -= 1
+            continue
+        code = (code >> 4) - 256
+        more = EXTRA[code]
+        length = LEAST[code] + (words[at >> 3] >> (at & 7) & (1 << more) - 1)
+        at += more
+        code = far_codes[words[at >> 3] >> (at & 7) & far_mask]
+        at += code & 15
+        code >>= 4
+        more = EXTRA[code]
+        far = LEAST[code] + (words[at >> 3] >> (at & 7) & (1 << more) - 1)
+        at += more
+        far = far - 120 if far > 120 else near[far - 1]
+        if far > len(out) or length > left or at > last:
+            raise WebpError("a back-reference leaves the image")
+        begin = len(out) - far
+        out += out[begin : begin + length] if far >= length else (out[begin:] * (length // far + 1))[:length]
+        left -= length
+    if left < 0:  # the second literal was what comes after the image
+        at -= int(green.bits[(green.symbols == out.pop()).argmax()])
+        left += 1
+    if left or at > last:
         raise WebpError("the image data end too early")
-    bits.at = at
-    symbols, counts, fars, ends = map(np.concatenate, (symbols, counts, fars, ends))
-    values = np.minimum(symbols, 255).astype(np.uint8)
-    if not fars.any():
-        return values
-    fars = np.where(fars > 120, fars - 120, _near(width)[np.minimum(fars, 120) - 1]) * (fars > 0)
-    if (fars > ends - counts).any():
-        raise WebpError("a back-reference leaves the image")
-    out, origin = np.repeat(values, counts), np.arange(n)
-    copied = np.repeat(fars, counts)
-    todo = np.flatnonzero(copied)
-    origin[todo] -= copied[todo]
-    while len(todo):  # each round doubles how far back a pixel looks
-        further = origin[origin[todo]]
-        todo, further = todo[(moved := further != origin[todo])], further[moved]
-        origin[todo] = further
-    return out[origin]
+    bits.at = (bits.at & ~7) + at
+    return np.frombuffer(out, np.uint8)
 
 
 def _parts(p: int) -> tuple[int, int, int, int]:
@@ -483,13 +468,13 @@ class BitWriter:
         self.size += n
 
     def put_all(self, values: np.ndarray, widths: np.ndarray) -> None:
-        """Put arrays of numbers, none over 64 bits."""
+        """Put arrays of numbers, none over 64 bits, a stretch at a time."""
         parts = [np.unpackbits(np.frombuffer(self.value.to_bytes((self.size + 7) // 8, "little"), np.uint8), bitorder="little")[: self.size]]
-        for s in range(0, len(values), STRETCH):
-            w = widths[s : s + STRETCH]
+        for s in range(0, len(values), 1 << 16):
+            w = widths[s : s + (1 << 16)]
             ends = np.cumsum(w)
             within = np.arange(ends[-1]) - np.repeat(ends - w, w)
-            parts.append((np.repeat(values[s : s + STRETCH], w) >> within.astype(np.uint64) & np.uint64(1)).astype(np.uint8))
+            parts.append((np.repeat(values[s : s + (1 << 16)], w) >> within.astype(np.uint64) & np.uint64(1)).astype(np.uint8))
         bits = np.concatenate(parts)
         self.size = len(bits)
         self.value = int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
@@ -553,17 +538,19 @@ def _code_of(counts: np.ndarray, limit: int = 15) -> tuple[np.ndarray, np.ndarra
     return lengths, codes, lengths
 
 
+def _put_single(bits: BitWriter, symbol: int) -> None:
+    """A code of one symbol."""
+    wide = symbol > 1
+    bits.put(1 | wide << 2 | symbol << 3, 11 if wide else 4)
+
+
 def _put_code(bits: BitWriter, lengths: np.ndarray) -> None:
     used = np.flatnonzero(lengths).tolist()
     if len(used) < 2 and (not used or used[0] < 256) or len(used) == 2 and used[1] < 256:
-        used = used or [0]
-        bits.put(1, 1)
-        bits.put(len(used) - 1, 1)
-        wide = used[0] > 1
-        bits.put(wide, 1)
-        bits.put(used[0], 8 if wide else 1)
-        if len(used) == 2:
-            bits.put(used[1], 8)
+        if len(used) < 2:
+            _put_single(bits, used[0] if used else 0)
+        else:
+            bits.put(7 | used[0] << 3 | used[1] << 11, 19)
         return
     bits.put(0, 1)
     said: list[tuple[int, int, int]] = []  # a symbol of the code length code, extra bits, their number
@@ -611,42 +598,61 @@ REACH = (1 << 20) - 120
 
 
 def _matches(items: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, length and distance of back-references to the last place with the same five bytes or two pixels, greedily from the left."""
+    """Start, length and distance of back-references to the last place with the same five bytes or two pixels, greedily from the left.
+
+    Bytes are compared only after the most frequent one, which in texts ends words.
+    """
     n, size = len(items), items.itemsize
     least = 5 if size == 1 else 2
     none = np.zeros(0, np.int64)
     if n <= least:
         return none, none, none
-    words = np.ndarray((n + 8 // size,), "<u8", items.tobytes() + bytes(16), strides=(size,))  # eight bytes from each item on
+    raw = items.tobytes()
+    words = np.ndarray((n + 8 // size,), "<u8", raw + bytes(16), strides=(size,))  # eight bytes from each item on
     key = words[: n - least + 1] & np.uint64((1 << 8 * size * least) - 1)
-    order = np.argsort(key, kind="stable")
-    same = np.diff(key[order]) == 0
+    if size == 1:
+        tried = np.flatnonzero(items[: n - least] == np.bincount(items).argmax()) + 1
+        key = key[tried]
+    order = key.argsort(kind="stable")
+    key = key[order]
+    same = key[1:] == key[:-1]
+    if size == 1:
+        order = tried[order]
     here, before = order[1:][same], order[:-1][same]
     if not len(here):
         return none, none, none
-    place = np.argsort(here)
+    place = here.argsort()
     here, far = here[place], (here - before)[place]
-    # Where the next item looks as far back, its match is this one's but one; so only the last of such a run is compared.
-    ends = np.append(np.flatnonzero((np.diff(here) != 1) | (np.diff(far) != 0)), len(here) - 1)
-    last, back = here[ends], far[ends]
-    alike = np.full(len(ends), least)
-    todo, step = np.arange(len(ends)), 8 // size
-    while len(todo):
-        at = np.minimum(last[todo] + alike[todo], n)
-        apart = words[at] ^ words[at - back[todo]]
+    end, step = here + least, 8 // size
+    todo = np.arange(len(here))
+    for _ in range(3):  # eight bytes at a time, for most are short
+        at = end[todo]
+        apart = words[at] ^ words[at - far[todo]]
         low = apart & (~apart + np.uint64(1))
-        alike[todo] += np.where(apart == 0, step, np.log2(np.maximum(low, np.uint64(1))).astype(np.int64) // (8 * size))
-        todo = todo[(apart == 0) & (at + step < n)]
-    run = np.searchsorted(ends, np.arange(len(here)))
-    length = np.minimum(np.minimum(last + alike, n)[run] - here, 4096)
+        end[todo] += np.where(apart == 0, step, np.log2(np.maximum(low, np.uint64(1))).astype(np.int64) // (8 * size))
+        todo = todo[(apart == 0) & (at + 2 * step < n)]
+        if not len(todo):
+            break
+    np.minimum(end, n, out=end)
+    more = np.zeros(len(here), bool)
+    more[todo] = True
     picked, until = [], 0
-    for k, (i, end) in enumerate(zip(here.tolist(), (here + length).tolist())):
-        if i >= until:
-            picked.append(k)
-            until = end
-    picked = np.array(picked)
-    picked = picked[far[picked] <= REACH]
-    return here[picked], length[picked], far[picked]
+    for i, back, stop, longer in zip(here.tolist(), far.tolist(), end.tolist(), more.tolist()):
+        if i < until or back > REACH:
+            continue
+        if longer:
+            at, skip, step, most = size * stop, size * back, 64, size * min(n, i + 4096)
+            while step >= size:
+                if at + step <= most and raw[at : at + step] == raw[at - skip : at - skip + step]:
+                    at += step
+                    step *= 2
+                else:
+                    step //= 2
+            stop = at // size
+        picked.append((i, stop - i, back))
+        until = stop
+    start, length, far = np.array(picked, np.int64).reshape(-1, 3).T
+    return start, length, far
 
 
 def _prefixed(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -660,7 +666,7 @@ def _prefixed(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 @functools.lru_cache(maxsize=64)
 def _short_code(width: int) -> np.ndarray:
     """By distance: its short distance code in an image of that width, or 0."""
-    near = _near(width)
+    near = np.array(_near(width))
     out = np.zeros(int(near.max()) + 1, np.int64)
     out[near[::-1]] = np.arange(len(near), 0, -1)
     return out
@@ -675,65 +681,85 @@ def _cache_hits(pixels: np.ndarray, cache_bits: int) -> tuple[np.ndarray, np.nda
     return key.astype(np.int64), hit
 
 
-def _put_pixels(bits: BitWriter, pixels: np.ndarray, width: int, main: bool) -> dict[str, int]:
-    """Write an entropy-coded image; returns how often what was used."""
-    channels = [(pixels >> np.uint32(s)).astype(np.uint8) for s in (8, 16, 0, 24)]
-    grey = all(int(c.min()) == int(c.max()) for c in channels[1:])
-    start, length, far = _matches(channels[0] if grey else pixels)
-    n = len(pixels)
-    edge = np.zeros(n + 1, np.int8)
-    edge[start] += 1
-    edge[start + length] -= 1
-    inside = np.cumsum(edge[:-1]) > 0
-    first = ~inside
-    first[start] = True
-    at = np.flatnonzero(first)
-    ref = np.flatnonzero(inside[at])
-    symbol = channels[0][at].astype(np.int64)
-    size_code, size_extra, size_more = _prefixed(length)
-    symbol[ref] = 256 + size_code
-    literal = np.ones(len(at), bool)
-    literal[ref] = False
-
-    cache_bits = 0
-    if not grey:
+def _put_pixels(bits: BitWriter, pixels: np.ndarray, width: int, main: bool, rest: tuple[int, int, int] | None = None) -> dict[str, int]:
+    """Write an entropy-coded image; returns how often what was used.
+
+    With ``rest``, pixels are bytes of the green channel, and all pixels have
+    these values of red, blue and alpha.
+    """
+    if rest is None:
+        channels = [(pixels >> np.uint32(s)).astype(np.uint8) for s in (8, 16, 0, 24)]
+        if all(int(c.min()) == int(c.max()) for c in channels[1:]):
+            pixels, rest = channels[0], tuple(int(c[0]) for c in channels[1:])
+    green = pixels if rest is not None else channels[0]
+    start, length, far = _matches(pixels)
+    n, cache_bits = len(pixels), 0
+    if len(start):
+        edge = np.zeros(n + 1, np.int8)
+        edge[start] = 1
+        edge[start + length] -= 1
+        inside = edge[:-1].cumsum(dtype=np.int8) > 0
+        first = ~inside
+        first[start] = True
+        at = np.flatnonzero(first)
+        ref = np.flatnonzero(inside[at])
+        symbol = green[at].astype(np.int64)
+        size_code, size_extra, size_more = _prefixed(length)
+        symbol[ref] = 256 + size_code
+        short = _short_code(width)
+        known = short[np.minimum(far, len(short) - 1)] * (far < len(short))
+        far_code, far_extra, far_more = _prefixed(np.where(known > 0, known, far + 120))
+        far_counts = np.bincount(far_code, minlength=40)
+    else:
+        at, ref, symbol, far_counts = np.arange(n), start, green.astype(np.int64), np.zeros(40, np.int64)
+
+    if rest is None:
+        literal = np.ones(len(at), bool)
+        literal[ref] = False
         spent = sum(_size(np.bincount(c[at[literal]], minlength=1)) for c in channels)
         for b in (4, 7, 10):
             key, hit = _cache_hits(pixels, b)
             hit = hit[at] & literal
-            rest = at[literal & ~hit]
-            cost = _size(np.bincount(np.where(hit, 256 + key[at], channels[0][at])[literal])) + sum(_size(np.bincount(c[rest], minlength=1)) for c in channels[1:])
+            others = at[literal & ~hit]
+            cost = _size(np.bincount(np.where(hit, 256 + key[at], green[at])[literal])) + sum(_size(np.bincount(c[others], minlength=1)) for c in channels[1:])
             if cost < spent:
                 spent, cache_bits, cached = cost, b, (key, hit)
-    if cache_bits:
-        key, hit = cached
-        symbol[hit] = 280 + key[at[hit]]
-        literal &= ~hit
+        if cache_bits:
+            key, hit = cached
+            symbol[hit] = 280 + key[at[hit]]
+            literal &= ~hit
     bits.put(cache_bits > 0, 1)
     if cache_bits:
         bits.put(cache_bits, 4)
     if main:
         bits.put(0, 1)  # one group of codes
 
-    short = _short_code(width)
-    known = short[np.minimum(far, len(short) - 1)] * (far < len(short))
-    far_code, far_extra, far_more = _prefixed(np.where(known > 0, known, far + 120))
-    alphabets = [np.bincount(symbol, minlength=280 + (1 << cache_bits if cache_bits else 0))]
-    alphabets += [np.bincount(c[at[literal]], minlength=256) for c in channels[1:]]
-    codes = [_code_of(counts) for counts in [*alphabets, np.bincount(far_code, minlength=40)]]
-    for lengths, _, _ in codes:
-        _put_code(bits, lengths)
+    codes = [_code_of(np.bincount(symbol, minlength=280 + (1 << cache_bits if cache_bits else 0)))]
+    _put_code(bits, codes[0][0])
+    if rest is None:
+        codes += [_code_of(np.bincount(c[at[literal]], minlength=256)) for c in channels[1:]]
+        for lengths, _, _ in codes[1:]:
+            _put_code(bits, lengths)
+    else:
+        for value in rest:
+            _put_single(bits, value)
+    codes.append(_code_of(far_counts))
+    _put_code(bits, codes[-1][0])
     values, widths = codes[0][1][symbol], codes[0][2][symbol]
-    for c, (_, code, wide) in zip(channels[1:], codes[1:4]):
+    for c, (_, code, wide) in zip(channels[1:], codes[1:4]) if rest is None else ():
         if wide.any():
             own = c[at[literal]]
             values[literal] |= code[own] << widths[literal].astype(np.uint64)
             widths[literal] += wide[own]
-    for value, more in ((size_extra.astype(np.uint64), size_more), (codes[4][1][far_code], codes[4][2][far_code]), (far_extra.astype(np.uint64), far_more)):
-        values[ref] |= value << widths[ref].astype(np.uint64)
-        widths[ref] += more
+    if len(ref):
+        value, wide = values[ref], widths[ref]
+        for more, bits_more in ((size_extra, size_more), (codes[-1][1][far_code], codes[-1][2][far_code]), (far_extra, far_more)):
+            value |= more.astype(np.uint64) << wide.astype(np.uint64)
+            wide = wide + bits_more
+        values[ref], widths[ref] = value, wide
     bits.put_all(values, widths)
-    return {"back-reference": len(ref), "colour cache": int(cache_bits and hit.sum()), "prefix code": sum(int(c[2].max()) > int(c[2][c[2] > 0].min(initial=99)) for c in codes)}
+    uneven = sum(len(np.unique(wide[wide > 0])) > 1 for _, _, wide in codes)
+    return {"back-reference": len(ref), "colour cache": int(cache_bits and hit.sum()), "prefix code": uneven}
 
 
 def _minus(pixels: np.ndarray, guess: np.ndarray) -> np.ndarray:
@@ -742,22 +768,19 @@ def _minus(pixels: np.ndarray, guess: np.ndarray) -> np.ndarray:
     return parts.view(np.uint32)
 
 
-#: The predictions that the encoder tries, each for a whole image.
-TRIED_MODES = (1, 2, 4)
-
+#: The predictions that the encoder tries, each for a whole image; and the bits a grey sample below which it tries none.
+TRIED_MODES, HARD = (1, 2, 4), 5
 
-def _residual(pixels: np.ndarray, width: int, mode: int) -> np.ndarray:
-    grid = pixels.reshape(-1, width)
-    guess = np.empty_like(grid)
-    guess[0, 0], guess[0, 1:], guess[1:, 0] = OPAQUE, grid[0, :-1], grid[:-1, 0]
-    guess[1:, 1:] = {1: grid[1:, :-1], 2: grid[:-1, 1:], 4: grid[:-1, :-1]}[mode]
-    return _minus(pixels, guess.ravel())
 
-
-def _grey_rest(samples: np.ndarray, mode: int) -> float:
-    """The size that rows of samples would take after prediction, but for the first row and column."""
-    rest = samples[:, 1:] - samples[:, :-1] if mode == 1 else samples[1:] - samples[:-1] if mode == 2 else samples[1:, 1:] - samples[:-1, :-1]
-    return _size(np.bincount(rest.ravel(), minlength=1)) * samples.size / max(rest.size, 1) if rest.size else math.inf
+def _residual(grid: np.ndarray, mode: int) -> np.ndarray:
+    """Rows of pixels, each as one or four bytes, less what a mode predicts."""
+    rest = grid.copy()
+    rest[0, 1:] -= grid[0, :-1]
+    rest[1:, 0] -= grid[:-1, 0]
+    rest[1:, 1:] -= {1: grid[1:, :-1], 2: grid[:-1, 1:], 4: grid[:-1, :-1]}[mode]
+    if grid.ndim == 3:
+        rest[0, 0] -= np.array([0, 0, 0, 255], np.uint8)  # the first pixel follows opaque black
+    return rest
 
 
 def _colours_size(pixels: np.ndarray) -> float:
@@ -790,59 +813,87 @@ def _riff(data: bytes) -> bytes:
     return b"RIFF" + struct.pack("<I", len(data) + 12) + b"WEBPVP8L" + struct.pack("<I", len(data)) + data
 
 
-def encode_image(image: np.ndarray) -> tuple[bytes, dict[str, int]]:
-    """A WebP file of height rows of ARGB pixels, and how often each of the format's tools was used."""
-    height, width = image.shape
-    pixels = np.ascontiguousarray(image, np.uint32).ravel()
-    bits, used = BitWriter(), {}
-    for value, n in ((0x2F, 8), (width - 1, 14), (height - 1, 14), (1, 1), (0, 3)):
-        bits.put(value, n)
+class ImageWriter:
+    """Writes one image, and notes which of the format's tools it uses."""
 
-    def transform(kind: int, name: str) -> None:
-        bits.put(1, 1)
-        bits.put(kind, 2)
-        used[name] = 1
+    def __init__(self, width: int, height: int):
+        self.bits, self.used, self.width, self.height = BitWriter(), {}, width, height
+        self.bits.put(0x2F | width - 1 << 8 | height - 1 << 22 | 1 << 36, 40)
 
-    def one_block(pixel: int) -> None:
-        across, down = -(-width >> 9), -(-height >> 9)
-        bits.put(7, 3)
-        _put_pixels(bits, np.full(across * down, pixel, np.uint32), across, False)
+    def transform(self, kind: int, name: str) -> None:
+        self.bits.put(1 | kind << 1, 3)
+        self.used[name] = 1
 
-    green = (pixels >> np.uint32(8)).astype(np.uint8)
-    grey = bool((pixels == green * np.uint32(0x010101) + np.uint32(OPAQUE)).all())
-    colours = np.flatnonzero(np.bincount(green, minlength=256)).astype(np.uint32) * np.uint32(0x010101) + np.uint32(OPAQUE) if grey else np.unique(pixels)
-    whole = _size(np.bincount(green)) if grey else _colours_size(pixels)
-    index_size = len(colours) <= 256 and not grey and _size(np.unique(pixels, return_counts=True)[1]) + 24 * len(colours)
-    if len(colours) <= 16 or not grey and len(colours) <= 256 and index_size < whole:
-        transform(PALETTE, "palette")
-        bits.put(len(colours) - 1, 8)
-        _put_pixels(bits, _minus(colours, np.append(np.uint32(0), colours[:-1])), len(colours), False)
+    def one_block(self, kind: int, name: str, pixel: int) -> None:
+        """A transform with one pixel of parameters for the whole image."""
+        self.transform(kind, name)
+        across, down = -(-self.width >> 9), -(-self.height >> 9)
+        self.bits.put(7, 3)
+        _put_pixels(self.bits, np.full(across * down, pixel, np.uint32), across, False)
+
+    def palette(self, colours: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, int]:
+        """The table of colours; returns the packed indices and their width."""
+        self.transform(PALETTE, "palette")
+        self.bits.put(len(colours) - 1, 8)
+        _put_pixels(self.bits, _minus(colours, np.append(np.uint32(0), colours[:-1])), len(colours), False)
         packed = 3 if len(colours) <= 2 else 2 if len(colours) <= 4 else 1 if len(colours) <= 16 else 0
-        index = np.searchsorted(colours, pixels).astype(np.uint32).reshape(height, width)
-        index = np.pad(index, ((0, 0), (0, -width % (1 << packed)))).reshape(height, -1, 1 << packed)
-        shifts = np.arange(1 << packed, dtype=np.uint32) * np.uint32(8 >> packed)
-        index = (index << shifts).sum(axis=2, dtype=np.uint32)
-        pixels, coded_width = index.ravel() << np.uint32(8) | np.uint32(OPAQUE), index.shape[1]
-    else:
-        coded_width = width
-        best, mode = min((_grey_rest(green.reshape(height, width), m) if grey else _colours_size(_residual(pixels, width, m)), m) for m in TRIED_MODES)
-        if best + 64 < whole:
-            transform(PREDICT, "predictor")
-            one_block(mode << 8 | OPAQUE)
-            pixels, whole = _residual(pixels, width, mode), best
-        if not grey:
-            crossed, factors = _cross(pixels)
-            plain, other = _colours_size(_less_green(pixels)), _colours_size(crossed) + 64
-        if grey or plain <= min(other, whole):
-            transform(GREEN, "subtract green")
-            pixels = _less_green(pixels)
-        elif other < whole:
-            transform(CROSS, "cross-colour")
-            one_block(factors)
-            pixels = crossed
-    bits.put(0, 1)
-    used |= _put_pixels(bits, pixels, coded_width, True)
-    return _riff(bits.bytes()), used
+        index = np.pad(index.reshape(self.height, -1).astype(np.uint8), ((0, 0), (0, -self.width % (1 << packed)))).reshape(self.height, -1, 1 << packed)
+        index = (index << (np.arange(1 << packed, dtype=np.uint8) * (8 >> packed))).sum(axis=2, dtype=np.uint8)
+        return index.ravel(), index.shape[1]
+
+    def finish(self, pixels: np.ndarray, width: int, rest: tuple[int, int, int] | None = None) -> tuple[bytes, dict[str, int]]:
+        self.bits.put(0, 1)
+        self.used |= _put_pixels(self.bits, pixels, width, True, rest)
+        return _riff(self.bits.bytes()), self.used
+
+
+def encode_grey(samples: np.ndarray) -> tuple[bytes, dict[str, int]]:
+    """encode_image() for opaque grey pixels, given as rows of bytes."""
+    height, width = samples.shape
+    image, flat = ImageWriter(width, height), np.ascontiguousarray(samples, np.uint8).ravel()
+    counts = np.bincount(flat, minlength=256)
+    found = np.flatnonzero(counts)
+    if len(found) <= 16:
+        place = np.zeros(256, np.uint8)
+        place[found] = np.arange(len(found))
+        return image.finish(*image.palette(found.astype(np.uint32) * np.uint32(0x010101) + np.uint32(OPAQUE), place[flat]), (0, 0, 255))
+    plain, alpha = _size(counts), 255
+    if plain > HARD * len(flat):
+        best, mode = min((_size(np.bincount(_residual(samples, m).ravel(), minlength=256)), m) for m in TRIED_MODES)
+        if best + 64 < plain:
+            image.one_block(PREDICT, "predictor", mode << 8 | OPAQUE)
+            flat, alpha = _residual(samples, mode).ravel(), 0
+    image.transform(GREEN, "subtract green")
+    return image.finish(flat, width, (0, 0, alpha))
+
+
+def encode_image(pixels: np.ndarray) -> tuple[bytes, dict[str, int]]:
+    """A WebP file of height rows of ARGB pixels, and how often each of the format's tools was used."""
+    height, width = pixels.shape
+    pixels = np.ascontiguousarray(pixels, np.uint32)
+    green = (pixels >> np.uint32(8)).astype(np.uint8)
+    if (pixels == green * np.uint32(0x010101) + np.uint32(OPAQUE)).all():
+        return encode_grey(green)
+    image, flat = ImageWriter(width, height), pixels.ravel()
+    colours, index, counts = np.unique(flat, return_inverse=True, return_counts=True)
+    plain = _colours_size(flat)
+    if len(colours) <= 16 or len(colours) <= 256 and _size(counts) + 24 * len(colours) < plain:
+        return image.finish(*image.palette(colours, index), (0, 0, 255))
+    bytes_of = pixels.view(np.uint8).reshape(height, width, 4)
+    tried = {m: np.ascontiguousarray(_residual(bytes_of, m)).view(np.uint32).ravel() for m in TRIED_MODES}
+    best, mode = min((_colours_size(rest), m) for m, rest in tried.items())
+    if best + 64 < plain:
+        image.one_block(PREDICT, "predictor", mode << 8 | OPAQUE)
+        flat, plain = tried[mode], best
+    crossed, factors = _cross(flat)
+    less, other = _colours_size(_less_green(flat)), _colours_size(crossed) + 64
+    if less <= min(other, plain):
+        image.transform(GREEN, "subtract green")
+        flat = _less_green(flat)
+    elif other < plain:
+        image.one_block(CROSS, "cross-colour", factors)
+        flat = crossed
+    return image.finish(flat, width)
 
 
 def _less_green(pixels: np.ndarray) -> np.ndarray:
@@ -858,16 +909,15 @@ ROW, TILE = 64, 64 * SIDE
 
 
 def grey(payload: bytes) -> list[np.ndarray]:
-    """A payload of a multiple of 64 bytes as grey images of 64 pixels a row, at most 1 MiB each."""
+    """A payload of a multiple of 64 bytes as the samples of grey images of 64 pixels a row, at most 1 MiB each."""
     if len(payload) % ROW:
         raise ValueError(f"a payload is whole rows of {ROW} bytes")
-    samples = [np.frombuffer(payload[s : s + TILE], np.uint8).reshape(-1, ROW) for s in range(0, len(payload), TILE)]
-    return [x * np.uint32(0x010101) + np.uint32(OPAQUE) for x in samples]
+    return [np.frombuffer(payload[s : s + TILE], np.uint8).reshape(-1, ROW) for s in range(0, len(payload), TILE)]
 
 
 def encode_payload(payload: bytes) -> bytes:
     """A payload of a multiple of 64 bytes as WebP files, one after another."""
-    return b"".join(map(encode_pixels, grey(payload)))
+    return b"".join(encode_grey(samples)[0] for samples in grey(payload))
 
 
 def payload_of(images: list[np.ndarray]) -> bytes:

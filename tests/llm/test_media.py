@@ -99,7 +99,8 @@ def test_query_and_operators(spark, odd, clashing, empty, tmp_path):
 def test_encoder_chooses_tools_by_size_and_two_decoders_agree(spark, sf_dir):
     """Each tool is used where it shrinks the image; a slow decoder of its own reads the same pixels."""
     texts = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()]
-    images = [i for t in [*texts, "", "abab" * 99, "0123456789" * 7, LOREM] for i in webp.grey(media.payload(t))]
+    samples = [i for t in [*texts, "", "abab" * 99, "0123456789" * 7, LOREM] for i in webp.grey(media.payload(t))]
+    images = [x * np.uint32(0x010101) + np.uint32(webp.OPAQUE) for x in samples]
     ramp = np.add.outer(np.arange(40), 3 * np.arange(50)).astype(np.uint32) & 255
     rng = np.random.default_rng(5)
     noise = rng.integers(0, 256, (40, 50)).astype(np.uint32)

@@ -143,17 +143,15 @@ def default_rules(counted: bool = False) -> list[Rule]:
     ]
 
 
-def order_rules(df: DataFrame, rules: list[Rule], sample_rows: int = 2000, seed: int = 17, reach: Column | None = None) -> list[Rule]:
+def order_rules(sample: DataFrame, rules: list[Rule], reach: Column | None = None) -> list[Rule]:
     """The rules by rejections per unit of work, each judged on sample rows that those before it leave.
 
-    The sample is Bernoulli over all rows, about ``sample_rows`` of them, less the
-    rows that do not ``reach`` the rules; one job returns a count and the
-    characters read for each set of failed rules, at most one row per sample row.
+    Rows that do not ``reach`` the rules do not count.  One job returns a count
+    and the characters read for each set of failed rules, at most one row per
+    sample row.
     """
-    total = df.count()
-    if not total or len(rules) < 2:
+    if len(rules) < 2:
         return list(rules)
-    sample = df.sample(fraction=min(1.0, sample_rows / total), seed=seed)
     if reach is not None:
         sample = sample.where(reach)
     mask = sum((F.when(F.coalesce(r.fails, F.lit(False)), F.lit(1 << i)).otherwise(F.lit(0)) for i, r in enumerate(rules)), F.lit(0))
@@ -174,22 +172,43 @@ def order_rules(df: DataFrame, rules: list[Rule], sample_rows: int = 2000, seed:
     return order
 
 
-def quality_cascade(df: DataFrame, rules: list[Rule] | None = None, before: str | None = None, sample_rows: int = 2000, counted: bool = False) -> DataFrame:
+def sample_of(df: DataFrame, rows: int, seed: int = 17) -> DataFrame:
+    """A Bernoulli sample over all of df, of about so many rows."""
+    return df.sample(fraction=min(1.0, rows / max(1, df.count())), seed=seed)
+
+
+def quality_cascade(
+    df: DataFrame, rules: list[Rule] | None = None, before: str | None = None, sample_rows: int = 2000, counted: bool = False, sample: DataFrame | None = None
+) -> DataFrame:
     """df with kept and failed_rule (null if kept), rules in order of rejections per cost.
 
     ``before`` names a boolean column of df that is known already: rows for which
     it holds are rejected as ``before`` without looking at any rule.  A CASE
     evaluates its branches in order and stops at the first that holds.  With
-    ``counted``, df comes from base_statistics() and its counts are not made again.
+    ``counted``, df comes from base_statistics() and its counts are not made
+    again.  ``sample`` has the columns of df; without it, about ``sample_rows``
+    rows of df are drawn.
     """
     own = Numbered(df)
-    rows = own.df.withColumn("text", F.col(own.place("text")))
-    if counted:
-        rows = rows.withColumns({f"_stat_{name}": F.col(own.place(name)) for name in STATISTICS})
+
+    def ready(rows: DataFrame) -> DataFrame:
+        named = {"text": F.col(own.place("text"))} | {f"_stat_{name}": F.col(own.place(name)) for name in STATISTICS if counted}
+        return rows.withColumns(named)
+
+    drawn = sample_of(own.df, sample_rows) if sample is None else Numbered(sample).df
     out = F.lit(False) if before is None else F.coalesce(F.col(own.place(before)), F.lit(False))
-    ordered = order_rules(rows, default_rules(counted) if rules is None else rules, sample_rows, reach=~out)
+    ordered = order_rules(ready(drawn), default_rules(counted) if rules is None else rules, ~out)
     verdict = F.when(out, F.lit("before"))
     for rule in ordered:
         verdict = verdict.when(rule.fails, F.lit(rule.name))
-    judged = rows.withColumn("failed_rule", verdict).withColumn("kept", F.col("failed_rule").isNull())
+    judged = ready(own.df).withColumn("failed_rule", verdict).withColumn("kept", F.col("failed_rule").isNull())
     return own.restore(judged, "kept", "failed_rule")
+
+
+def judge_documents(df: DataFrame, sample_rows: int = 2000) -> DataFrame:
+    """base_statistics() of df with kept and failed_rule; a row that fails the base is rejected before any rule.
+
+    The sample is drawn from df itself, so that nothing is counted on rows outside it.
+    """
+    rows = pick(df, "doc_id", "text")
+    return quality_cascade(base_statistics(rows), before="base_failed", counted=True, sample=base_statistics(sample_of(rows, sample_rows)))

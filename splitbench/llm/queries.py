@@ -29,8 +29,7 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counted = quality.base_statistics(_table(spark, sf_dir, "documents"))
-    judged = quality.quality_cascade(counted, before="base_failed", counted=True)
+    judged = quality.judge_documents(_table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 

@@ -107,3 +107,13 @@ def kmer_hash_blake2(kmer: Column, person: bytes = b"splitbenchk") -> Column:
 def kmer_hash(kmer: Column) -> Column:
     """A 64-bit k-mer hash as 16 hex digits, which sort as the numbers do."""
     return F.substring(F.sha2(kmer, 256), 1, 16)
+
+
+def number(hashed: Column) -> Column:
+    """A hash of 16 hex digits as a long; numbers sort as the digits do."""
+    return F.conv(hashed, 16, -10).cast("long").bitwiseXOR(F.lit(-(1 << 63)))
+
+
+def number_hex(value: Column) -> Column:
+    """The 16 hex digits of number()."""
+    return F.lower(F.lpad(F.hex(value.bitwiseXOR(F.lit(-(1 << 63)))), 16, "0"))

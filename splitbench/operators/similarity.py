@@ -7,22 +7,24 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import dna, hashing
+from ..session import materialize
 
 CHUNK = 256
 NO_MATCH = "no_detectable_match"
 
 
-def chunks(df: DataFrame, k: int, sequence: str = "sequence", size: int = CHUNK) -> DataFrame:
-    """df's other columns with piece: stretches that hold each k-mer exactly once.
+def chunks(df: DataFrame, k: int, sequence: str = "sequence", size: int = CHUNK, place: str | None = None) -> DataFrame:
+    """df's other columns with piece: stretches that hold each k-mer exactly once; and their numbers as ``place``.
 
     Stretches are dealt evenly: one long sequence, or a file that one task reads,
-    does not leave the twentyfold larger expansion to one core.
+    does not leave the work on its k-mers to one core.
     """
     keep = [c for c in df.columns if c != sequence]
     long_enough = df.where(F.length(sequence) >= k)
     at = F.explode(F.sequence(F.lit(0), F.floor((F.length(sequence) - k) / size).cast("int"))).alias("_c")
     pieces = long_enough.select(*keep, sequence, at).select(*keep, "_c", F.expr(f"substring({sequence}, _c * {size} + 1, {size + k - 1})").alias("piece"))
-    return pieces.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keep, "_c").drop("_c")
+    dealt = pieces.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keep, "_c")
+    return dealt.withColumnRenamed("_c", place) if place else dealt.drop("_c")
 
 
 def kmers(df: DataFrame, k: int, sequence: str = "sequence") -> DataFrame:
@@ -53,29 +55,67 @@ def kmer_hashes(df: DataFrame, k: int, sequence: str = "sequence") -> DataFrame:
     return at.select(*keep, hashed.alias("h")).where("h is not null")
 
 
+#: Letters of a stretch that a row reduces to its smallest hashes, and stretches whose hashes a task merges.
+STRETCH, MERGED = 8192, 64
+
+
+def _smallest(hashes: Column, size: int) -> Column:
+    """The ``size`` smallest distinct numbers of an array, in order."""
+    return F.slice(F.sort_array(F.array_distinct(hashes)), 1, size)
+
+
+def _stretch_hashes(k: int) -> Column:
+    """The hash numbers of the unambiguous canonical k-mers of column piece.
+
+    Taking a substring walks the text from its start, so a stretch is cut into
+    short parts first, each turned around once.
+    """
+
+    def of_part(both: Column) -> Column:
+        part, back = both["part"], both["back"]
+        kmer = lambda i: F.substr(part, i, F.lit(k))
+        places = F.sequence(F.lit(1), F.length(part) - (k - 1))
+        clear = F.when(part.rlike("[^ACGT]"), F.filter(places, lambda i: ~kmer(i).rlike("[^ACGT]"))).otherwise(places)
+        return F.transform(clear, lambda i: hashing.number(hashing.kmer_hash(F.least(kmer(i), F.substr(back, F.length(part) - i - (k - 2), F.lit(k))))))
+
+    starts = F.sequence(F.lit(0), F.floor((F.length("piece") - k) / CHUNK).cast("int"))
+    parts = F.transform(starts, lambda c: F.substr("piece", c * CHUNK + 1, F.lit(CHUNK + k - 1)))
+    turned = F.transform(parts, lambda p: F.struct(p.alias("part"), dna.reverse_complement(p).alias("back")))
+    return F.flatten(F.transform(turned, of_part))
+
+
 def sketches(df: DataFrame, k: int, size: int, genome: str = "genome_id", sequence: str = "sequence", blake2: bool = False) -> DataFrame:
-    """(genome, hashes, unique_kmers, is_exact): the ``size`` smallest distinct k-mer hashes.
+    """(genome, hashes, unique_kmers, is_exact): the ``size`` smallest distinct k-mer hashes, as ordered numbers.
 
-    Distinct hashes are found by aggregation, then ranked with a limit per
-    genome, so no task holds all hashes of a genome.  unique_kmers stops at
-    size + 1, which means: more than the sketch holds.
+    The smallest of a whole are among the smallest of its parts: a row reduces its
+    stretch to at most size + 1 numbers, which are merged over ``MERGED``
+    stretches and then over the genome, so that no k-mer becomes a row and eight
+    bytes a retained hash are shuffled.  unique_kmers stops at size + 1, which
+    means: more than the sketch holds.
     """
-    own = df.select(genome, sequence)
+    pieces = chunks(df.select(genome, sequence), k, sequence, max(STRETCH, 4 * size), place="_s")
     if blake2:
-        hashed = canonical_kmers(own, k, sequence).distinct().select(genome, hashing.kmer_hash_blake2(F.col("kmer")).alias("h"))
+        rows = canonical_kmers(pieces.withColumnRenamed("piece", sequence), k, sequence).distinct()
+        hashed = rows.select(genome, "_s", hashing.number(hashing.kmer_hash_blake2(F.col("kmer"))).alias("h"))
+        parts = hashed.groupBy(genome, "_s").agg(_smallest(F.collect_set("h"), size + 1).alias("part"))
     else:
-        hashed = kmer_hashes(own, k, sequence)
-    order = Window.partitionBy(genome).orderBy("h")
-    first = hashed.distinct().withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= size + 1)
-    held = first.groupBy(genome).agg(F.sort_array(F.collect_list("h")).alias("all"))
+        parts = pieces.select(genome, "_s", _smallest(_stretch_hashes(k), size + 1).alias("part"))
+    merge = _smallest(F.flatten(F.collect_list("part")), size + 1).alias("part")
+    some = parts.groupBy(genome, F.floor(F.col("_s") / MERGED).alias("_m")).agg(merge)
+    held = some.groupBy(genome).agg(merge).where(F.size("part") > 0)
     return held.select(
         genome,
-        F.slice("all", 1, size).alias("hashes"),
-        F.size("all").cast("long").alias("unique_kmers"),
-        (F.size("all") <= size).alias("is_exact"),
+        F.slice("part", 1, size).alias("hashes"),
+        F.size("part").cast("long").alias("unique_kmers"),
+        (F.size("part") <= size).alias("is_exact"),
     )
 
 
+def hex_hashes(hashes: Column) -> Column:
+    """A sketch's numbers as 16 hex digits each."""
+    return F.transform(hashes, hashing.number_hex)
+
+
 def jaccard(a: Column, b: Column, exact: Column, size: int, same: Column | None = None) -> Column:
     """Jaccard of two sorted sketches: whole sets if both are exact, else by the smallest of the union."""
     union = F.sort_array(F.array_union(a, b))
@@ -91,23 +131,41 @@ def mash_identity(j: Column, k: int) -> Column:
     return F.when(j == 1, F.lit(1.0)).when(j > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), estimate)))
 
 
+def _classes(sketched: DataFrame, ident: str) -> tuple[DataFrame, DataFrame]:
+    """Classes of equal sketches: (class, hashes, is_exact), and their members (class, ident)."""
+    own = sketched.select(ident, "hashes", "is_exact", F.sha2(F.concat_ws(",", F.col("hashes").cast("array<string>"), F.col("is_exact").cast("string")), 256).alias("class"))
+    one = own.groupBy("class").agg(F.any_value("hashes").alias("hashes"), F.any_value("is_exact").alias("is_exact"))
+    return one, own.select("class", ident)
+
+
 def candidate_pairs(queries: DataFrame, references: DataFrame, query: str = "query_id", reference: str = "reference_id") -> DataFrame:
-    """Distinct pairs that share a retained hash; all others have no detectable match."""
+    """(query, reference, shared): pairs that share retained hashes, and how many; all others have no detectable match."""
     q = queries.select(query, F.explode("hashes").alias("h"))
     r = references.select(reference, F.explode("hashes").alias("h"))
-    return q.join(r, "h").select(query, reference).distinct()
+    return q.join(r, "h").groupBy(query, reference).agg(F.count("*").alias("shared"))
 
 
 def pairwise(queries: DataFrame, references: DataFrame, k: int, size: int, query: str = "query_id", reference: str = "reference_id") -> DataFrame:
     """(query, reference, jaccard, identity) for every pair that shares a hash.
 
-    An inverted index over hashes finds the pairs; no cross join.
+    Equal sketches are one class on each side, so strains that hardly differ meet
+    once.  An inverted index over hashes finds the pairs of classes and counts
+    what they share; for two whole sets the count is the answer, and only pairs
+    with a cut sketch fetch the hashes.  No cross join.
     """
-    pairs = candidate_pairs(queries, references, query, reference)
-    q = queries.select(query, F.col("hashes").alias("q"), F.col("is_exact").alias("qe"))
-    r = references.select(reference, F.col("hashes").alias("r"), F.col("is_exact").alias("re"))
-    scored = pairs.join(q, query).join(r, reference).withColumn("jaccard", jaccard(F.col("q"), F.col("r"), F.col("qe") & F.col("re"), size))
-    return scored.where("jaccard > 0").select(query, reference, "jaccard", mash_identity(F.col("jaccard"), k).alias("identity"))
+    (qc, qm), (rc, rm) = _classes(queries, query), _classes(references, reference)
+    qc, rc = materialize(qc, "query-classes"), materialize(rc, "reference-classes")
+    q = qc.select(F.col("class").alias("qc"), F.col("hashes").alias("q"), F.col("is_exact").alias("qe"))
+    r = rc.select(F.col("class").alias("rc"), F.col("hashes").alias("r"), F.col("is_exact").alias("re"))
+    both = candidate_pairs(qc.withColumnRenamed("class", "qc"), rc.withColumnRenamed("class", "rc"), "qc", "rc")
+    counted = both.join(q.select("qc", "qe", F.size("q").alias("qn")), "qc").join(r.select("rc", "re", F.size("r").alias("rn")), "rc")
+    counted = materialize(counted, "pairs")
+    whole = counted.where("qe and re").select("qc", "rc", (F.col("shared") / (F.col("qn") + F.col("rn") - F.col("shared"))).alias("jaccard"))
+    cut = counted.where("not (qe and re)").select("qc", "rc").join(q, "qc").join(r, "rc")
+    cut = cut.select("qc", "rc", jaccard(F.col("q"), F.col("r"), F.lit(False), size).alias("jaccard"))
+    scored = whole.unionByName(cut).where("jaccard > 0")
+    pairs = scored.join(qm.withColumnRenamed("class", "qc"), "qc").join(rm.withColumnRenamed("class", "rc"), "rc")
+    return pairs.select(query, reference, "jaccard", mash_identity(F.col("jaccard"), k).alias("identity"))
 
 
 def nearest(hits: DataFrame, queries: DataFrame, query: str = "query_id", reference: str = "reference_id", value: str = "identity") -> DataFrame:

@@ -44,13 +44,20 @@ def canonical_kmers(spark, sf_dir):
 @query(f"WITH {SQL_CONTIGS}, {_sql_sketches('contigs', 21, 200)} SELECT genome_id, sha256(array_to_string(hashes, '')) AS sketch, unique_kmers, is_exact FROM sketches")
 def minhash_sketch(spark, sf_dir):
     s = similarity.sketches(adapters.contigs_from_documents(spark, sf_dir), 21, 200)
-    return s.select("genome_id", F.sha2(F.array_join("hashes", ""), 256).alias("sketch"), "unique_kmers", "is_exact")
+    return s.select("genome_id", F.sha2(F.array_join(similarity.hex_hashes(F.col("hashes")), ""), 256).alias("sketch"), "unique_kmers", "is_exact")
 
 
 @query()
 def minhash_sketch_blake2(spark, sf_dir):
     s = similarity.sketches(adapters.contigs_from_documents(spark, sf_dir), 21, 200, blake2=True)
-    return s.select("genome_id", F.sha2(F.array_join("hashes", ""), 256).alias("sketch"), "unique_kmers", "is_exact")
+    return s.select("genome_id", F.sha2(F.array_join(similarity.hex_hashes(F.col("hashes")), ""), 256).alias("sketch"), "unique_kmers", "is_exact")
+
+
+@query(f"WITH {SQL_CONTIGS}, {_sql_sketches('contigs', 21, 2000)} SELECT genome_id, sha256(array_to_string(hashes, '')) AS sketch, unique_kmers, is_exact FROM sketches")
+def minhash_sketch_default(spark, sf_dir):
+    """Sketches at the default size of 2,000 hashes."""
+    s = similarity.sketches(adapters.contigs_from_documents(spark, sf_dir), 21, 2_000)
+    return s.select("genome_id", F.sha2(F.array_join(similarity.hex_hashes(F.col("hashes")), ""), 256).alias("sketch"), "unique_kmers", "is_exact")
 
 
 @query(f"WITH {SQL_CONTIGS}, {_sql_sketches('contigs', K, SIZE)} SELECT is_exact, count(*) AS n, min(unique_kmers) AS least, max(unique_kmers) AS most FROM sketches GROUP BY is_exact")
@@ -130,17 +137,17 @@ _HOLD = f"""WITH {SQL_CONTIGS}, g AS (SELECT genome_id, label, genome_id AS grou
 def strict_gate(spark, sf_dir):
     """The similarity-filtered holdout of all documents: proposal, nearest training genome, gate, band."""
     c = adapters.contigs_from_documents(spark, sf_dir).withColumn("group_id", F.col("genome_id"))
-    proposal = protocols.similarity_proposal(c.select("genome_id", "label", "group_id"), 0.2, SEED)
-    hits = protocols.sketch_hits(materialize(proposal, "proposal"), materialize(similarity.sketches(c, K, SIZE), "sketches"), K, SIZE, 0.95)
+    proposal = materialize(protocols.similarity_proposal(c.select("genome_id", "label", "group_id"), 0.2, SEED), "proposal")
+    hits = protocols.sketch_hits(proposal, materialize(similarity.sketches(c, K, SIZE), "sketches"), K, SIZE, 0.95)
     final = protocols.apply_gate(proposal, hits, 0.95)
     return final.select("genome_id", "label", "partition", "candidate_partition", "reason", "similarity_bin", F.round("max_train_similarity", 9).alias("max_train_similarity"))
 
 
-@query()
+@query(f"""{_HOLD} SELECT 'gate_and_side_differ' AS "check", query_id AS key FROM best WHERE top > 0.95""")
 def similarity_recheck(spark, sf_dir):
     """Evidence that contradicts its plan after planted edits."""
     c = adapters.contigs_from_documents(spark, sf_dir).withColumn("group_id", F.col("genome_id"))
-    proposal = protocols.similarity_proposal(c.select("genome_id", "label", "group_id"), 0.2, SEED)
+    proposal = materialize(protocols.similarity_proposal(c.select("genome_id", "label", "group_id"), 0.2, SEED), "proposal")
     final = protocols.apply_gate(proposal, protocols.sketch_hits(proposal, materialize(similarity.sketches(c, K, SIZE), "sketches"), K, SIZE, 0.95), 0.95)
     edited = final.withColumn("partition", F.when(F.col("partition") == "excluded", "test").otherwise(F.col("partition")))
     return audit.similarity_violations(edited, 0.95)

@@ -3,7 +3,18 @@
 A tree builder puts in what HTML lets authors leave out (end tags, table rows),
 visibility rules drop what a browser would not show, and a renderer walks the
 tree with an explicit stack: blocks are set apart, lists get markers, table cells
-are aligned in columns, preformatted text keeps its blanks.
+are aligned in columns, preformatted text keeps its blanks.  Blocks inside a cell
+keep their lines; a cell that spans rows keeps its columns free below it.
+
+What hides: elements that show no text, the attribute ``hidden``, closed details
+and dialogs, and display and visibility as given by style attributes and by rules
+of style elements for a tag, a class, an id or a tag with a class, outside @media.
+Inside a hidden part, ``visibility: visible`` shows again; ``display`` does not.
+
+Time and output are linear in the page: a table's columns are set by cells of at
+most ``WIDE`` characters, nothing is aligned further right than ``FAR``, a cell
+spans 1000 columns at most, as in browsers, and in tables inside more than
+``DEEP`` others each cell is a block of its own.  No text is left out for that.
 
 Defined cases: a null or empty page is the empty text; markup that never ends is
 closed at the end; pages of any length or depth are rendered whole; repeated rows
@@ -13,6 +24,7 @@ are rendered alike; an empty table gives no rows; further columns are ignored.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -51,7 +63,10 @@ ENDS = {
     "optgroup": (_names("option optgroup"), _names("select")),
     "body": (_names("head"), _names("template")),
 }
-_UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\s*(?:!important)?\s*(?:;|$)", re.IGNORECASE)
+#: Characters up to which a cell sets its column's width, and places up to which cells are aligned; tables in tables that are laid out.
+WIDE, FAR, DEEP = 80, 240, 30
+_CELLS = _names("td th table")
+_PAST_CELLS = _names("table tr tbody thead tfoot body html")
 
 
 class Node:
@@ -62,31 +77,42 @@ class Node:
 
 
 class TreeBuilder(HTMLParser):
-    """Builds a tree of nodes and strings; missing and stray tags do no harm."""
+    """Builds a tree of nodes and strings; missing and stray tags do no harm.
+
+    The places of open elements are kept by tag, so that no tag has to look
+    through all that is open.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = Node("#root", {})
         self.open = [self.root]
+        self.places: dict[str, list[int]] = {}
+        self.styles: list[Node] = []
+
+    def _last(self, tag: str) -> int:
+        """Where the innermost open element of a tag is; 0 if there is none."""
+        held = self.places.get(tag)
+        return held[-1] if held else 0
+
+    def _close(self, place: int) -> None:
+        while len(self.open) > place:
+            self.places[self.open.pop().tag].pop()
 
     def _imply_end(self, tag: str) -> None:
         ends, borders = ENDS.get(tag, ((), ()))
-        lowest = None
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag in borders:
-                break
-            if self.open[i].tag in ends:
-                lowest = i
-        if lowest is not None:
-            del self.open[lowest:]
+        border = max(map(self._last, borders), default=0)
+        inside = [held[at] for t in ends if (held := self.places.get(t)) and (at := bisect_right(held, border)) < len(held)]
+        if inside:
+            self._close(min(inside))
 
     def _end_head(self) -> None:
         """End the head if it is the innermost open element."""
         if self.open[-1].tag == "head":
-            self.open.pop()
+            self._close(len(self.open) - 1)
 
     def handle_starttag(self, tag, attrs):
-        if tag in ("html", "head", "body") and any(n.tag == tag for n in self.open):
+        if tag in ("html", "head", "body") and self.places.get(tag):
             return
         if tag not in IN_HEAD:
             self._end_head()
@@ -96,7 +122,10 @@ class TreeBuilder(HTMLParser):
             self.handle_starttag("tr", [])
         node = Node(tag, dict(attrs))
         self.open[-1].children.append(node)
+        if tag == "style":
+            self.styles.append(node)
         if tag not in VOID:
+            self.places.setdefault(tag, []).append(len(self.open))
             self.open.append(node)
 
     def handle_startendtag(self, tag, attrs):
@@ -106,12 +135,10 @@ class TreeBuilder(HTMLParser):
         if tag == "br":
             self.handle_starttag("br", [])
             return
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag == tag:
-                del self.open[i:]
-                return
-            if self.open[i].tag in ("td", "th", "table") and tag not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html"):
-                return  # an end tag in a cell does not close what holds the cell
+        place = self._last(tag)
+        # An end tag in a cell does not close what holds the cell.
+        if place and (tag in _PAST_CELLS or place >= max(map(self._last, _CELLS))):
+            self._close(place)
 
     def handle_data(self, data):
         if data.strip():
@@ -119,11 +146,57 @@ class TreeBuilder(HTMLParser):
         self.open[-1].children.append(data)
 
 
-def visible(node: Node, parent: Node) -> bool:
-    attrs = node.attrs
-    if node.tag in HIDDEN or "hidden" in attrs or _UNSEEN.search(attrs.get("style") or ""):
+def _declared(text: str) -> dict[str, str]:
+    """The display and visibility that declarations give, the last of each."""
+    out = {}
+    for part in text.split(";"):
+        name, _, value = part.partition(":")
+        if (name := name.strip().lower()) in ("display", "visibility"):
+            out[name] = value.replace("!important", "").strip().lower()
+    return out
+
+
+_SELECTOR = re.compile(r"([a-z][a-z0-9]*)?(?:([.#])([\w-]+))?", re.IGNORECASE | re.ASCII)
+
+
+class Rules:
+    """What style elements say of display and visibility, by simple selectors."""
+
+    def __init__(self, sheets: list[str]):
+        self.found: dict[tuple[str, str, str], tuple[int, dict[str, str]]] = {}
+        for sheet in sheets:
+            depth, outer = 0, ""  # braces open, and what stands before the outermost
+            for block in re.sub(r"(?s)/\*.*?\*/", " ", sheet).split("}"):
+                parts = block.split("{")
+                if not depth and len(parts) > 1:
+                    outer = parts[0].strip()
+                if not outer.startswith("@") and len(parts) == 2:
+                    for selector in parts[0].split(","):
+                        m = _SELECTOR.fullmatch(selector.strip())
+                        if m and m[0] and (says := _declared(parts[1])):
+                            key = ((m[1] or "").lower(), m[2] or "", m[3] or "")
+                            self.found[key] = len(self.found), self.found.get(key, (0, {}))[1] | says
+                depth = max(0, depth + len(parts) - 2)
+
+    def of(self, node: Node) -> dict[str, str]:
+        """What holds for an element: tags first, then classes, then the id, then its own style; of equals, the later."""
+        out: dict[str, str] = {}
+        if self.found:
+            keys = [("", ".", c) for c in (node.attrs.get("class") or "").split()] + [("", "#", node.attrs.get("id") or "")]
+            keys = [(node.tag, "", "")] + keys + [(node.tag, *k[1:]) for k in keys]
+            order = sorted((k[1] == "#", k[1] == ".", k[0] != "", self.found[k][0], k) for k in set(keys) if k in self.found)
+            for *_, key in order:
+                out |= self.found[key][1]
+        if style := node.attrs.get("style"):
+            out |= _declared(style)
+        return out
+
+
+def displayed(node: Node, parent: Node, says: dict[str, str]) -> bool:
+    """Whether an element is laid out at all."""
+    if node.tag in HIDDEN or "hidden" in node.attrs or says.get("display") == "none":
         return False
-    if node.tag == "dialog" and "open" not in attrs or node.tag == "input":
+    if node.tag == "dialog" and "open" not in node.attrs or node.tag == "input":
         return False
     return not (parent.tag == "details" and "open" not in parent.attrs and node.tag != "summary")
 
@@ -173,28 +246,80 @@ class Flow:
         return "".join(self.parts)
 
 
-def _span(node: Node) -> int:
-    value = node.attrs.get("colspan") or ""
-    return min(int(value), 1000) if value.isascii() and value.isdigit() and int(value) else 1
+def _span(node: Node, name: str) -> int:
+    value = node.attrs.get(name) or ""
+    return min(int(value[:6]), 1000) if value.isascii() and value.isdigit() and int(value[:6]) else 1
 
 
-def aligned(rows: list[list[tuple[str, int]]]) -> str:
-    """Rows of (cell, columns that it spans) as lines with aligned columns."""
-    widths: dict[int, int] = {}
-    for row in rows:
-        at = 0
-        for text, span in row:
-            if span == 1:
-                widths[at] = max(widths.get(at, 0), len(text))
-            at += span
-    lines = []
-    for row in rows:
-        at, line = 0, []
-        for text, span in row:
-            line.append(text.ljust(sum(widths.get(at + k, 0) for k in range(span)) + 2 * (span - 1)))
-            at += span
-        lines.append("  ".join(line).rstrip())
-    return "\n".join(line for line in lines if line)
+class Grid:
+    """A table's cells by row and column."""
+
+    def __init__(self):
+        self.rows: list[list[tuple[int, int, str]]] = []  # column, columns, text
+        self.taken: dict[int, tuple[int, int]] = {}  # by column: the next one that is not, until a row, of a cell above
+        self.leap: dict[int, tuple[int, int]] = {}  # the same, for whole stretches of such cells
+        self.next = 0
+
+    def row(self) -> None:
+        self.rows.append([])
+        self.next = 0
+
+    def _free(self, at: int) -> int:
+        row, begin, until = len(self.rows) - 1, at, 1 << 60
+        while True:
+            for held in (self.leap.get(at), self.taken.get(at)):
+                if held and held[1] > row:
+                    at, until = held[0], min(until, held[1])
+                    break
+            else:
+                break
+        if at > begin:
+            self.leap[begin] = at, until
+        return at
+
+    def cell(self, text: str, node: Node) -> None:
+        if not self.rows:
+            self.row()
+        at, across, down = self._free(self.next), _span(node, "colspan"), _span(node, "rowspan")
+        self.rows[-1].append((at, across, text))
+        self.next = at + across
+        if down > 1:
+            self.taken[at] = at + across, len(self.rows) - 1 + down
+
+    def text(self) -> str:
+        """Lines with aligned columns; a row has as many as its highest cell."""
+        widths: dict[int, int] = {}
+        lined = [[(at, across, text.split("\n")) for at, across, text in row] for row in self.rows]
+        single = {at for row in self.rows for at, across, _ in row if across == 1}
+        for row in lined:
+            for at, across, lines in row:
+                # A cell over several columns sets the first one's width where no other cell does.
+                fit = [len(line) for line in lines if len(line) <= WIDE] if across == 1 or at not in single else []
+                widths[at] = max(widths.get(at, 0), max(fit, default=0))
+        starts, here = {}, 0
+        for at in sorted(widths):
+            starts[at] = here
+            here += widths[at] + 2
+        out = []
+        for row in lined:
+            by_line: dict[int, list[tuple[int, str]]] = {}
+            for at, _, lines in row:
+                for k, line in enumerate(lines):
+                    if line:
+                        by_line.setdefault(k, []).append((starts[at], line))
+            for k in sorted(by_line):
+                parts, n = [], 0
+                for start, line in by_line[k]:
+                    gap = start - n if n <= start - 2 * (n > 0) and start <= FAR else 2 * (n > 0)
+                    parts += [" " * gap, line]
+                    n += gap + len(line)
+                out.append("".join(parts))
+        return "\n".join(out)
+
+
+def _lines_of(text: str) -> str:
+    """A cell's lines that are not empty."""
+    return "\n".join(line.rstrip() for line in text.strip().split("\n") if line.strip()) if "\n" in text else text.strip()
 
 
 def render(page: str | None) -> str:
@@ -202,25 +327,29 @@ def render(page: str | None) -> str:
     builder = TreeBuilder()
     builder.feed(page or "")
     builder.close()
+    rules = Rules(["".join(c for c in node.children if isinstance(c, str)) for node in builder.styles])
     flows, tables, lists = [Flow()], [], []
-    pre = 0
-    # Work to do, last first: a string or node with its parent to enter, or a node to leave.
-    todo: list[tuple[object, Node, bool]] = [(builder.root, builder.root, True)]
+    pre = deep = 0
+    # Work to do, last first: a string or node, its parent, whether to enter or to leave it, and whether text shows there.
+    todo: list[tuple[object, Node, bool, bool]] = [(builder.root, builder.root, True, True)]
     while todo:
-        item, parent, enter = todo.pop()
+        item, parent, enter, shown = todo.pop()
         flow = flows[-1]
         if isinstance(item, str):
-            if parent.tag == "details" and "open" not in parent.attrs:
+            if not shown or parent.tag == "details" and "open" not in parent.attrs:
                 continue
             if parent.tag not in ("table", "tr", "tbody", "thead", "tfoot"):
                 flow.exact(item) if pre else flow.say(item)
             elif item.strip():
-                (flows[-1]).say(item)
+                flow.say(item)
             continue
         tag = item.tag
         if enter:
-            if item is not builder.root and not visible(item, parent):
+            says = rules.of(item)
+            if item is not builder.root and not displayed(item, parent, says):
                 continue
+            if "visibility" in says:
+                shown = says["visibility"] not in ("hidden", "collapse")
             if tag == "br":
                 flow.line_break()
                 continue
@@ -234,28 +363,35 @@ def render(page: str | None) -> str:
                 lists.append([tag, int(start) if re.fullmatch(r"-?[0-9]{1,9}", start) else 1])
             elif tag == "li":
                 kind = lists[-1] if lists else ["ul", 1]
-                flow.exact("  " * max(0, len(lists) - 1) + (f"{kind[1]}. " if kind[0] == "ol" else "- "))
+                if shown:
+                    flow.exact("  " * max(0, min(len(lists), DEEP) - 1) + (f"{kind[1]}. " if kind[0] == "ol" else "- "))
                 kind[1] += 1
-            elif tag == "dd":
+            elif tag == "dd" and shown:
                 flow.exact("  ")
             elif tag == "pre":
                 pre += 1
             elif tag == "table":
-                tables.append([])
-            elif tag == "tr" and tables:
-                tables[-1].append([])
+                if len(tables) < DEEP:
+                    tables.append(Grid())
+                else:
+                    deep += 1
+            elif tag == "tr" and tables and not deep:
+                tables[-1].row()
             elif tag in ("td", "th") and tables:
-                if not tables[-1]:
-                    tables[-1].append([])
-                flows.append(Flow())
-            todo.append((item, parent, False))
-            todo.extend((c, item, True) for c in reversed(item.children))
+                if deep:
+                    flow.ask(1)
+                else:
+                    flows.append(Flow())
+            todo.append((item, parent, False, shown))
+            todo.extend((c, item, True, shown) for c in reversed(item.children))
             continue
-        if tag in ("td", "th") and tables:
-            cell = " ".join(flows.pop().text().split())
-            tables[-1][-1].append((cell, _span(item)))
+        if tag in ("td", "th") and tables and not deep:
+            tables[-1].cell(_lines_of(flows.pop().text()), item)
         elif tag == "table":
-            flow.exact(aligned(tables.pop()))
+            if deep:
+                deep -= 1
+            else:
+                flow.exact(tables.pop().text())
         elif tag in ("ul", "ol", "menu"):
             lists.pop()
         elif tag == "pre":

@@ -468,16 +468,19 @@ class BitWriter:
         self.size += n
 
     def put_all(self, values: np.ndarray, widths: np.ndarray) -> None:
-        """Put arrays of numbers, none over 64 bits, a stretch at a time."""
-        parts = [np.unpackbits(np.frombuffer(self.value.to_bytes((self.size + 7) // 8, "little"), np.uint8), bitorder="little")[: self.size]]
-        for s in range(0, len(values), 1 << 16):
-            w = widths[s : s + (1 << 16)]
-            ends = np.cumsum(w)
-            within = np.arange(ends[-1]) - np.repeat(ends - w, w)
-            parts.append((np.repeat(values[s : s + (1 << 16)], w) >> within.astype(np.uint64) & np.uint64(1)).astype(np.uint8))
-        bits = np.concatenate(parts)
-        self.size = len(bits)
-        self.value = int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+        """Put arrays of numbers, each of fewer than 64 bits, by way of 64-bit words."""
+        ends = widths.cumsum()
+        place = ends - widths + (self.size & 63)
+        word, shift = place >> 6, (place & 63).astype(np.uint64)
+        out = np.zeros(int(word[-1]) + 2, np.uint64)
+        first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+        own = word[first]
+        # Bits of different numbers do not meet, so a sum is as good as an OR.
+        out[own] = np.add.reduceat(values << shift, first)
+        out[own + 1] += np.add.reduceat(values >> np.uint64(1) >> (np.uint64(63) - shift), first)
+        whole = self.size >> 6 << 6
+        self.value |= int.from_bytes(out.astype("<u8").tobytes(), "little") << whole
+        self.size += int(ends[-1])
 
     def bytes(self) -> bytes:
         return self.value.to_bytes((self.size + 7) // 8, "little")

@@ -3,15 +3,17 @@
 The model is a unigram model over the pieces of an existing vocabulary.  A text's
 probability is the product over its words, and an end, of a word's marginal
 probability: the sum over all ways to cut it into pieces, by forward recursion in
-log space.  The vocabulary's file holds merge ranks, not probabilities, so the
-pieces are weighted by their counts, plus one, in the training texts' words as
-the vocabulary's own tokenizer cuts them.
+log space.  The vocabulary file's scores are merge ranks, not probabilities: a
+piece starts with a weight that falls with its rank, and is then weighted by its
+expected count, plus one, over all segmentations of all words of the training
+texts, by forward and backward recursion.
 
 Words repeat, so everything is done once per word: texts are dealt to blocks of
-about ``BLOCK_ROWS`` rows, a block sends each of its distinct words once, counts
-are summed per word, the lattice is run once per word, and each block gets back a
-dictionary of its own words.  No table of all words is ever held in one place,
-and a word of every text is one row per block.
+about ``BLOCK_ROWS`` rows or ``BLOCK_BYTES``, a block sends each of its distinct
+words once, counts are summed per word, the lattice is run once per word, and
+each block gets back a dictionary of its own words.  No table of all words is
+ever held in one place, and a word of every text is one row per block.  Rows are
+dealt by their place, so that repeated rows are spread like others.
 
 Defined cases: a null or empty text is the end token alone; if nothing is
 trained on, counts are 0 and pieces are equally likely; a character without a
@@ -33,9 +35,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, on_path, pick, shared_table
+from .common import Located, crc_mod, on_path, shared_table
 
-BLOCK_ROWS = 4096
+BLOCK_ROWS, BLOCK_BYTES = 4096, 16 << 20
+#: Expected counts are summed as whole numbers of such parts, so that their order is nothing to the sum.
+PARTS = 1 << 12
 #: The piece number of the end token in tables of counts.
 END_PIECE = -1
 LN10 = math.log(10)
@@ -54,22 +58,31 @@ def _vocabulary(path: str):
 
 
 class PieceLattice:
-    """Marginal log probabilities of words under given log probabilities of pieces."""
+    """Marginal log probabilities of words, and expected counts of pieces, under given log probabilities of pieces."""
 
     def __init__(self, path: str, log_p: np.ndarray):
         sp = _vocabulary(path)
-        self.piece = {}
-        self.byte = [0.0] * 256
+        self.piece: dict[str, float] = {}
+        self.number: dict[str, int] = {}
+        self.byte, self.byte_number = [0.0] * 256, [0] * 256
         for i in range(sp.get_piece_size()):
             if sp.is_byte(i):
-                self.byte[int(sp.id_to_piece(i)[3:5], 16)] = float(log_p[i])
+                b = int(sp.id_to_piece(i)[3:5], 16)
+                self.byte[b], self.byte_number[b] = float(log_p[i]), i
             elif not (sp.is_control(i) or sp.is_unknown(i)):
                 self.piece[sp.id_to_piece(i)] = float(log_p[i])
+                self.number[sp.id_to_piece(i)] = i
+        self.plain = {s: (math.exp(w), self.number[s]) for s, w in self.piece.items()}
         self.longest = max(map(len, self.piece), default=1)
 
+    def _bytes(self, c: str) -> float:
+        return sum(self.byte[b] for b in c.encode())
+
     def log_prob(self, word: str) -> float:
         """ln of the summed probability of all segmentations of the word."""
-        s = "▁" + word
+        return self._forward("▁" + word)[-1]
+
+    def _forward(self, s: str) -> list[float]:
         get, longest = self.piece.get, self.longest
         alpha = [0.0] * (len(s) + 1)
         exp, log = math.exp, math.log
@@ -80,10 +93,49 @@ class PieceLattice:
                 if w is not None:
                     terms.append(alpha[i] + w)
                 elif i == j - 1:
-                    terms.append(alpha[i] + sum(self.byte[b] for b in s[i].encode()))
+                    terms.append(alpha[i] + self._bytes(s[i]))
             top = max(terms)
             alpha[j] = top + log(sum([exp(t - top) for t in terms])) if len(terms) > 1 else top
-        return alpha[-1]
+        return alpha
+
+    def count_into(self, total: dict[int, int], word: str, times: int) -> None:
+        """Add the expected counts of pieces in ``times`` occurrences of a word, in PARTS."""
+        s = "▁" + word
+        n, get, longest = len(s), self.plain.get, self.longest
+        alpha, edges = [1.0] + [0.0] * n, []
+        for j in range(1, n + 1):
+            a = 0.0
+            for i in range(j - longest if j > longest else 0, j):
+                found = get(s[i:j])
+                if found is not None:
+                    a += alpha[i] * found[0]
+                    edges.append((i, j, found[0], found[1]))
+                elif i == j - 1:
+                    p = math.exp(self._bytes(s[i]))
+                    a += alpha[i] * p
+                    edges.append((i, j, p, -1))
+            alpha[j] = a
+        if alpha[n] > 1e-280:
+            beta, each = [0.0] * n + [times * PARTS / alpha[n]], []
+            for i, j, p, number in reversed(edges):  # all that starts at j comes before what ends there
+                q = p * beta[j]
+                beta[i] += q
+                each.append((alpha[i] * q, number, i))
+        else:  # a long or strange word, whose probability is too small for a float
+            up = self._forward(s)
+            down, each = [-math.inf] * n + [0.0], []
+            for i, j, p, number in reversed(edges):
+                w = self.piece[s[i:j]] if number >= 0 else self._bytes(s[i])
+                a, b = down[i], w + down[j]
+                down[i] = max(a, b) + math.log1p(math.exp(-abs(a - b))) if a > -math.inf else b
+                each.append((times * PARTS * math.exp(up[i] + b - up[n]), number, i))
+        for x, number, i in each:
+            parts = int(x + 0.5)
+            if number >= 0:
+                total[number] = total.get(number, 0) + parts
+            else:
+                for b in s[i].encode():
+                    total[self.byte_number[b]] = total.get(self.byte_number[b], 0) + parts
 
 
 def _block_words(table: pa.Table) -> pa.Table:
@@ -104,16 +156,14 @@ def _block_words(table: pa.Table) -> pa.Table:
     )
 
 
-def _piece_counts(path: str):
+def _piece_counts(path: str, shared):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sp = _vocabulary(path)
-        total = np.zeros(sp.get_piece_size(), np.int64)
+        lattice, total = PieceLattice(path, shared.value), {}
         for b in batches:
-            n = b.column(1).to_numpy()
-            for ids, c in zip(sp.encode(b.column(0).to_pylist(), num_threads=1), n):
-                np.add.at(total, ids, c) if len(ids) > 8 else [total.__setitem__(i, total[i] + c) for i in ids]
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["piece", "n"])
+            for word, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                lattice.count_into(total, word, n)
+        some = sorted(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([total[i] for i in some], pa.int64())], names=["piece", "n"])
 
     return count
 
@@ -164,20 +214,22 @@ def held_out(doc_id: Column) -> Column:
     return crc_mod(doc_id, 7) == 2
 
 
-def score_documents(df: DataFrame, vocabulary_path: str | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def score_documents(df: DataFrame, vocabulary_path: str | None = None, block_rows: int = BLOCK_ROWS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per row of df (doc_id, text): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     The counts and the piece weights come from all rows that are not held out.
-    ``block_rows`` bounds what a task holds: that many texts and their words.
+    ``block_rows`` and ``block_bytes`` bound what a task holds, on average: so
+    many texts and their words.
     """
     spark = on_path(df.sparkSession)
     path = vocabulary_path or public_tokenizers.path("piece_bpe_32k.model")
-    rows = pick(df, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    blocks = max(1, -(-rows.count() // block_rows))
-    texts = rows.select(
-        F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block"), "doc_id", "text", (~held_out(F.col("doc_id"))).alias("train")
-    )
-    n_train = rows.where(~held_out(F.col("doc_id"))).count()
+    own = Located(df)
+    rows = own.df.select(F.col(own.place("doc_id")).cast("long").alias("doc_id"), F.col(own.place("text")).alias("text"), "_file", "_row")
+    train = ~held_out(F.col("doc_id"))
+    all_of = rows.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("size"), F.count_if(train).alias("train")).first()
+    blocks = max(1, -(-all_of["n"] // block_rows), -(-(all_of["size"] or 0) // block_bytes))
+    texts = rows.select(F.pmod(F.xxhash64("_file", "_row"), F.lit(blocks)).alias("block"), "doc_id", "text", train.alias("train"))
+    n_train = all_of["train"]
 
     by_block = shared_table(texts.groupBy("block").applyInArrow(_block_words, "block long, word string, n long"), "block-words")
     counts = by_block.groupBy("word").agg(F.sum("n").alias("c"))
@@ -203,14 +255,24 @@ def score_documents(df: DataFrame, vocabulary_path: str | None = None, block_row
     )
 
 
+def first_weights(path: str) -> np.ndarray:
+    """ln probabilities of pieces that fall with their ranks, which the file gives as scores from 0 down; bytes come last."""
+    sp = _vocabulary(path)
+    n = sp.get_piece_size()
+    rank = np.array([n if sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) else max(0.0, -sp.get_score(i)) for i in range(n)])
+    p = 1.0 / (2.0 + rank)
+    return np.log(p / p.sum())
+
+
 def _piece_weights(counts: DataFrame, path: str, n_train: int) -> tuple[np.ndarray, float]:
-    """ln probabilities of the vocabulary's pieces, and log10 of the end's, from counts plus one.
+    """ln probabilities of the vocabulary's pieces, and log10 of the end's, from expected counts plus one.
 
     At most one row per piece of the vocabulary comes to the driver.
     """
-    seen = counts.where("c > 0").mapInArrow(_piece_counts(path), "piece int, n long").groupBy("piece").agg(F.sum("n").alias("n")).collect()
+    shared = counts.sparkSession.sparkContext.broadcast(first_weights(path))
+    seen = counts.where("c > 0").mapInArrow(_piece_counts(path, shared), "piece int, n long").groupBy("piece").agg(F.sum("n").alias("n")).collect()
     total = np.ones(_vocabulary(path).get_piece_size(), np.float64)
     for r in seen:
-        total[r["piece"]] += r["n"]
+        total[r["piece"]] += r["n"] / PARTS
     everything = total.sum() + n_train + 1
     return np.log(total / everything), math.log10((n_train + 1) / everything)

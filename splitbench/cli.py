@@ -19,6 +19,8 @@ _OPTIONS = {
     "--similarity-k": ("similarity_k", int), "--sketch-size": ("sketch_size", int), "--max-train-similarity": ("max_train_similarity", float),
     "--min-similarity-coverage": ("min_similarity_coverage", float), "--similarity-table": ("similarity_table", str),
 }
+#: What ``schema`` prints as JSON Schema; for the names of files it prints a header line.
+SCHEMA_NAMES = ("metadata-row", "truth-row", "reference-row", "sequence-row", "assignment-row", "exclusion-row")
 _PATHS = ("metadata_path", "output_dir", "similarity_table")
 
 
@@ -36,7 +38,7 @@ def parser() -> argparse.ArgumentParser:
         if name == "generate":
             c.add_argument("--split", dest="splits", action="append")
         for flag, (dest, kind) in _OPTIONS.items():
-            c.add_argument(flag, dest=dest, type=kind)
+            c.add_argument(flag, *["--outdir"] * (flag == "--output"), dest=dest, type=kind)
         c.add_argument("--high", type=float)
         c.add_argument("--moderate", type=float)
         c.add_argument("--low", type=float)
@@ -52,7 +54,7 @@ def parser() -> argparse.ArgumentParser:
     i.add_argument("--duplicate-policy", choices=("error", "drop"), default="error")
     i.add_argument("--json", action="store_true")
     s = sub.add_parser("schema")
-    s.add_argument("name", choices=("metadata", "truth", "references", "sequences", "assignments", "exclusions", "similarity"))
+    s.add_argument("name", choices=("metadata", "truth", "references", "sequences", "assignments", "exclusions", "similarity", *SCHEMA_NAMES))
     return p
 
 
@@ -95,7 +97,12 @@ def _session(level: str):
 
 def run(args: argparse.Namespace, spark=None) -> int:
     if args.command == "schema":
-        print("\t".join(columns(args.name)))
+        if args.name in SCHEMA_NAMES:
+            from .schemas import json_schema
+
+            print(json.dumps(json_schema(args.name), indent=2, sort_keys=True))
+        else:
+            print("\t".join(columns(args.name)))
         return 0
     from .plans import benchmark
     from .plans.validate import validate_bundle

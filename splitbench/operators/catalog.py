@@ -139,6 +139,41 @@ def duplicate_audit(genomes: DataFrame) -> DataFrame:
     )
 
 
+def copy_taxonomy_conflicts(genomes: DataFrame) -> DataFrame:
+    """(digest, label, n_taxonomies): copies of one class whose taxonomies, maps of ranks, are not the same."""
+    known = text.sorted_map_json(F.coalesce(F.col("taxonomy"), F.create_map().cast("map<string,string>")))
+    return genomes.groupBy("digest", "label").agg(F.count_distinct(known).alias("n_taxonomies")).where("n_taxonomies > 1")
+
+
+#: Fixed value: how the date of a merged genome is chosen.
+MERGE_POLICY = "earliest_known_public_release"
+
+
+def merge_facts(genomes: DataFrame, contigs: DataFrame) -> DataFrame:
+    """(genome_id, facts): what a kept genome records of all copies of its class, itself included.
+
+    genomes have genome_id, label, digest, release_date and duplicate_of; contigs
+    genome_id, accession_version and sha256.  Genomes without a copy have no row.
+    """
+    keeper = F.coalesce("duplicate_of", "genome_id").alias("keeper")
+    copies = genomes.select(keeper, "genome_id", "release_date")
+    shown = F.concat_ws(":", "genome_id", F.coalesce(F.col("release_date").cast("string"), F.lit("unknown")))
+    joined = lambda c: F.array_join(F.array_sort(c), ",")
+    own = copies.groupBy("keeper").agg(F.count("*").alias("n"), joined(F.collect_list("genome_id")).alias("ids"), F.array_sort(F.collect_list(F.struct("genome_id", shown.alias("shown")))).alias("dates"))
+    own = own.where("n > 1").withColumn("dates", F.array_join(F.col("dates.shown"), ","))
+    of_contigs = contigs.join(copies.select("genome_id", "keeper"), "genome_id").join(own.select("keeper"), "keeper", "left_semi")
+    told = of_contigs.groupBy("keeper").agg(joined(F.collect_set("accession_version")).alias("accessions"), joined(F.collect_set("sha256")).alias("digests"))
+    fact = lambda k, v: (F.lit(k), v)
+    facts = [
+        *fact("duplicate_genome_ids", F.col("ids")),
+        *fact("duplicate_accession_versions", F.col("accessions")),
+        *fact("duplicate_release_dates", F.col("dates")),
+        *fact("duplicate_source_sequence_digests", F.col("digests")),
+        *fact("duplicate_merge_policy", F.lit(MERGE_POLICY)),
+    ]
+    return own.join(told, "keeper").select(F.col("keeper").alias("genome_id"), F.create_map(*facts).alias("facts"))
+
+
 def effective_dates(genomes: DataFrame) -> DataFrame:
     """genomes with effective_date: the earliest known date of their content group."""
     least = genomes.groupBy("group_id").agg(F.min("release_date").alias("effective_date"))

@@ -52,11 +52,14 @@ def coordinate_space(contigs: DataFrame, lengths: list[int]) -> DataFrame:
 
 def _drawn(wanted: DataFrame, space: DataFrame, contigs: DataFrame, seed: int, strand_mode: str) -> DataFrame:
     """Coordinates and sequences for rows of (genome_id, fragment_length, local_index, attempt)."""
-    total = space.groupBy("genome_id", "fragment_length").agg(F.max("hi").alias("total"))
-    what = F.concat_ws("|", "genome_id", "fragment_length", "local_index", "attempt")
-    tickets = wanted.join(total, ["genome_id", "fragment_length"]).withColumn("ticket", hashing.draw(hashing.semantic_rank(seed, "coordinates", what)) % F.col("total"))
     on = ["genome_id", "fragment_length"]
-    placed = tickets.join(space, on).where("ticket >= lo and ticket < hi")
+    total = space.groupBy(*on).agg(F.max("hi").alias("total"), F.count("*").alias("contigs"))
+    what = F.concat_ws("|", "genome_id", "fragment_length", "local_index", "attempt")
+    tickets = wanted.join(total, on).withColumn("ticket", hashing.draw(hashing.semantic_rank(seed, "coordinates", what)) % F.col("total"))
+    # A genome's axis has as many bins as contigs: a ticket meets the few contigs of its bin, not all of the genome.
+    bin_of = lambda x: F.floor(x.cast("double") * F.col("contigs") / F.col("total")).cast("long")
+    binned = space.join(total, on).withColumn("bin", F.explode(F.sequence(bin_of(F.col("lo")), bin_of(F.col("hi") - 1)))).drop("total", "contigs")
+    placed = tickets.withColumn("bin", bin_of(F.col("ticket"))).drop("contigs").join(binned, [*on, "bin"]).where("ticket >= lo and ticket < hi").drop("bin")
     placed = placed.withColumn("start", F.col("ticket") - F.col("lo")).withColumn("end", F.col("start") + F.col("fragment_length"))
     joined = placed.join(contigs.select("genome_id", "sequence_id", "sequence"), ["genome_id", "sequence_id"])
     forward = dna.slice_forward(F.col("sequence"), F.col("start").cast("int"), F.col("fragment_length").cast("int"))
@@ -121,12 +124,24 @@ def sample_fragments(
     )
 
 
+#: A genome's place among all is by ranges of ids; this many, so that no task ranks all genomes.
+RANGES = 64
+
+
 def with_ordinals(fragments: DataFrame) -> DataFrame:
-    """Consecutive numbers over genome, length and draw: counts per genome first, then a rank inside it."""
+    """Consecutive numbers over genome, length and draw.
+
+    Genomes are dealt to ranges of their ids, whose sums are the only thing that
+    one task sees whole; inside a range and a genome, ranks do the rest.
+    """
     per = fragments.groupBy("genome_id").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("genome_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    dealt = materialize(per.repartitionByRange(RANGES, "genome_id").withColumn("_range", F.spark_partition_id()), "ranges")
+    sums = dealt.groupBy("_range").agg(F.sum("_n").alias("_s"))
+    offsets = sums.select("_range", F.coalesce(F.sum("_s").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_o"))
+    within = F.coalesce(F.sum("_n").over(Window.partitionBy("_range").orderBy("genome_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = dealt.join(F.broadcast(offsets), "_range").select("genome_id", (F.col("_o") + within).alias("_before"))  # at most RANGES rows
     inside = F.row_number().over(Window.partitionBy("genome_id").orderBy("fragment_length", "local_index"))
-    return fragments.join(per.withColumn("_before", before), "genome_id").withColumn("ordinal", F.col("_before") + inside - 1).drop("_n", "_before")
+    return fragments.join(before, "genome_id").withColumn("ordinal", F.col("_before") + inside - 1).drop("_before")
 
 
 def label_conflicts(fragments: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import dna, hashing
+from ..functions import dna, hashing, text
 from ..session import materialize
 
 CHUNK = 256
@@ -227,6 +227,15 @@ def collapse_table(table: DataFrame, most: float, least_coverage: float) -> Data
     )
 
 
+def similarity_rows(hits: DataFrame) -> DataFrame:
+    """Best hits (query_genome_id, reference_genome_id, similarity, coverage, method) as rows of text, blank where unknown."""
+    blank = lambda c: F.coalesce(c, F.lit(""))
+    return hits.select(
+        "query_genome_id", blank(F.col("reference_genome_id")).alias("reference_genome_id"), text.float_text(F.col("similarity")).alias("similarity"),
+        text.float_text(F.col("coverage")).alias("coverage"), "method",
+    )
+
+
 def incomplete_queries(table: DataFrame, n_references: int) -> DataFrame:
     """Queries without exactly one row for each reference."""
     return table.groupBy("query_genome_id").agg(F.count_distinct("reference_genome_id").alias("n_pairs"), F.count("*").alias("n_rows")).where(

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .. import sinks
 from ..config import DIRECTORIES, BenchmarkConfig
 from ..errors import InputError, IntegrityError, require_empty
-from ..functions import hashing
+from ..functions import hashing, text
 from ..operators import audit, catalog, sampling, similarity, stats
 from ..session import materialize
 from ..sources import fasta, tables
@@ -86,6 +86,14 @@ def load_contigs(spark: SparkSession, config: BenchmarkConfig) -> DataFrame:
     )
 
 
+def add_facts(genomes: DataFrame, facts: DataFrame) -> DataFrame:
+    """genomes with (genome_id, facts), a map, put into their metadata_extra."""
+    joined = genomes.join(facts, "genome_id", "left")
+    more = F.coalesce("facts", F.create_map().cast("map<string,string>"))
+    other = F.map_filter("metadata_extra", lambda k, v: ~F.map_contains_key(more, k))
+    return joined.withColumn("metadata_extra", F.map_from_entries(F.array_sort(F.map_entries(F.map_concat(other, more))))).drop("facts")
+
+
 def build_catalog(contigs: DataFrame, duplicate_policy: str = "error") -> Catalog:
     """Genomes from contigs: grouped, digested, checked for conflicts, copies dropped or refused."""
     contigs = materialize(catalog.with_digests(_empty_map(contigs, ("taxonomy", "metadata_extra"))), "contigs")
@@ -114,7 +122,9 @@ def build_catalog(contigs: DataFrame, duplicate_policy: str = "error") -> Catalo
     dropped = marked.where("duplicate_of is not null")
     if duplicate_policy == "error":
         require_empty(dropped.select("genome_id", "duplicate_of"), "copies of the same class")
-    kept = materialize(marked.where("duplicate_of is null").drop("duplicate_of"), "kept")
+    require_empty(catalog.copy_taxonomy_conflicts(genomes), "copies of one class disagree on taxonomy")
+    facts = catalog.merge_facts(marked, contigs)
+    kept = materialize(add_facts(marked.where("duplicate_of is null").drop("duplicate_of"), facts), "kept")
     exclusions = dropped.select(
         "genome_id", "label", F.lit("reference_preflight").alias("split"), F.lit("same_class_content_duplicate").alias("reason"), "duplicate_of", F.col("digest").alias("source_sha256"),
         F.col("accession_version").alias("source_accession_version"), "release_date",
@@ -143,13 +153,13 @@ def plan_split(kind: str, cat: Catalog, config: BenchmarkConfig, spark: SparkSes
         rank = config.taxonomy_rank
         t = g.withColumn("taxon", F.try_element_at("taxonomy", F.lit(rank)))
         viruses = t.where("label = 'virus'")
-        known = {r["f"]: r["taxon"] for r in viruses.where("taxon is not null").groupBy(F.lower("taxon").alias("f")).agg(F.min("taxon").alias("taxon")).collect()}
+        known = {r["f"]: r["taxon"] for r in viruses.where("taxon is not null").groupBy(text.casefold(F.col("taxon")).alias("f")).agg(F.min("taxon").alias("taxon")).collect()}
         if config.missing_metadata == "error":
             require_empty(viruses.where("taxon is null").select("genome_id"), f"viruses without {rank}")
         if config.holdout_taxa:
-            if absent := [x for x in config.holdout_taxa if x.lower() not in known]:
+            if absent := [x for x in config.holdout_taxa if x.casefold() not in known]:
                 raise InputError(f"held-out taxa are absent: {', '.join(absent)}")
-            held = [known[x.lower()] for x in config.holdout_taxa]
+            held = [known[x.casefold()] for x in config.holdout_taxa]
         else:
             held = [r["taxon"] for r in protocols.choose_taxa(viruses, rank, config.auto_holdout_count, seed).collect()]
         if len(set(held)) >= len(known):

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..errors import ConfigurationError
 from ..functions.hashing import semantic_rank
+from ..functions.text import casefold
 from ..operators import similarity as sim
 
 KINDS = ("random", "genome", "similarity", "temporal", "taxonomy")
@@ -99,8 +100,13 @@ def choose_cutoff(genomes: DataFrame, fraction: float, seed: int):
     return best["cutoff"]
 
 
-def temporal_holdout(genomes: DataFrame, cutoff, missing: str = "exclude") -> DataFrame:
-    """Groups known on or before the cutoff train, later ones test; undated genomes are excluded or an error."""
+def temporal_holdout(genomes: DataFrame, cutoff, missing: str = "exclude", historical_snapshot: str | None = None) -> DataFrame:
+    """Groups known on or before the cutoff train, later ones test; undated genomes are excluded or an error.
+
+    A snapshot's name, if given, goes with every row as historical_snapshot.
+    """
+    if historical_snapshot is not None and not historical_snapshot.strip():
+        raise ConfigurationError("historical_snapshot cannot be blank")
     least = genomes.groupBy("group_id").agg(F.min("release_date").alias("effective_date"))
     joined = genomes.join(least, "group_id")
     limit = F.lit(str(cutoff)).cast("date")
@@ -114,12 +120,13 @@ def temporal_holdout(genomes: DataFrame, cutoff, missing: str = "exclude") -> Da
         .when(group <= limit, "sequence_group_available_on_or_before_cutoff")
         .otherwise("release_date_after_cutoff")
     )
-    return joined.select("genome_id", "label", "group_id", partition.alias("partition"), reason.alias("reason"), "release_date")
+    named = [] if historical_snapshot is None else [F.lit(historical_snapshot.strip()).alias("historical_snapshot")]
+    return joined.select("genome_id", "label", "group_id", partition.alias("partition"), reason.alias("reason"), "release_date", *named)
 
 
 def choose_taxa(viruses: DataFrame, rank: str, count: int, seed: int) -> DataFrame:
     """(taxon): ``count`` represented taxa in seeded order; spellings that differ by case are one."""
-    taxa = viruses.where("taxon is not null").groupBy(F.lower("taxon").alias("folded")).agg(F.min("taxon").alias("taxon"))
+    taxa = viruses.where("taxon is not null").groupBy(casefold(F.col("taxon")).alias("folded")).agg(F.min("taxon").alias("taxon"))
     return taxa.withColumn("_r", semantic_rank(seed, f"taxonomy:{rank}", F.col("folded"))).orderBy("_r", "folded").limit(count).select("taxon")
 
 
@@ -128,9 +135,9 @@ def taxonomic_holdout(genomes: DataFrame, held: list[str], rank: str = "family",
 
     genomes has a taxon column, the value of the rank.
     """
-    folded = [t.lower() for t in held]
+    folded = [t.casefold() for t in held]
     v = genomes.where("label = 'virus'")
-    t = F.lower("taxon")
+    t = casefold(F.col("taxon"))
     partition = F.when(t.isNull(), "excluded").when(t.isin(folded), "test").otherwise("train")
     reason = F.when(t.isNull(), f"missing_taxonomy_{rank}").when(t.isin(folded), "selected_taxon_holdout").otherwise("non_holdout_taxon")
     viral = v.select("genome_id", "label", "group_id", partition.alias("partition"), reason.alias("reason"), "taxon")

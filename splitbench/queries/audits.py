@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import audit, intervals
+from ..operators import audit, intervals, stats
+from ..session import materialize
 from ..sources import adapters
 from .common import SQL_GENOMES, genomes_from_documents, query, sql_rc
-from .fragments import _LIB, _SPLIT, _split, library
+from .fragments import _LIB, _SPLIT, _TRUTH, _plan, _split, library, source_contigs
 
 _EVENTS = """ev AS (SELECT event_id, user_id, CAST(floor(epoch(ts)) AS BIGINT) AS start, CAST(floor(epoch(ts)) AS BIGINT) + 60 * (event_id % 10 + 1) AS "end", CASE WHEN event_id % 3 = 0 THEN 'test' ELSE 'train' END AS partition FROM events)"""
 
@@ -64,5 +65,22 @@ UNION ALL SELECT 'train_source_genomes', (SELECT count(DISTINCT genome_id) FROM
 UNION ALL SELECT 'test_source_genomes', (SELECT count(DISTINCT genome_id) FROM split WHERE partition = 'test')""")
 def split_audit(spark, sf_dir):
     """All numbers of the leakage audit for the random-fragment split."""
-    s = _split(spark, sf_dir).cache()
+    s = materialize(_split(spark, sf_dir), "split")
     return audit.split_audit(s, s.select("genome_id", F.col("genome_id").alias("group_id")).distinct())
+
+
+@query(f"""{_TRUTH}, marked AS (SELECT *, CAST(substr(source_genome_id, 5) AS BIGINT) % 11 AS k FROM truth WHERE partition = 'test')
+SELECT sequence_id AS key, CASE k WHEN 0 THEN 'row' WHEN 1 THEN 'strand' WHEN 2 THEN 'release_date' WHEN 3 THEN 'row' END AS field FROM marked WHERE k < 4""")
+def strict_subset_of_candidate(spark, sf_dir):
+    """A strict test with rows left out, altered and added, against the candidate test's rows of the genomes that stayed."""
+    truth = materialize(stats.truth_view(library(spark, sf_dir), _plan(spark, sf_dir), source_contigs(spark, sf_dir), "candidate_test").where("partition = 'test'"), "candidates")
+    k = F.expr("cast(substr(source_genome_id, 5) as bigint)") % 11
+    stayed = truth.select(F.col("source_genome_id").alias("genome_id"), F.when(k == 3, "excluded").otherwise("test").alias("partition")).distinct()
+    strict = truth.where(k != 0).withColumns(
+        {
+            "view": F.lit("test"),
+            "strand": F.when(k == 1, F.when(F.col("strand") == "+", "-").otherwise("+")).otherwise(F.col("strand")),
+            "release_date": F.when(k == 2, F.date_add("release_date", 1)).otherwise(F.col("release_date")),
+        }
+    )
+    return audit.strict_subset_violations(truth, strict, stayed)

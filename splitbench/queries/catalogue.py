@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import schemas
 from ..functions import dna, hashing, text
-from ..operators import catalog, similarity
+from ..operators import audit, catalog, similarity
 from ..session import materialize
 from ..sources import adapters
 from .common import SQL_CONTIGS, SQL_GENOMES, genomes_from_documents, query, sql_digest, sql_rc
@@ -138,24 +139,89 @@ def duplicate_audit_extras(spark, sf_dir):
     return catalog.duplicate_audit(_dated(spark, sf_dir))
 
 
-@query("""SELECT coalesce(d.doc_id, q.doc_id) AS sequence_id, CASE WHEN q.doc_id IS NULL THEN 'missing_metadata' ELSE 'unused_metadata' END AS problem
-FROM (SELECT doc_id FROM documents WHERE lang <> 'de') d FULL JOIN (SELECT DISTINCT doc_id FROM labels) q ON d.doc_id = q.doc_id WHERE d.doc_id IS NULL OR q.doc_id IS NULL""")
-def metadata_join_audit(spark, sf_dir):
-    """Sequences are documents of three languages, metadata the labels: both kinds of problem occur."""
-    c = adapters.table(spark, sf_dir, "documents").where("lang <> 'de'").select(F.col("doc_id").alias("sequence_id"))
-    m = adapters.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("sequence_id")).distinct()
-    return catalog.metadata_join_audit(c, m)
-
-
 @query("""SELECT coalesce(d.doc_id, q.doc_id) AS sequence_id, CASE WHEN q.doc_id IS NULL THEN 'missing_metadata' ELSE 'unused_metadata' END AS problem
 FROM documents d FULL JOIN (SELECT doc_id FROM labels UNION SELECT -1) q ON d.doc_id = q.doc_id WHERE d.doc_id IS NULL OR q.doc_id IS NULL""")
-def metadata_join_audit_whole(spark, sf_dir):
+def metadata_join_audit(spark, sf_dir):
     """All documents against all labels; one label without a document is added, so that both kinds of problem occur."""
     c = adapters.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("sequence_id"))
     m = adapters.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("sequence_id"))
     return catalog.metadata_join_audit(c, m.union(spark.range(-1, 0).toDF("sequence_id")).distinct())
 
 
+_MERGED = f"""{_DUP}, m AS (SELECT rep AS genome_id, label, string_agg(genome_id, ',' ORDER BY genome_id) AS ids, string_agg(genome_id || ':' || coalesce(CAST(rd AS VARCHAR), 'unknown'), ',' ORDER BY genome_id) AS dates,
+  array_to_string(list_sort(list_distinct(list('A' || doc_id % 4))), ',') AS accessions, array_to_string(list_sort(list_distinct(list(sha256(sequence)))), ',') AS digests, any_value(digest) AS digest FROM r GROUP BY rep, label HAVING count(*) > 1)"""
+
+
+def _marked(spark, sf_dir):
+    """All documents as genomes, copies marked, and their contigs."""
+    marked = materialize(catalog.rank_duplicates(_dated(spark, sf_dir)), "marked")
+    c = adapters.contigs_from_documents(spark, sf_dir)
+    contigs = c.select("genome_id", F.concat(F.lit("A"), F.col("doc_id") % 4).alias("accession_version"), F.sha2("sequence", 256).alias("sha256"))
+    return marked, contigs
+
+
+@query(f"{_MERGED} SELECT genome_id, ids, dates, accessions, digests, 'earliest_known_public_release' AS policy FROM m")
+def duplicate_merge_extras(spark, sf_dir):
+    """What a kept genome records of its copies."""
+    f = catalog.merge_facts(*_marked(spark, sf_dir))
+    names = {"ids": "duplicate_genome_ids", "dates": "duplicate_release_dates", "accessions": "duplicate_accession_versions", "digests": "duplicate_source_sequence_digests", "policy": "duplicate_merge_policy"}
+    return f.select("genome_id", *[F.col("facts")[v].alias(k) for k, v in names.items()])
+
+
+@query(f"""WITH {SQL_GENOMES}, t AS (SELECT digest, label, CASE WHEN genus IS NULL THEN '{{}}' ELSE '{{"genus":"' || genus || '"}}' END AS taxonomy FROM genomes)
+SELECT digest, label, count(DISTINCT taxonomy) AS n_taxonomies FROM t GROUP BY digest, label HAVING count(DISTINCT taxonomy) > 1""")
+def copy_taxonomy_conflicts(spark, sf_dir):
+    """Copies of one class from different sources, taken as their genera."""
+    g = genomes_from_documents(spark, sf_dir).withColumn("taxonomy", F.when(F.col("genus").isNotNull(), F.create_map(F.lit("genus"), F.col("genus"))))
+    return catalog.copy_taxonomy_conflicts(g)
+
+
+@query(f"""{_MERGED}, gone AS (SELECT genome_id, rep, label, digest, rd, doc_id % 13 AS k FROM r WHERE rep <> genome_id)
+SELECT CASE k WHEN 0 THEN 'copy_without_exclusion' WHEN 1 THEN 'other_representative' WHEN 2 THEN 'other_label' WHEN 3 THEN 'other_digest' WHEN 4 THEN 'other_reason' WHEN 5 THEN 'other_date' END AS "check", genome_id AS key FROM gone WHERE k < 6
+UNION ALL SELECT 'exclusion_without_copy', 'stray'""")
+def exclusion_provenance(spark, sf_dir):
+    """Exclusions of all copies, with a fault of each kind planted, against what the kept genomes record."""
+    marked, contigs = _marked(spark, sf_dir)
+    kept = marked.where("duplicate_of is null").join(catalog.merge_facts(marked, contigs), "genome_id").withColumnRenamed("facts", "metadata_extra")
+    k = F.col("doc_id") % 13
+    planted = lambda n, wrong, right: F.when(k == n, wrong).otherwise(right)
+    gone = marked.where("duplicate_of is not null").where(k != 0).select(
+        "genome_id", planted(2, F.lit("other"), F.col("label")).alias("label"), F.lit("reference_preflight").alias("split"), planted(4, F.lit("other"), F.lit("same_class_content_duplicate")).alias("reason"),
+        planted(1, F.lit("other"), F.col("duplicate_of")).alias("duplicate_of"), planted(3, F.lit("other"), F.col("digest")).alias("source_sha256"),
+        planted(5, F.lit("1999-01-01"), F.col("release_date").cast("string")).alias("release_date"),
+    )
+    stray = spark.createDataFrame([("stray", "virus", "reference_preflight", "same_class_content_duplicate", "doc-0", "x", None)], gone.schema)
+    return audit.exclusion_violations(gone.unionByName(stray), kept)
+
+
+_CELLS = r"""WITH cells AS (SELECT 'p-' || p_partkey AS key, p_brand AS sequence_id, 'g-' || p_partkey AS genome_id, CASE p_size % 3 WHEN 0 THEN 'virus' WHEN 1 THEN 'host' ELSE 'other' END AS label,
+  CASE WHEN p_partkey % 2 = 0 THEN '' ELSE 'A.1' END AS accession_version, CASE p_partkey % 4 WHEN 0 THEN '' WHEN 1 THEN '2020-02-29' WHEN 2 THEN '2021-02-29' ELSE '2020-2-1' END AS release_date,
+  CASE WHEN p_size % 2 = 0 THEN 'linear' ELSE 'knot' END AS topology, CAST(p_size - 5 AS VARCHAR) AS length_nt, CASE WHEN p_partkey % 5 = 0 THEN upper(sha256(p_name)) ELSE sha256(p_name) END AS sha256,
+  sha256(p_type) AS canonical_sha256, CASE WHEN p_partkey % 6 = 0 THEN '' ELSE 'sha256:' || sha256(p_name) END AS source_input_id,
+  CASE p_partkey % 3 WHEN 0 THEN '{"family":"' || p_type || '"}' WHEN 1 THEN '[1]' ELSE '{"a":"1","a":"2"}' END AS taxonomy, '{}' AS metadata_extra FROM part)"""
+
+
+@query(_CELLS + r""" SELECT key, f[1] AS field, f[2] AS fault FROM (SELECT key, unnest([
+  CASE WHEN NOT regexp_full_match(sequence_id, '[A-Za-z0-9][A-Za-z0-9._:+-]{0,254}') THEN ['sequence_id', 'id'] END, CASE WHEN label = 'other' THEN ['label', 'label'] END,
+  CASE WHEN release_date NOT IN ('', '2020-02-29') THEN ['release_date', 'optional date'] END, CASE WHEN topology = 'knot' THEN ['topology', 'topology'] END,
+  CASE WHEN CAST(length_nt AS INTEGER) < 1 THEN ['length_nt', 'positive'] END, CASE WHEN sha256 <> lower(sha256) THEN ['sha256', 'sha256'] END,
+  CASE WHEN source_input_id = '' THEN ['source_input_id', 'group id'] END, CASE WHEN taxonomy[1] = '[' OR taxonomy = '{"a":"1","a":"2"}' THEN ['taxonomy', 'json map'] END]) AS f FROM cells) WHERE f IS NOT NULL""")
+def schema_violations(spark, sf_dir):
+    """Every cell of parts, dressed up as sequence rows, that the schema does not allow."""
+    p = adapters.table(spark, sf_dir, "part")
+    n, size = F.col("p_partkey"), F.col("p_size")
+    rows = p.select(
+        F.concat(F.lit("p-"), n).alias("key"), F.col("p_brand").alias("sequence_id"), F.concat(F.lit("g-"), n).alias("genome_id"),
+        F.when(size % 3 == 0, "virus").when(size % 3 == 1, "host").otherwise("other").alias("label"), F.when(n % 2 == 0, "").otherwise("A.1").alias("accession_version"),
+        F.when(n % 4 == 0, "").when(n % 4 == 1, "2020-02-29").when(n % 4 == 2, "2021-02-29").otherwise("2020-2-1").alias("release_date"),
+        F.when(size % 2 == 0, "linear").otherwise("knot").alias("topology"), (size - 5).alias("length_nt"),
+        F.when(n % 5 == 0, F.upper(F.sha2("p_name", 256))).otherwise(F.sha2("p_name", 256)).alias("sha256"), F.sha2("p_type", 256).alias("canonical_sha256"),
+        F.when(n % 6 == 0, "").otherwise(F.concat(F.lit("sha256:"), F.sha2("p_name", 256))).alias("source_input_id"),
+        F.when(n % 3 == 0, F.concat(F.lit('{"family":"'), "p_type", F.lit('"}'))).when(n % 3 == 1, "[1]").otherwise('{"a":"1","a":"2"}').alias("taxonomy"), F.lit("{}").alias("metadata_extra"),
+    )
+    return schemas.schema_violations(rows, "sequence-row", "key")
+
+
 @query("""SELECT doc_id, CASE WHEN quality = 1 THEN 'virus' ELSE 'host' END AS metadata_label, CASE WHEN doc_id % 3 = 0 THEN 'host' ELSE 'virus' END AS channel
 FROM labels WHERE (quality = 1) <> (doc_id % 3 <> 0)""")
 def metadata_label_channel_conflict(spark, sf_dir):
@@ -192,13 +258,13 @@ def group_accession(spark, sf_dir):
     return adapters.segments_from_orders(spark, sf_dir).groupBy("genome_id").agg(catalog.only_value(F.col("accession_version")).alias("accession_version"))
 
 
-@query(f"""WITH {_SEGMENTS}, ranked AS (SELECT genome_id % 200 AS genome_id, unnest(['family', 'order']) AS rank, unnest([family, order_rank]) AS value FROM segments)
+@query(f"""WITH {_SEGMENTS}, ranked AS (SELECT 'n-' || family AS genome_id, unnest(['family', 'order', 'status']) AS rank, unnest([family, order_rank, status]) AS value FROM segments)
 SELECT genome_id, rank, count(DISTINCT value) AS n_values FROM ranked GROUP BY genome_id, rank HAVING count(DISTINCT value) > 1""")
 def group_taxonomy_conflicts(spark, sf_dir):
-    """Genomes are merged by id so that their segments disagree."""
-    s = adapters.segments_from_orders(spark, sf_dir).withColumn("genome_id", F.col("genome_id") % 200)
+    """Genomes are all segments of a nation, which agree on two of three ranks."""
+    s = adapters.segments_from_orders(spark, sf_dir).withColumn("genome_id", F.concat(F.lit("n-"), "family"))
     rank = lambda r, c: F.struct(F.lit(r).alias("rank"), F.col(c).alias("value"))
-    return catalog.taxonomy_conflicts(s.select("genome_id", F.inline(F.array(rank("family", "family"), rank("order", "order_rank")))))
+    return catalog.taxonomy_conflicts(s.select("genome_id", F.inline(F.array(rank("family", "family"), rank("order", "order_rank"), rank("status", "status")))))
 
 
 @query(f"""WITH {_SEGMENTS}, extras AS (SELECT genome_id, unnest(['segment_status', 'nation']) AS key, unnest([status, family]) AS value FROM segments), sizes AS (SELECT genome_id, count(*) AS n FROM segments GROUP BY genome_id)

@@ -7,23 +7,32 @@ from pyspark.sql import functions as F
 from ..functions import dna
 from ..operators import sampling, stats
 from ..plans import protocols
+from ..session import materialize
 from ..sources import adapters
 from .common import SEED, SQL_CONTIGS, query, sql_draw, sql_ranked, sql_rc
 
-LENGTHS, PER_GENOME = [31, 61], 61
+#: Fragments of a genome; genomes are documents, so that a library grows with their table.
+LENGTHS, PER_GENOME = [31, 61], 5
+#: Fragments of a genome in which all documents of a source and label are contigs.
+PER_SOURCE = 61
 
 
 def source_contigs(spark, sf_dir, iupac=False):
-    """Contigs of documents in genomes by source and label."""
-    c = adapters.contigs_from_documents(spark, sf_dir, iupac)
-    return c.withColumn("genome_id", F.concat_ws("-", "genus", "label"))
+    """Documents as genomes of one contig, those that are long enough for every fragment length."""
+    return adapters.contigs_from_documents(spark, sf_dir, iupac).where(F.length("sequence") >= max(LENGTHS))
+
+
+def grouped_contigs(spark, sf_dir, iupac=False):
+    """Documents as contigs of genomes by source and label."""
+    return adapters.contigs_from_documents(spark, sf_dir, iupac).withColumn("genome_id", F.concat_ws("-", "genus", "label"))
 
 
 def library(spark, sf_dir):
     return sampling.sample_fragments(source_contigs(spark, sf_dir), LENGTHS, PER_GENOME, SEED, max_ambiguous=1.0)
 
 
-_SOURCES = f"{SQL_CONTIGS}, sources AS (SELECT * REPLACE (genus || '-' || label AS genome_id) FROM contigs)"
+_SOURCES = f"{SQL_CONTIGS}, sources AS (SELECT * FROM contigs WHERE length(sequence) >= {max(LENGTHS)})"
+_GROUPED = f"{SQL_CONTIGS}, sources AS (SELECT * REPLACE (genus || '-' || label AS genome_id) FROM contigs)"
 _IUPAC_SOURCES = """sources AS (SELECT 'doc-' || doc_id AS sequence_id, source || '-' || (CASE WHEN doc_id % 3 = 0 THEN 'host' ELSE 'virus' END) AS genome_id,
   CASE WHEN doc_id % 3 = 0 THEN 'host' ELSE 'virus' END AS label, CASE WHEN doc_id % 5 = 0 THEN 'circular' ELSE 'linear' END AS topology,
   upper(regexp_replace(text, '[^ACGTRYSWKMBDHVNacgtryswkmbdhvn]', '', 'g')) AS sequence FROM documents)"""
@@ -53,6 +62,7 @@ def _library_sql(sources: str, per: int, attempts: int = 1, limit: float = 1.0)
 
 
 _LIB = _library_sql(_SOURCES, PER_GENOME)
+_MANY = _library_sql(_GROUPED, PER_SOURCE)
 _SHOWN = 'fragment_id, label, genome_id, sequence_id, start, "end", strand, fragment_length, sequence'
 _COLS = ["fragment_id", "label", "genome_id", "sequence_id", "start", "end", "strand", "fragment_length", "sequence"]
 
@@ -77,6 +87,17 @@ def fragment_sample(spark, sf_dir):
     return library(spark, sf_dir).select(*_COLS)
 
 
+@query(f"{_MANY} SELECT {_SHOWN} FROM library")
+def fragment_sample_many_contigs(spark, sf_dir):
+    """Genomes of very many contigs: tickets fall on contigs by their place on the genome's axis."""
+    return sampling.sample_fragments(grouped_contigs(spark, sf_dir), LENGTHS, PER_SOURCE, SEED, max_ambiguous=1.0).select(*_COLS)
+
+
+@query(f"{_MANY} SELECT genome_id, sequence_id, CAST(fragment_length AS BIGINT) AS fragment_length, CAST(lo AS BIGINT) AS lo, CAST(hi AS BIGINT) AS hi FROM space")
+def coordinate_space_many_contigs(spark, sf_dir):
+    return sampling.coordinate_space(grouped_contigs(spark, sf_dir), LENGTHS).select("genome_id", "sequence_id", "fragment_length", "lo", "hi")
+
+
 @query(f'{_LIB} SELECT {_SHOWN} FROM library WHERE "end" > source_length')
 def fragment_sample_circular(spark, sf_dir):
     """Fragments that run past a circular origin."""
@@ -86,7 +107,7 @@ def fragment_sample_circular(spark, sf_dir):
 @query(f"{_library_sql(_IUPAC_SOURCES, 21, 200, 0.6)} SELECT {_SHOWN} FROM library")
 def fragment_sample_ambiguity(spark, sf_dir):
     """Sampling from ambiguous sequences: draws are rejected until a window is clear enough."""
-    return sampling.sample_fragments(source_contigs(spark, sf_dir, iupac=True), LENGTHS, 21, SEED, max_ambiguous=0.6).select(*_COLS)
+    return sampling.sample_fragments(grouped_contigs(spark, sf_dir, iupac=True), LENGTHS, 21, SEED, max_ambiguous=0.6).select(*_COLS)
 
 
 @query(f"{_LIB} SELECT fragment_id, CAST(row_number() OVER (ORDER BY genome_id, fragment_length, local_index) - 1 AS BIGINT) AS ordinal FROM library")
@@ -97,7 +118,7 @@ def fragment_ordinals(spark, sf_dir):
 @query(f"{_LIB} SELECT fragment_id, genome_id, sequence_id FROM library WHERE local_index % 9 = 0")
 def fragment_reconstruct_violations(spark, sf_dir):
     """Every ninth fragment is shifted by one; exactly those fail to reconstruct."""
-    lib = library(spark, sf_dir).cache()
+    lib = materialize(library(spark, sf_dir), "library")
     moved = lib.withColumn("start", F.when(F.col("local_index") % 9 == 0, F.col("start") + 1).otherwise(F.col("start")))
     return sampling.reconstruction_violations(moved, source_contigs(spark, sf_dir))
 

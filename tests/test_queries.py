@@ -44,7 +44,7 @@ def test_casefold_of_whole_texts(spark, sf_dir):
 def test_metadata_audit_reports_documents_of_all_languages(spark, sf_dir):
     docs = {r.doc_id for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     labels = {r.doc_id for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
-    rows = {(r.sequence_id, r.problem) for r in QUERIES["metadata_join_audit_whole"](spark, sf_dir).collect()}
+    rows = {(r.sequence_id, r.problem) for r in QUERIES["metadata_join_audit"](spark, sf_dir).collect()}
     assert rows == {(i, "missing_metadata") for i in docs - labels} | {(i, "unused_metadata") for i in {*labels, -1} - docs}
 
 

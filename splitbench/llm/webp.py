@@ -133,23 +133,35 @@ def _read_prefix(bits: Bits, size: int) -> Prefix:
     given = [(k, n) for k in CODE_LENGTH_ORDER[: 4 + bits.read(4)] if (n := bits.read(3))]
     code = Prefix([k for k, _ in sorted(given)], [n for _, n in sorted(given)])
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else size
+    outer, widths = code.tables()
+    mask, data, place = (1 << code.width) - 1, bits.data, bits.at
     symbols, sizes, at, last = [], [], 0, 8
     while at < size and left:
         left -= 1
-        s = code.read(bits)
+        ahead = int.from_bytes(data[place >> 3 : (place >> 3) + 4], "little") >> (place & 7)
+        s, wide = outer[ahead & mask], widths[ahead & mask]
+        place += wide
         if s < 16:
             if s:
                 symbols.append(at)
                 sizes.append(s)
                 last = s
             at += 1
-        elif s == 16:
-            times = 3 + bits.read(2)
+            continue
+        ahead >>= wide
+        if s == 16:
+            times = 3 + (ahead & 3)
+            place += 2
             symbols += range(at, at + times)
             sizes += [last] * times
-            at += times
+        elif s == 17:
+            times = 3 + (ahead & 7)
+            place += 3
         else:
-            at += 3 + bits.read(3) if s == 17 else 11 + bits.read(7)
+            times = 11 + (ahead & 127)
+            place += 7
+        at += times
+    bits.skip(place - bits.at)
     if at > size:
         raise WebpError("code lengths run past their alphabet")
     return Prefix(symbols, sizes)
@@ -219,14 +231,23 @@ LEAST = [c + 1 if c < 4 else (2 + (c & 1) << (c - 2 >> 1)) + 1 for c in range(40
 EXTRA = [0 if c < 4 else c - 2 >> 1 for c in range(40)]
 
 
+@functools.cache
+def _two() -> list[bytes]:
+    """All pairs of bytes, by their number, first byte low."""
+    return [bytes((i & 255, i >> 8)) for i in range(1 << 16)]
+
+
+#: In a table of codes, an entry is the bits taken, this flag if it is two literals, and from bit 5 on the symbol or the pair.
+PAIR = 16
+
+
 def _pairs(green: Prefix) -> np.ndarray:
-    """By the next bits: a symbol and the length of its code, or two literals and the length of both, from 8192 on."""
+    """By the next bits: a symbol, or two literals if both are there."""
     symbol, size = green.symbols, green.bits
     rest = np.arange(len(symbol)) >> size
     both = size + size[rest]
-    # A literal of 0 after another could not be told from a single symbol, so it stays alone.
-    double = (symbol < 256) & (symbol[rest] < 256) & (symbol[rest] > 0) & (both <= min(green.width, 15))
-    return np.where(double, symbol[rest] << 13 | symbol << 4 | both, symbol << 4 | size)
+    double = (symbol < 256) & (symbol[rest] < 256) & (both <= min(green.width, 15))
+    return np.where(double, symbol[rest] << 13 | symbol << 5 | PAIR | both, symbol << 5 | size)
 
 
 def _green_only(bits: Bits, green: Prefix, distance: Prefix, n: int, width: int) -> np.ndarray:
@@ -240,21 +261,21 @@ def _green_only(bits: Bits, green: Prefix, distance: Prefix, n: int, width: int)
     last = 8 * (len(raw) - 12)
     codes, mask = _pairs(green).tolist(), (1 << green.width) - 1
     far_codes, far_mask = (distance.symbols << 4 | distance.bits).tolist(), (1 << distance.width) - 1
-    near, out, at = _near(width), bytearray(), bits.at & 7
+    near, two, out, at = _near(width), _two(), bytearray(), bits.at & 7
     add, left = out.append, n
     while left > 0 and at < last:
         code = codes[words[at >> 3] >> (at & 7) & mask]
         at += code & 15
-        if code >= 8192:  # two literals
-            add(code >> 4 & 255)
-            add(code >> 13)
+        if code & PAIR:
+            out += two[code >> 5]
             left -= 2
             continue
-        if code < 4096:
-            add(code >> 4)
+        code >>= 5
+        if code < 256:
+            add(code)
             left -= 1
             continue
-        code = (code >> 4) - 256
+        code -= 256
         more = EXTRA[code]
         length = LEAST[code] + (words[at >> 3] >> (at & 7) & (1 << more) - 1)
         at += more
@@ -573,9 +594,7 @@ def _put_code(bits: BitWriter, lengths: np.ndarray) -> None:
     n = 19
     while n > 4 and not own[CODE_LENGTH_ORDER[n - 1]]:
         n -= 1
-    bits.put(n - 4, 4)
-    for k in CODE_LENGTH_ORDER[:n]:
-        bits.put(int(own[k]), 3)
+    bits.put(n - 4 | sum(int(own[k]) << 4 + 3 * i for i, k in enumerate(CODE_LENGTH_ORDER[:n])), 4 + 3 * n)
     if used[-1] + 1 < len(lengths) and len(said) > 1:
         bits.put(1, 1)
         room = max(2, (len(said) - 2).bit_length() + 1 & ~1)
@@ -586,8 +605,11 @@ def _put_code(bits: BitWriter, lengths: np.ndarray) -> None:
         if rest := len(lengths) - used[-1] - 1:
             raise AssertionError(f"{rest} code lengths are left over")
     codes, widths = codes.tolist(), widths.tolist()
+    whole = n = 0
     for value, extra, more in said:
-        bits.put(codes[value] | extra << widths[value], widths[value] + more)
+        whole |= (codes[value] | extra << widths[value]) << n
+        n += widths[value] + more
+    bits.put(whole, n)
 
 
 def _size(counts: np.ndarray) -> float:
@@ -658,8 +680,24 @@ def _matches(items: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return start, length, far
 
 
+#: Lengths and distances up to this are looked up.
+LOOKED_UP = 1 << 13
+
+
+@functools.cache
+def _prefix_table() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return _prefix_of(np.maximum(np.arange(LOOKED_UP + 1), 1))
+
+
 def _prefixed(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Prefix code, extra bits and their number, of lengths or distances."""
+    if len(values) and int(values.max()) <= LOOKED_UP:
+        code, extra, more = _prefix_table()
+        return code[values], extra[values], more[values]
+    return _prefix_of(values)
+
+
+def _prefix_of(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     v = values - 1
     top = np.maximum(np.log2(np.maximum(v, 1)).astype(np.int64), 1)
     extra = np.where(v < 4, 0, top - 1)

@@ -28,7 +28,7 @@ def test_run_matches_the_stages_by_brute_force(spark, tmp_path):
     kept = []
     for r in df.collect():
         lang, score = model.predict(r.text)
-        if lang != "und" and score >= 0.3:
+        if lang != "und" and score >= langid.LEAST * min(1, len(r.text) / langid.SHORT):
             kept.append(r)
     groups = {}
     for (_, label), r in zip(sorted(brute_components([(r.doc_id, slow_fingerprint(r.text)) for r in kept])), sorted(kept, key=lambda r: str(r.doc_id))):

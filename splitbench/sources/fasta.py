@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import gzip
+import io
 import os
+import re
+import zlib
 from collections.abc import Iterator
+from functools import reduce
 from pathlib import Path
 
 import pandas as pd
@@ -16,6 +20,7 @@ from ..functions import dna
 from ..session import materialize
 
 SUFFIXES = (".fa", ".fasta", ".fna", ".fa.gz", ".fasta.gz", ".fna.gz")
+NO_LETTER = re.compile(f"[^{dna.IUPAC}]")
 SCHEMA = "source_path string, line long, sequence_id string, description string, sequence string, error string"
 
 
@@ -35,48 +40,59 @@ def discover(paths: list[str]) -> list[str]:
 
 
 def parse(path: str, content: bytes) -> Iterator[tuple]:
-    """Records of a file, or a row whose error says what is wrong and where."""
+    """Records of a file, or a row whose error says what is wrong and where; the text is unpacked and read line by line."""
     fault = lambda line, what: (path, line, None, None, None, f"{path}:{line}: {what}")
-    try:
-        text = (gzip.decompress(content) if path.lower().endswith(".gz") else content).decode("utf-8")
-    except (OSError, EOFError, UnicodeDecodeError) as error:
-        yield fault(0, f"cannot be read: {error}")
-        return
-    head, parts, at = None, [], 0
+    raw = io.BytesIO(content)
+    lines = io.TextIOWrapper(gzip.GzipFile(fileobj=raw) if path.lower().endswith(".gz") else raw, "utf-8", newline="\n")
+    head, parts, at, number = None, [], 0, 0
 
     def record():
         return (path, at, *head, "".join(parts), None) if parts else fault(at, f"record {head[0]} has no sequence")
 
-    for number, line in enumerate(text.split("\n"), 1):
-        line = line.rstrip("\r")
-        if not line.strip():
-            continue
-        if line[0] == ">":
-            if head:
-                yield record()
-            ident, _, description = line[1:].strip().partition(" ")
-            head, parts, at = (ident, description.strip()), [], number
-            if not ident:
-                yield fault(number, "a header has no identifier")
+    try:
+        for number, line in enumerate(lines, 1):
+            line = line.rstrip("\r\n")
+            if not line.strip():
+                continue
+            if line[0] == ">":
+                if head:
+                    yield record()
+                ident, _, description = line[1:].strip().partition(" ")
+                head, parts, at = (ident, description.strip()), [], number
+                if not ident:
+                    yield fault(number, "a header has no identifier")
+                    return
+                continue
+            if head is None:
+                yield fault(number, "sequence before the first header")
                 return
-            continue
-        if head is None:
-            yield fault(number, "sequence before the first header")
-            return
-        piece = "".join(line.split()).upper()
-        bad = next((i for i, c in enumerate(piece, 1) if c not in dna.IUPAC), None)
-        if bad:
-            yield fault(number, f"{piece[bad - 1]!r} at position {bad} is no nucleotide letter")
-            return
-        parts.append(piece)
+            piece = "".join(line.split()).upper()
+            bad = NO_LETTER.search(piece)
+            if bad:
+                yield fault(number, f"{bad.group()!r} at position {bad.start() + 1} is no nucleotide letter")
+                return
+            parts.append(piece)
+    except (OSError, EOFError, zlib.error, UnicodeDecodeError) as error:
+        yield fault(0, f"cannot be read: {error}")
+        return
     yield record() if head else fault(0, "no record")
 
 
+#: Letters of sequence that a batch of records holds at most, but for one record.
+BATCH_LETTERS = 8 << 20
+
+
 def _parse_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     names = [f.split()[0] for f in SCHEMA.split(", ")]
     for pdf in batches:
         for path, content in zip(pdf["path"], pdf["content"]):
-            rows = list(parse(path.removeprefix("file:"), bytes(content)))
+            rows, held = [], 0
+            for row in parse(path.removeprefix("file:"), bytes(content)):
+                rows.append(row)
+                held += len(row[4] or "")
+                if held >= BATCH_LETTERS:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows, held = [], 0
             yield pd.DataFrame(rows, columns=names)
 
 
@@ -86,22 +102,53 @@ def scan(spark: SparkSession, paths: list[str]) -> DataFrame:
     return files.mapInPandas(_parse_files, SCHEMA)
 
 
-def read(spark: SparkSession, paths: list[str]) -> DataFrame:
+#: Plain files above this size are split among tasks; their faults name file and record, not the line.
+LARGE = 256 << 20
+
+
+def read(spark: SparkSession, paths: list[str], large: int = LARGE) -> DataFrame:
     """Checked records: source_path, sequence_id, description, sequence."""
     files = discover(paths)
-    rows = materialize(scan(spark, files), "records")
+    split = [f for f in files if not f.lower().endswith(".gz") and Path(f).stat().st_size > large]
+    for f in split:
+        with open(f, "rb") as file:
+            if file.read(1 << 16).lstrip()[:1] != b">":
+                raise InputError(f"{f}: sequence before the first header")
+    found = [scan(spark, whole)] if (whole := [f for f in files if f not in set(split)]) else []
+    found += [checked_large(spark, split)] if split else []
+    rows = materialize(reduce(DataFrame.unionByName, found), "records")
     if rows.select("source_path").distinct().count() < len(files):  # empty files give no row at all
         raise InputError("a FASTA file has no record")
     require_empty(rows.where("error is not null").select("error"), "malformed FASTA")
-    twice = rows.groupBy("sequence_id").agg(F.count("*").alias("n"), F.min("source_path").alias("first"), F.max("source_path").alias("last")).where("n > 1")
+    place = F.concat_ws(":", "source_path", "line")
+    twice = rows.groupBy("sequence_id").agg(F.count("*").alias("n"), F.min(place).alias("first"), F.max(place).alias("last")).where("n > 1")
     require_empty(twice, "sequence identifiers repeat")
     return rows.select("source_path", "sequence_id", "description", "sequence")
 
 
-def scan_large(spark: SparkSession, path: str) -> DataFrame:
+def scan_large(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Plain FASTA split at headers by the text reader: any number of tasks per file, without line numbers."""
     records = spark.read.text(path, lineSep="\n>").where("trim(value) <> ''")
     body = F.regexp_replace("value", "^>", "")
     head = F.regexp_extract(body, r"^([^\n\r]*)", 1)
     sequence = F.upper(F.regexp_replace(F.substr(body, F.length(head) + 1), r"\s", ""))
-    return records.select(F.regexp_extract(head, r"^(\S+)", 1).alias("sequence_id"), F.trim(F.regexp_replace(head, r"^\S+", "")).alias("description"), sequence.alias("sequence"))
+    source = F.regexp_replace(F.col("_metadata.file_path"), "^file:/*", "/")
+    return records.select(
+        F.regexp_extract(head, r"^(\S+)", 1).alias("sequence_id"), F.trim(F.regexp_replace(head, r"^\S+", "")).alias("description"), sequence.alias("sequence"), source.alias("source_path")
+    )
+
+
+def checked_large(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """scan_large() as rows of SCHEMA, with the faults of each record."""
+    rows = scan_large(spark, paths)
+    bad = dna.invalid_position(F.col("sequence"))
+    ident = F.col("sequence_id")
+    fault = (
+        F.when(ident == "", F.concat("source_path", F.lit(": a header has no identifier")))
+        .when(F.col("sequence") == "", F.concat(F.col("source_path"), F.lit(": record "), ident, F.lit(" has no sequence")))
+        .when(bad > 0, F.concat(F.col("source_path"), F.lit(": record "), ident, F.lit(": '"), F.substr("sequence", bad, F.lit(1)), F.lit("' is no nucleotide letter")))
+    )
+    names = [f.split()[0] for f in SCHEMA.split(", ")]
+    return rows.withColumn("line", F.lit(None).cast("long")).withColumn("error", fault).select(*[F.col("source_path") if n == names[0] else F.col(n) for n in names])
+
+

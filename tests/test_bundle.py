@@ -133,6 +133,21 @@ def test_fasta_faults_name_their_place(spark, tmp_path):
         fasta.discover([str(tmp_path / "none.fa")])
 
 
+def test_large_files_are_split_and_checked(spark, tmp_path):
+    good = tmp_path / "big.fa"
+    good.write_text("".join(f">r{i} the {i}th\nACGT\nacg{'N' * (i % 7)}\n" for i in range(500)))
+    small = tmp_path / "small.fa.gz"
+    small.write_bytes(gzip.compress(b">s1\nAC\n"))
+    split = {tuple(r) for r in fasta.read(spark, [str(good), str(small)], large=100).collect()}
+    assert split == {tuple(r) for r in fasta.read(spark, [str(good), str(small)]).collect()} and len(split) == 501
+    for text, said in ((">a\nAC!T\n", "no nucleotide letter"), (">a\n>b\nA\n", "no sequence"), ("AC\n>b\nA\n", "before the first header"), (">a\nA\n>a\nC\n", "repeat")):
+        bad = tmp_path / "bad.fa"
+        bad.write_text(text)
+        for large in (0, 1 << 20):
+            with pytest.raises(InputError, match=said):
+                fasta.read(spark, [str(bad)], large=large)
+
+
 def test_metadata_faults(spark, tmp_path):
     bad = {
         "genome_id\nx\n": "no sequence_id", "sequence_id\n": "no data", "sequence_id\tlabel\na\tother\n": "label", "sequence_id\trelease_date\na\t2020/01/02\n": "release_date",

@@ -141,3 +141,40 @@ def test_tree_equals_one_that_passes_on_every_bin(spark):
 def test_empty_and_clashing(spark, empty, clashing):
     assert packing.pack_documents(empty).count() == 0
     assert packing.pack_documents(clashing.withColumn("piece", F.lit("x"))).count() == 12
+
+
+def least_bins(lengths, capacity):
+    """The least number of bins, by trying every way to add the longest piece left."""
+    best = [len(lengths)]
+
+    def go(left, free):
+        if len(free) >= best[0]:
+            return
+        if not left:
+            best[0] = len(free)
+            return
+        for room in set(free):
+            if room >= left[0]:
+                rest = list(free)
+                rest[rest.index(room)] = room - left[0]
+                go(left[1:], rest)
+        go(left[1:], [*free, capacity - left[0]])
+
+    go(sorted(lengths, reverse=True), [])
+    return best[0]
+
+
+def test_best_fit_is_near_the_least_for_small_sets():
+    rng = random.Random(6)
+    exact = 0
+    for _ in range(200):
+        lengths = [rng.randrange(1, 1025) for _ in range(rng.randrange(1, 9))]
+        fit, used = packing.BestFit(), 0
+        for n in sorted(lengths, reverse=True):
+            if fit.put(n) is None:
+                fit.add(used, 1024 - n)
+                used += 1
+        least = least_bins(lengths, 1024)
+        exact += used == least
+        assert least <= used <= 11 / 9 * least + 6 / 9
+    assert exact >= 190

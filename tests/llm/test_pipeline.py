@@ -1,7 +1,10 @@
+import hashlib
+import zlib
+
 import pytest
 
 import corpus_pipeline
-from splitbench.llm import langid, packing, secret_scan
+from splitbench.llm import langid, mixing, packing, secret_scan
 
 from .conftest import documents, odd_rows
 from .test_simhash import brute_components, near_rows, slow_fingerprint
@@ -32,16 +35,61 @@ def test_run_matches_the_stages_by_brute_force(spark, tmp_path):
             kept.append(r)
     groups = {}
     for (_, label), r in zip(sorted(brute_components([(r.doc_id, slow_fingerprint(r.text)) for r in kept])), sorted(kept, key=lambda r: str(r.doc_id))):
-        groups.setdefault(label, []).append(r.doc_id)
-    survivors = {min(i for i in ids if i is not None) for label, ids in groups.items() if any(i is not None for i in ids)}
-    survivors |= {None} if any(ids == [None] for ids in groups.values()) else set()
-    packed = {r.doc_id for r in out}
-    assert packed <= survivors and len(packed) >= 0.3 * len(survivors)
-    texts = {r.doc_id: r.text for r in kept}
-    for r in out:
-        if r.piece == 0 and r.doc_id is not None and not secret_scan.base_spans(texts[r.doc_id]):
-            first = packing.cut_points(len(packing.token_ids(texts[r.doc_id], *[packing.public_tokenizers.path("byte_bpe_50k.json")])))[0]
-            assert (r.start, r.length) == first
+        groups.setdefault(label, []).append(r)
+    least = lambda rows: min(rows, key=lambda r: (r.doc_id is None, r.doc_id or 0))
+    stay = [least(rows) for rows in groups.values()]
+    assert len({r.doc_id for r in stay}) == len(stay)  # so a row is known by its id below
+
+    tested = {r.doc_id: secret_scan.tested_tokens(r.text, secret_scan.base_spans(r.text)) for r in stay}
+    every = [(p, w) for found in tested.values() for _, _, p, w in found]
+    cut = slow_threshold(every, 0.01)
+    masked = {}
+    for r in stay:
+        spans = [(a, z) for a, z, _ in secret_scan.base_spans(r.text)] + [(a, z) for a, z, p, w in tested[r.doc_id] if p / w <= cut]
+        text, at = "", 0
+        for a, z in sorted(spans):
+            text += r.text[at:a] + "[SECRET]" if a >= at else ""
+            at = max(at, z)
+        masked[r.doc_id] = (text + r.text[at:], r.source)
+
+    times = slow_times(masked)
+    want = []
+    for ident, (text, _) in masked.items():
+        ids = packing.token_ids(text, packing.public_tokenizers.path("byte_bpe_50k.json"))
+        want += [(str(ident), piece, start, length, zlib.crc32(ids[start : start + length].tobytes())) for piece, (start, length) in enumerate(packing.cut_points(len(ids)))] * times[ident]
+    assert sorted((str(r.doc_id), r.piece, r.start, r.length, r.ids_crc32) for r in out) == sorted(want)
+    bins = {}
+    for r in sorted(out, key=lambda r: r.offset):
+        assert bins.get(r.sequence_id, 0) == r.offset
+        bins[r.sequence_id] = r.offset + r.length
+    fill = sorted(bins.values())
+    assert fill[-1] <= 1024 and (len(fill) < 2 or fill[0] + fill[1] > 1024)  # no two sequences fit into one
+
+
+def slow_threshold(tokens, rate):
+    """The largest p over weight that weighted Benjamini-Hochberg lets pass, by sorting; -1 if none does."""
+    mean = sum(w for _, w in tokens) / len(tokens) if tokens else 1
+    q = sorted(p / w for p, w in tokens)
+    return max((x for k, x in enumerate(q, 1) if x * mean * len(q) / k <= rate), default=-1)
+
+
+def slow_times(rows):
+    """How often the mixture takes each row of {id: (text, source)}, by sorting each source's rows by hash."""
+    size = {i: len((text or "").encode().split()) for i, (text, _) in rows.items()}
+    sources = {}
+    for i, (_, source) in rows.items():
+        sources.setdefault(source, []).append(i)
+    aims = mixing.targets([(s, sum(size[i] for i in ids)) for s, ids in sources.items()])
+    times = {}
+    for s, ids in sources.items():
+        whole = sum(size[i] for i in ids)
+        passes = min(int(aims[s] // whole), 3) if whole else 0
+        rest = int(aims[s] - passes * whole)
+        for i in sorted(ids, key=lambda i: hashlib.md5(("null" if i is None else str(i)).encode()).hexdigest()[:15]):
+            taken = max(0, min(size[i], rest))
+            rest -= taken
+            times[i] = passes + (2 * taken >= size[i]) if size[i] else 1
+    return times
 
 
 def test_clean_documents_stay(spark, sf_dir):

@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import spread
 from . import chat, html_text, langid, lattice, media, mixing, packing, quality, secret_scan, simhash
 from .common import pick
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; a small one that is a single row group is dealt over all cores, as its texts are dear to work on."""
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from splitbench.llm import langid, mixing, packing, secret_scan, simhash
 from splitbench.llm.common import fewer_files, shared_folder
+from splitbench.session import spread
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,7 +59,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     for name, stage in STAGES:
         path = f"{shared_folder(spark)}/stage-{name}-{uuid.uuid4().hex}"
         stage(spark, docs, sf_dir).write.parquet(path)

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -29,3 +30,20 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: A table of fewer bytes than this for each core is looked at: it may be one row group, which one task would read alone.
+SMALL = 128 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt over all cores, if it is small and a scan would leave most of them idle; else df as it is.
+
+    Sizes come from the plan, places from a count that reads no column; a table
+    that is large enough for all cores is neither counted nor shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) >= cores * SMALL:
+        return df
+    busy = df.select(F.spark_partition_id().alias("p")).distinct().count()
+    return df.repartition(cores) if busy < cores else df

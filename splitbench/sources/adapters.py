@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dna
+from ..session import spread
 
 #: Letters to nucleotides, in alphabet order.
 ALPHABET, NUCLEOTIDES = "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC"
@@ -21,7 +22,7 @@ def nucleotides(text):
 
 def contigs_from_documents(spark: SparkSession, sf_dir: str, iupac: bool = False) -> DataFrame:
     """One linear or circular contig per document; every fifth is circular, hosts are every third id."""
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
     sequence = F.upper(F.regexp_replace("text", f"[^{dna.IUPAC}{dna.IUPAC.lower()}]", "")) if iupac else nucleotides(F.col("text"))
     return d.select(
         F.concat(F.lit("doc-"), F.col("doc_id")).alias("sequence_id"),

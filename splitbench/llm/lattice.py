@@ -35,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
 from .common import Located, crc_mod, on_path, shared_table
 
 BLOCK_ROWS, BLOCK_BYTES = 4096, 16 << 20
@@ -233,7 +234,7 @@ def score_documents(df: DataFrame, vocabulary_path: str | None = None, block_row
 
     by_block = shared_table(texts.groupBy("block").applyInArrow(_block_words, "block long, word string, n long"), "block-words")
     counts = by_block.groupBy("word").agg(F.sum("n").alias("c"))
-    counts = shared_table(counts, "words")
+    counts = spread(shared_table(counts, "words"))  # few bytes a word, but much work
     sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
     train_tokens, distinct = sums["n"] + n_train, sums["v"] + (n_train > 0)
 

@@ -13,6 +13,7 @@ table gives no rows; columns named like a result are replaced.
 from __future__ import annotations
 
 import hashlib
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -34,7 +35,7 @@ def payload(text: str | None) -> bytes:
 
 def _encode(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for batch in texts:
-        yield pa.array([encode_payload(payload(t.as_py())) for t in batch], pa.binary())
+        yield pa.array([encode_payload(payload(t)) for t in batch.to_pylist()], pa.binary())
 
 
 def _decode(media: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -47,12 +48,16 @@ def _decode(media: Iterator[pa.Array]) -> Iterator[pa.Array]:
         yield pa.array(rows, kind)
 
 
+LEVELS = np.arange(256)
+
+
 def feature(samples: np.ndarray) -> str:
-    """Mean and spread of the samples, and which of 64 equal parts lie above the mean."""
-    parts = samples.reshape(64, -1).mean(axis=1)
-    mean = float(samples.mean())
-    bits = int.from_bytes(np.packbits(parts > mean).tobytes(), "big")
-    return f"mean={mean:.4f};std={float(samples.std()):.4f};parts={bits:016x}"
+    """Mean and spread of the samples, and which of 64 equal parts lie above the mean; from whole numbers throughout."""
+    n, counts = len(samples), np.bincount(samples, minlength=256)
+    total, squares = int(counts @ LEVELS), int(counts @ (LEVELS * LEVELS))
+    parts = samples.reshape(64, -1).sum(axis=1, dtype=np.int64)
+    bits = int.from_bytes(np.packbits(parts * 64 > total).tobytes(), "big")
+    return f"mean={total / n:.4f};std={math.sqrt(n * squares - total * total) / n:.4f};parts={bits:016x}"
 
 
 DESCRIBED = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -63,8 +68,7 @@ def _describe(media: Iterator[pa.Array]) -> Iterator[pa.Array]:
     types = [pa.int64() if f.endswith("long") else pa.string() for f in DESCRIBED.split(", ")]
     for batch in media:
         rows = []
-        for m in batch:
-            stored = m.as_py()
+        for stored in batch.to_pylist():
             raw = payload_of(decode_all(stored))
             rows.append(
                 (len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), feature(np.frombuffer(raw, np.uint8)))

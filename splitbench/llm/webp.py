@@ -396,9 +396,10 @@ def _undo_cross_colour(pixels: np.ndarray, width: int, height: int, block: int,
 
 
 def _undo_green(pixels: np.ndarray) -> np.ndarray:
-    green = pixels >> 8 & 255
-    red, blue = (pixels >> 16) + green & 255, pixels + green & 255
-    return pixels & np.uint32(0xFF00FF00) | red << 16 | blue
+    parts = pixels.astype("<u4").view(np.uint8).reshape(-1, 4)  # blue, green, red, alpha
+    parts[:, 0] += parts[:, 1]
+    parts[:, 2] += parts[:, 1]
+    return parts.view("<u4").ravel()
 
 
 def _undo_palette(pixels: np.ndarray, width: int, height: int, packed: int, table: np.ndarray) -> np.ndarray:

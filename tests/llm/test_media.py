@@ -161,3 +161,13 @@ def test_long_payloads_and_skewed_codes():
     for raw in (skewed.tobytes(), b"word " * 60_000, bytes(200_000), LOREM.encode() * 3000):
         raw += bytes(-len(raw) % 64)
         assert webp.payload_of(webp.decode_all(webp.encode_payload(raw))) == raw
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.binary(min_size=64, max_size=640))
+def test_features_match_floating_point(raw):
+    samples = np.frombuffer(raw[: len(raw) // 64 * 64], np.uint8)
+    said = dict(x.split("=") for x in media.feature(samples).split(";"))
+    assert abs(float(said["mean"]) - samples.mean()) < 1e-4 and abs(float(said["std"]) - samples.std()) < 1e-4
+    above = [sum(map(int, part)) * 64 > sum(map(int, samples)) for part in samples.reshape(64, -1)]
+    assert int(said["parts"], 16) == int("".join(map(str, map(int, above))), 2)

@@ -116,15 +116,6 @@ def hex_hashes(hashes: Column) -> Column:
     return F.transform(hashes, hashing.number_hex)
 
 
-def jaccard(a: Column, b: Column, exact: Column, size: int, same: Column | None = None) -> Column:
-    """Jaccard of two sorted sketches: whole sets if both are exact, else by the smallest of the union."""
-    union = F.sort_array(F.array_union(a, b))
-    head = F.when(exact, union).otherwise(F.slice(union, 1, size))
-    shared = F.size(F.array_intersect(F.array_intersect(head, a), b))
-    value = F.when(F.size(head) > 0, shared / F.size(head)).otherwise(F.lit(0.0))
-    return value if same is None else F.when(same, F.lit(1.0)).otherwise(value)
-
-
 def mash_identity(j: Column, k: int) -> Column:
     """Identity from Jaccard; null if nothing is shared."""
     estimate = 1 + F.ln(2 * j / (1 + j)) / k
@@ -139,31 +130,31 @@ def _classes(sketched: DataFrame, ident: str) -> tuple[DataFrame, DataFrame]:
 
 
 def candidate_pairs(queries: DataFrame, references: DataFrame, query: str = "query_id", reference: str = "reference_id") -> DataFrame:
-    """(query, reference, shared): pairs that share retained hashes, and how many; all others have no detectable match."""
-    q = queries.select(query, F.explode("hashes").alias("h"))
-    r = references.select(reference, F.explode("hashes").alias("h"))
-    return q.join(r, "h").groupBy(query, reference).agg(F.count("*").alias("shared"))
+    """(query, reference, met): pairs that share retained hashes, with the ranks of each such hash on both sides; all others have no detectable match."""
+    q = queries.select(query, F.posexplode("hashes").alias("rq", "h"))
+    r = references.select(reference, F.posexplode("hashes").alias("rr", "h"))
+    return q.join(r, "h").groupBy(query, reference).agg(F.collect_list(F.struct("rq", "rr")).alias("met"))
 
 
 def pairwise(queries: DataFrame, references: DataFrame, k: int, size: int, query: str = "query_id", reference: str = "reference_id") -> DataFrame:
     """(query, reference, jaccard, identity) for every pair that shares a hash.
 
     Equal sketches are one class on each side, so strains that hardly differ meet
-    once.  An inverted index over hashes finds the pairs of classes and counts
-    what they share; for two whole sets the count is the answer, and only pairs
-    with a cut sketch fetch the hashes.  No cross join.
+    once.  An inverted index over hashes finds the pairs of classes.  A shared
+    hash of ranks i and j, the c-th that a pair shares, has place i + j - c among
+    the pair's hashes, so ranks tell which shared hashes are among the smallest of
+    the union, and no sketch is fetched again.  No cross join.
     """
     (qc, qm), (rc, rm) = _classes(queries, query), _classes(references, reference)
     qc, rc = materialize(qc, "query-classes"), materialize(rc, "reference-classes")
-    q = qc.select(F.col("class").alias("qc"), F.col("hashes").alias("q"), F.col("is_exact").alias("qe"))
-    r = rc.select(F.col("class").alias("rc"), F.col("hashes").alias("r"), F.col("is_exact").alias("re"))
-    both = candidate_pairs(qc.withColumnRenamed("class", "qc"), rc.withColumnRenamed("class", "rc"), "qc", "rc")
-    counted = both.join(q.select("qc", "qe", F.size("q").alias("qn")), "qc").join(r.select("rc", "re", F.size("r").alias("rn")), "rc")
-    counted = materialize(counted, "pairs")
-    whole = counted.where("qe and re").select("qc", "rc", (F.col("shared") / (F.col("qn") + F.col("rn") - F.col("shared"))).alias("jaccard"))
-    cut = counted.where("not (qe and re)").select("qc", "rc").join(q, "qc").join(r, "rc")
-    cut = cut.select("qc", "rc", jaccard(F.col("q"), F.col("r"), F.lit(False), size).alias("jaccard"))
-    scored = whole.unionByName(cut).where("jaccard > 0")
+    met = candidate_pairs(qc.withColumnRenamed("class", "qc"), rc.withColumnRenamed("class", "rc"), "qc", "rc")
+    sizes = lambda d, c, n, e: d.select(F.col("class").alias(c), F.size("hashes").alias(n), F.col("is_exact").alias(e))
+    both = met.join(sizes(qc, "qc", "qn", "qe"), "qc").join(sizes(rc, "rc", "rn", "re"), "rc")
+    union = F.col("qn") + F.col("rn") - F.size("met")
+    # Ranks count from 0 here, and so does the index: place - 1 = rq + rr - index.
+    in_head = F.size(F.filter(F.sort_array("met"), lambda x, i: x["rq"] + x["rr"] - i < size))
+    value = F.when(F.col("qe") & F.col("re"), F.size("met") / union).otherwise(in_head / F.least(union, F.lit(size)))
+    scored = both.select("qc", "rc", value.alias("jaccard")).where("jaccard > 0")
     pairs = scored.join(qm.withColumnRenamed("class", "qc"), "qc").join(rm.withColumnRenamed("class", "rc"), "rc")
     return pairs.select(query, reference, "jaccard", mash_identity(F.col("jaccard"), k).alias("identity"))
 

@@ -74,7 +74,11 @@ class PieceLattice:
                 self.piece[sp.id_to_piece(i)] = float(log_p[i])
                 self.number[sp.id_to_piece(i)] = i
         self.plain = {s: (math.exp(w), self.number[s]) for s, w in self.piece.items()}
-        self.longest = max(map(len, self.piece), default=1)
+        #: By a piece's last two characters: the longest such piece; no longer one can end where these two do.
+        self.reach: dict[str, int] = {}
+        for s in self.piece:
+            if len(s) > 1:
+                self.reach[s[-2:]] = max(self.reach.get(s[-2:], 1), len(s))
 
     def _bytes(self, c: str) -> float:
         return sum(self.byte[b] for b in c.encode())
@@ -84,11 +88,12 @@ class PieceLattice:
         return self._forward("▁" + word)[-1]
 
     def _forward(self, s: str) -> list[float]:
-        get, longest = self.piece.get, self.longest
+        get, reach = self.piece.get, self.reach.get
         alpha = [0.0] * (len(s) + 1)
         exp, log = math.exp, math.log
         for j in range(1, len(s) + 1):
             terms = []
+            longest = reach(s[j - 2 : j], 1) if j > 1 else 1
             for i in range(j - longest if j > longest else 0, j):
                 w = get(s[i:j])
                 if w is not None:
@@ -102,10 +107,10 @@ class PieceLattice:
     def count_into(self, total: dict[int, int], word: str, times: int) -> None:
         """Add the expected counts of pieces in ``times`` occurrences of a word, in PARTS."""
         s = "▁" + word
-        n, get, longest = len(s), self.plain.get, self.longest
+        n, get, reach = len(s), self.plain.get, self.reach.get
         alpha, edges = [1.0] + [0.0] * n, []
         for j in range(1, n + 1):
-            a = 0.0
+            a, longest = 0.0, reach(s[j - 2 : j], 1) if j > 1 else 1
             for i in range(j - longest if j > longest else 0, j):
                 found = get(s[i:j])
                 if found is not None:

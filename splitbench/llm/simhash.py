@@ -95,7 +95,9 @@ def near_pairs(prints: DataFrame, near: int = NEAR) -> DataFrame:
     """(a, b), a < b: the pairs of distinct fingerprints in column fp that differ in at most three bits.
 
     The fingerprints are dealt out before each becomes 35 postings, and both sides
-    of the join read one shuffled index.
+    of the join read one shuffled index.  The planner takes the index to be as small
+    as the fingerprints and would send it to the driver whole, so the join is by
+    shuffle at any size.
     """
     if near > NEAR:
         raise ValueError(f"the index guarantees {NEAR} differing bits")
@@ -110,7 +112,7 @@ def near_pairs(prints: DataFrame, near: int = NEAR) -> DataFrame:
     firsts = F.array(*[F.lit(_first_key(m)) for m in range(1 << POSITIONS)])
     met = F.shiftrightunsigned(key, 8 * KEY_BYTES).cast("int") == F.element_at(firsts, mask + 1)
     on = (key == F.col("r.key")) & (fp < other) & (tally >= SHARED) & (F.bit_count(apart) <= near) & met
-    return left.join(right, on).select(fp.alias("a"), other.alias("b"))
+    return left.join(right.hint("merge"), on).select(fp.alias("a"), other.alias("b"))
 
 
 def near_duplicates(df: DataFrame) -> DataFrame:

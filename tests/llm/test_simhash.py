@@ -54,6 +54,12 @@ def test_pairs_lose_no_link(spark):
     assert {frozenset(x) for x in got} == {frozenset(x) for x in want} and len(got) == len(want) // 2
 
 
+def test_the_index_is_not_broadcast(spark):
+    pairs = simhash.near_pairs(spark.range(100).toDF("fp"))
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 100 + i) for i in range(1, 30)] + [(200, 200), (300, 299), (299, 300)]
     out = {r.node: r.label for r in components.connected_components(spark.createDataFrame(edges, "a long, b long").where("a <> b")).collect()}

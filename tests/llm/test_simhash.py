@@ -60,6 +60,14 @@ def test_the_index_is_not_broadcast(spark):
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
+def test_rounds_over_many_edges_broadcast_nothing(spark, monkeypatch):
+    edges = spark.range(50).selectExpr("id AS a", "id + 1 AS b")
+    for star in (components._large_star, components._small_star):
+        assert "Broadcast" not in star(edges, True)._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(components, "FEW_ROWS", 0)
+    assert {r.label for r in components.connected_components(edges).collect()} == {0}
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 100 + i) for i in range(1, 30)] + [(200, 200), (300, 299), (299, 300)]
     out = {r.node: r.label for r in components.connected_components(spark.createDataFrame(edges, "a long, b long").where("a <> b")).collect()}

@@ -15,6 +15,7 @@ _OPTIONS = {
     "--metadata": ("metadata_path", str), "--output": ("output_dir", str), "--seed": ("seed", int), "--test-fraction": ("test_fraction", float),
     "--fragment-lengths": ("fragment_lengths", str), "--fragments-per-genome": ("fragments_per_genome", int), "--strand-mode": ("strand_mode", str),
     "--max-ambiguous-fraction": ("max_ambiguous_fraction", float), "--duplicate-policy": ("duplicate_policy", str), "--missing-metadata": ("missing_metadata", str),
+    "--contradictory-fragments": ("contradictory_fragments", str),
     "--temporal-cutoff": ("temporal_cutoff", str), "--taxonomy-rank": ("taxonomy_rank", str), "--auto-holdout-count": ("auto_holdout_count", int),
     "--similarity-k": ("similarity_k", int), "--sketch-size": ("sketch_size", int), "--max-train-similarity": ("max_train_similarity", float),
     "--min-similarity-coverage": ("min_similarity_coverage", float), "--similarity-table": ("similarity_table", str),

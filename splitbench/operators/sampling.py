@@ -6,7 +6,7 @@ import random
 from bisect import bisect_right
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -16,6 +16,8 @@ from ..session import materialize
 
 MAX_ATTEMPTS = 10_000
 FIRST_ATTEMPTS = 8
+#: Rounds in which contradictory fragments are drawn again; what is left then is for label_conflicts() to refuse.
+REDRAWS = 100
 
 
 def length_preflight(contigs: DataFrame, lengths: list[int]) -> DataFrame:
@@ -69,6 +71,33 @@ def _drawn(wanted: DataFrame, space: DataFrame, contigs: DataFrame, seed: int, s
     return out.withColumn("strand", F.when(minus, "-").otherwise("+"))
 
 
+def _accepted(wanted: DataFrame, space: DataFrame, contigs: DataFrame, seed: int, strand_mode: str, max_ambiguous: float) -> DataFrame:
+    """For rows of (genome_id, fragment_length, local_index, first) the first draw, from attempt ``first`` on, that is clear enough.
+
+    A few attempts are tried at once, and only what none of them satisfied is
+    tried again with more, up to MAX_ATTEMPTS.
+    """
+    if max_ambiguous >= 1:
+        return _drawn(wanted.withColumnRenamed("first", "attempt"), space, contigs, seed, strand_mode)
+    keys = ["genome_id", "fragment_length", "local_index"]
+    fine = dna.ambiguous_fraction(F.col("forward")) <= max_ambiguous
+    accepted, tried, size = None, 0, FIRST_ATTEMPTS
+    while True:
+        since = F.col("first") + tried
+        tries = wanted.withColumn("attempt", F.explode(F.sequence(since, since + size - 1))).drop("first")
+        good = materialize(_drawn(tries, space, contigs, seed, strand_mode).where(fine), "draws")
+        best = good.groupBy(*keys).agg(F.min("attempt").alias("attempt"))
+        got = good.join(best, [*keys, "attempt"], "left_semi")
+        accepted = got if accepted is None else accepted.unionByName(got)
+        wanted = wanted.join(best, keys, "left_anti")
+        tried += size
+        size = min(size * 4, MAX_ATTEMPTS - tried)
+        if wanted.isEmpty():
+            return accepted
+        if size <= 0:
+            require_empty(wanted.drop("first"), f"no window within {MAX_ATTEMPTS} attempts has max_ambiguous_fraction={max_ambiguous:g}")
+
+
 def sample_fragments(
     contigs: DataFrame,
     lengths: list[int],
@@ -76,12 +105,14 @@ def sample_fragments(
     seed: int,
     strand_mode: str = "both",
     max_ambiguous: float = 0.05,
+    contradictions: str = "keep",
 ) -> DataFrame:
     """The fragment library: per_genome fragments of each genome, with replacement.
 
     Each draw is a hash of (seed, genome, length, index, attempt), so any
-    fragment can be drawn alone.  A few attempts are tried at once, and only
-    what none of them satisfied is tried again with more, up to MAX_ATTEMPTS.
+    fragment can be drawn alone.  With contradictions="redraw" fragments whose
+    content was drawn under both labels are drawn again from their next attempt
+    on, all of them, until none is left.
     """
     if per_genome < len(lengths):
         raise InputError("fragments per genome must cover every length")
@@ -90,38 +121,33 @@ def sample_fragments(
     space = coordinate_space(contigs, lengths)
     wanted = counts.where("n > 0").select("genome_id", "fragment_length", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("local_index"))
     keys = ["genome_id", "fragment_length", "local_index"]
-    fine = dna.ambiguous_fraction(F.col("forward")) <= max_ambiguous
-    if max_ambiguous >= 1:
-        accepted = _drawn(wanted.withColumn("attempt", F.lit(0)), space, contigs, seed, strand_mode)
-    else:
-        accepted, first, size = None, 0, FIRST_ATTEMPTS
-        while True:
-            tries = wanted.withColumn("attempt", F.explode(F.sequence(F.lit(first), F.lit(first + size - 1))))
-            good = materialize(_drawn(tries, space, contigs, seed, strand_mode).where(fine), "draws")
-            best = good.groupBy(*keys).agg(F.min("attempt").alias("attempt"))
-            got = good.join(best, [*keys, "attempt"], "left_semi")
-            accepted = got if accepted is None else accepted.unionByName(got)
-            wanted = wanted.join(best, keys, "left_anti")
-            first += size
-            size = min(size * 4, MAX_ATTEMPTS - first)
-            if wanted.isEmpty():
-                break
-            if size <= 0:
-                require_empty(wanted, f"no window within {MAX_ATTEMPTS} attempts has max_ambiguous_fraction={max_ambiguous:g}")
     ident = hashing.semantic_rank(seed, "fragment-id", F.concat_ws("|", "genome_id", "sequence_id", "fragment_length", "local_index", "start", "strand"))
-    return accepted.join(labels, "genome_id").select(
-        F.concat(F.lit("frag-"), F.substring(ident, 1, 32)).alias("fragment_id"),
-        F.when(F.col("strand") == "-", dna.reverse_complement(F.col("forward"))).otherwise(F.col("forward")).alias("sequence"),
-        "label",
-        "genome_id",
-        "sequence_id",
-        "start",
-        "end",
-        "strand",
-        "fragment_length",
-        "local_index",
-        "source_length",
-    )
+
+    def drawn(wanted: DataFrame) -> DataFrame:
+        return _accepted(wanted, space, contigs, seed, strand_mode, max_ambiguous).join(labels, "genome_id").select(
+            F.concat(F.lit("frag-"), F.substring(ident, 1, 32)).alias("fragment_id"),
+            F.when(F.col("strand") == "-", dna.reverse_complement(F.col("forward"))).otherwise(F.col("forward")).alias("sequence"),
+            "label",
+            "genome_id",
+            "sequence_id",
+            "start",
+            "end",
+            "strand",
+            "fragment_length",
+            "local_index",
+            "source_length",
+            "attempt",
+        )
+
+    library = drawn(wanted.withColumn("first", F.lit(0)))
+    for _ in range(REDRAWS if contradictions == "redraw" else 0):
+        library = materialize(library, "drawn")
+        content = library.select(*keys, "attempt", _content().alias("digest"))
+        again = materialize(content.join(label_conflicts(library), "digest", "left_semi").select(*keys, (F.col("attempt") + 1).alias("first")), "again")
+        if again.isEmpty():
+            break
+        library = library.join(again, keys, "left_anti").unionByName(drawn(again))
+    return library.drop("attempt")
 
 
 #: A genome's place among all is by ranges of ids; this many, so that no task ranks all genomes.
@@ -144,10 +170,14 @@ def with_ordinals(fragments: DataFrame) -> DataFrame:
     return fragments.join(before, "genome_id").withColumn("ordinal", F.col("_before") + inside - 1).drop("_before")
 
 
+def _content() -> Column:
+    """The digest of a fragment's content, on either strand."""
+    return hashing.sequence_digest(dna.canonical(F.col("sequence")), False)
+
+
 def label_conflicts(fragments: DataFrame) -> DataFrame:
     """Canonical fragment contents that occur under both labels."""
-    digest = hashing.sequence_digest(dna.canonical(F.col("sequence")), False)
-    both = fragments.groupBy(digest.alias("digest")).agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("n_fragments"))
+    both = fragments.groupBy(_content().alias("digest")).agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("n_fragments"))
     return both.where("a <> b").select("digest", "n_fragments")
 
 

@@ -213,8 +213,9 @@ def bundle_files(spark: SparkSession, cat: Catalog, config: BenchmarkConfig, roo
     files["config.json"] = lambda: [sinks.json_bytes(config.resolved())]
     require_empty(sampling.length_preflight(cat.contigs, list(config.fragment_lengths)), "genomes too short for a fragment length")
     library = sampling.sample_fragments(
-        cat.contigs, list(config.fragment_lengths), config.fragments_per_genome, config.seed, config.strand_mode, config.max_ambiguous_fraction
-    )
+        cat.contigs, list(config.fragment_lengths), config.fragments_per_genome, config.seed, config.strand_mode, config.max_ambiguous_fraction,
+        "redraw" if config.contradictory_fragments == "redraw" else "keep",
+    )
     library = materialize(library, "fragments")
     summary = {}
     for kind in config.splits:

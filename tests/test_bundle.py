@@ -10,6 +10,7 @@ from splitbench.config import BenchmarkConfig, SimilarityBands, parse_splits
 from splitbench.errors import ConfigurationError, InputError, IntegrityError
 from splitbench.plans import benchmark
 from splitbench.plans.validate import validate_bundle
+from splitbench.queries import files, fragments
 from splitbench.sources import fasta, tables
 
 
@@ -72,6 +73,46 @@ def test_existing_target_is_refused(spark, inputs, bundle):
         benchmark.generate(spark, config(inputs, bundle))
 
 
+@pytest.fixture(scope="module")
+def contaminated(inputs, tmp_path_factory):
+    """A host that is a virus with another end: most of its fragments may be drawn from both."""
+    root = tmp_path_factory.mktemp("contaminated")
+    shutil.copy(inputs / "virus.fna", root)
+    shutil.copy(inputs / "metadata.tsv", root)
+    (root / "metadata.tsv").write_text((root / "metadata.tsv").read_text() + "h_mixed\th_mixed\thost\t2019-01-01\t\tx\n")
+    (root / "host.fna").write_text((inputs / "host.fna").read_text() + f">h_mixed\n{dna('virus0')[:110]}{dna('end', 5)}\n")
+    return root
+
+
+def test_contradictory_fragments_are_refused_or_drawn_again(spark, contaminated, tmp_path):
+    many = {"fragments_per_genome": 60}
+    with pytest.raises(InputError, match="both labels"):
+        benchmark.generate(spark, config(contaminated, tmp_path / "refused", **many))
+    made = benchmark.generate(spark, config(contaminated, tmp_path / "mixed", contradictory_fragments="redraw", **many))
+    assert made["splits"]["genome"]["train"] + made["splits"]["genome"]["test"] == 5 * 60
+    labels = {}
+    for view in ("train", "test"):
+        truth = gzip.decompress((tmp_path / f"mixed/genome_holdout/{view}.truth.tsv.gz").read_bytes()).decode().splitlines()
+        column = truth[0].split("\t").index("label")
+        of = {line.split("\t")[0]: line.split("\t")[column] for line in truth[1:]}
+        for record in gzip.decompress((tmp_path / f"mixed/genome_holdout/{view}.fasta.gz").read_bytes()).decode().split(">")[1:]:
+            name, content = record.split("\n", 1)
+            content = content.replace("\n", "")
+            labels.setdefault(min(content, content.translate(str.maketrans("ACGT", "TGCA"))[::-1]), set()).add(of[name])
+    assert labels and all(len(x) == 1 for x in labels.values())
+    assert "contradictory_fragments" not in config(contaminated, tmp_path / "x").resolved()
+
+
+def test_bundle_queries_take_all_documents(spark, sf_dir):
+    whole = fragments.source_contigs(spark, sf_dir)
+    rows = {r.sequence_id: r for r in files._bundle_sources(spark, sf_dir).collect()}
+    assert {r.sequence_id: r.sequence for r in whole.collect()} == {i: r.sequence for i, r in rows.items()}
+    by_content = {}
+    for r in rows.values():
+        by_content.setdefault(r.sequence, set()).add(r.label)
+    assert len(by_content) < len(rows) and all(len(x) == 1 for x in by_content.values())
+
+
 def _shift(root):
     p = root / "genome_holdout/test.truth.tsv.gz"
     lines = gzip.decompress(p.read_bytes()).decode().split("\n")

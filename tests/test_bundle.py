@@ -113,6 +113,12 @@ def test_bundle_queries_take_all_documents(spark, sf_dir):
     assert len(by_content) < len(rows) and all(len(x) == 1 for x in by_content.values())
 
 
+def test_bundle_validate_counts_the_genomes_of_all_documents(spark, sf_dir):
+    report = files.bundle_validate(spark, sf_dir).first()
+    contents = fragments.source_contigs(spark, sf_dir).select("sequence").distinct().count()
+    assert (report.genomes, report.splits) == (contents, "genome,temporal") and contents > 100
+
+
 def _shift(root):
     p = root / "genome_holdout/test.truth.tsv.gz"
     lines = gzip.decompress(p.read_bytes()).decode().split("\n")

@@ -12,12 +12,14 @@ from pyspark.sql.window import Window
 
 from ..errors import InputError, require_empty
 from ..functions import dna, hashing
-from ..session import materialize
+from ..session import discard, materialize
 
 MAX_ATTEMPTS = 10_000
 FIRST_ATTEMPTS = 8
 #: Rounds in which contradictory fragments are drawn again; what is left then is for label_conflicts() to refuse.
 REDRAWS = 100
+#: Fragments to be drawn again, up to this many, go to the contigs; more of them and the contigs meet by shuffle.
+FEW = 100_000
 
 
 def length_preflight(contigs: DataFrame, lengths: list[int]) -> DataFrame:
@@ -52,18 +54,19 @@ def coordinate_space(contigs: DataFrame, lengths: list[int]) -> DataFrame:
     return fit.withColumn("hi", hi).withColumn("lo", F.col("hi") - F.col("starts"))
 
 
-def _drawn(wanted: DataFrame, space: DataFrame, contigs: DataFrame, seed: int, strand_mode: str) -> DataFrame:
-    """Coordinates and sequences for rows of (genome_id, fragment_length, local_index, attempt)."""
+def _drawn(wanted: DataFrame, space: DataFrame, contigs: DataFrame, seed: int, strand_mode: str, few: bool = False) -> DataFrame:
+    """Coordinates and sequences for rows of (genome_id, fragment_length, local_index, attempt); few: they are at most FEW times the attempts tried."""
+    sent = F.broadcast if few else lambda d: d
     on = ["genome_id", "fragment_length"]
     total = space.groupBy(*on).agg(F.max("hi").alias("total"), F.count("*").alias("contigs"))
     what = F.concat_ws("|", "genome_id", "fragment_length", "local_index", "attempt")
-    tickets = wanted.join(total, on).withColumn("ticket", hashing.draw(hashing.semantic_rank(seed, "coordinates", what)) % F.col("total"))
+    tickets = sent(wanted).join(total, on).withColumn("ticket", hashing.draw(hashing.semantic_rank(seed, "coordinates", what)) % F.col("total"))
     # A genome's axis has as many bins as contigs: a ticket meets the few contigs of its bin, not all of the genome.
     bin_of = lambda x: F.floor(x.cast("double") * F.col("contigs") / F.col("total")).cast("long")
     binned = space.join(total, on).withColumn("bin", F.explode(F.sequence(bin_of(F.col("lo")), bin_of(F.col("hi") - 1)))).drop("total", "contigs")
-    placed = tickets.withColumn("bin", bin_of(F.col("ticket"))).drop("contigs").join(binned, [*on, "bin"]).where("ticket >= lo and ticket < hi").drop("bin")
+    placed = sent(tickets.withColumn("bin", bin_of(F.col("ticket"))).drop("contigs")).join(binned, [*on, "bin"]).where("ticket >= lo and ticket < hi").drop("bin")
     placed = placed.withColumn("start", F.col("ticket") - F.col("lo")).withColumn("end", F.col("start") + F.col("fragment_length"))
-    joined = placed.join(contigs.select("genome_id", "sequence_id", "sequence"), ["genome_id", "sequence_id"])
+    joined = sent(placed).join(contigs.select("genome_id", "sequence_id", "sequence"), ["genome_id", "sequence_id"])
     forward = dna.slice_forward(F.col("sequence"), F.col("start").cast("int"), F.col("fragment_length").cast("int"))
     out = joined.withColumn("forward", forward).drop("sequence")
     strand = F.concat_ws("|", "genome_id", "fragment_length", "local_index")
@@ -71,14 +74,14 @@ def _drawn(wanted: DataFrame, space: DataFrame, contigs: DataFrame, seed: int, s
     return out.withColumn("strand", F.when(minus, "-").otherwise("+"))
 
 
-def _accepted(wanted: DataFrame, space: DataFrame, contigs: DataFrame, seed: int, strand_mode: str, max_ambiguous: float) -> DataFrame:
+def _accepted(wanted: DataFrame, space: DataFrame, contigs: DataFrame, seed: int, strand_mode: str, max_ambiguous: float, few: bool = False) -> DataFrame:
     """For rows of (genome_id, fragment_length, local_index, first) the first draw, from attempt ``first`` on, that is clear enough.
 
     A few attempts are tried at once, and only what none of them satisfied is
     tried again with more, up to MAX_ATTEMPTS.
     """
     if max_ambiguous >= 1:
-        return _drawn(wanted.withColumnRenamed("first", "attempt"), space, contigs, seed, strand_mode)
+        return _drawn(wanted.withColumnRenamed("first", "attempt"), space, contigs, seed, strand_mode, few)
     keys = ["genome_id", "fragment_length", "local_index"]
     fine = dna.ambiguous_fraction(F.col("forward")) <= max_ambiguous
     accepted, tried, size = None, 0, FIRST_ATTEMPTS
@@ -123,8 +126,12 @@ def sample_fragments(
     keys = ["genome_id", "fragment_length", "local_index"]
     ident = hashing.semantic_rank(seed, "fragment-id", F.concat_ws("|", "genome_id", "sequence_id", "fragment_length", "local_index", "start", "strand"))
 
-    def drawn(wanted: DataFrame) -> DataFrame:
-        return _accepted(wanted, space, contigs, seed, strand_mode, max_ambiguous).join(labels, "genome_id").select(
+    if contradictions == "redraw":
+        space, labels = materialize(space, "space"), materialize(labels, "labels")
+
+    def drawn(wanted: DataFrame, few: bool = False) -> DataFrame:
+        found = _accepted(wanted, space, contigs, seed, strand_mode, max_ambiguous, few)
+        return (F.broadcast(found) if few else found).join(labels, "genome_id").select(
             F.concat(F.lit("frag-"), F.substring(ident, 1, 32)).alias("fragment_id"),
             F.when(F.col("strand") == "-", dna.reverse_complement(F.col("forward"))).otherwise(F.col("forward")).alias("sequence"),
             "label",
@@ -140,14 +147,19 @@ def sample_fragments(
         )
 
     library = drawn(wanted.withColumn("first", F.lit(0)))
-    for _ in range(REDRAWS if contradictions == "redraw" else 0):
+    if contradictions != "redraw":
+        return library.drop("attempt")
+    library, spent = library.withColumn("digest", _content()), []
+    for _ in range(REDRAWS):
         library = materialize(library, "drawn")
-        content = library.select(*keys, "attempt", _content().alias("digest"))
-        again = materialize(content.join(label_conflicts(library), "digest", "left_semi").select(*keys, (F.col("attempt") + 1).alias("first")), "again")
-        if again.isEmpty():
+        discard(*spent)
+        again = materialize(library.join(_of_both_labels(library), "digest", "left_semi").select(*keys, (F.col("attempt") + 1).alias("first")), "again")
+        n = again.count()
+        if not n:
             break
-        library = library.join(again, keys, "left_anti").unionByName(drawn(again))
-    return library.drop("attempt")
+        few, spent = n <= FEW, [library, again]
+        library = library.join(F.broadcast(again) if few else again, keys, "left_anti").unionByName(drawn(again, few).withColumn("digest", _content()))
+    return library.drop("attempt", "digest")
 
 
 #: A genome's place among all is by ranges of ids; this many, so that no task ranks all genomes.
@@ -175,10 +187,15 @@ def _content() -> Column:
     return hashing.sequence_digest(dna.canonical(F.col("sequence")), False)
 
 
+def _of_both_labels(fragments: DataFrame) -> DataFrame:
+    """(digest, n_fragments) of fragments with digest, where it occurs under both labels."""
+    both = fragments.groupBy("digest").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("n_fragments"))
+    return both.where("a <> b").select("digest", "n_fragments")
+
+
 def label_conflicts(fragments: DataFrame) -> DataFrame:
     """Canonical fragment contents that occur under both labels."""
-    both = fragments.groupBy(_content().alias("digest")).agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("n_fragments"))
-    return both.where("a <> b").select("digest", "n_fragments")
+    return _of_both_labels(fragments.select("label", _content().alias("digest")))
 
 
 def random_split(fragments: DataFrame, test_fraction: float, seed: int) -> DataFrame:

@@ -16,7 +16,7 @@ from ..config import DIRECTORIES, BenchmarkConfig
 from ..errors import InputError, IntegrityError, require_empty
 from ..functions import hashing, text
 from ..operators import audit, catalog, sampling, similarity, stats
-from ..session import materialize
+from ..session import discard, materialize
 from ..sources import fasta, tables
 from . import protocols
 
@@ -65,9 +65,8 @@ def load_contigs(spark: SparkSession, config: BenchmarkConfig) -> DataFrame:
         parts.append(fasta.read(spark, list(paths)).withColumn("channel", F.lit(label)))
     records = parts[0].unionByName(parts[1])
     require_empty(catalog.duplicate_keys(records, "sequence_id"), "sequence identifiers repeat across inputs")
-    digests = spark.read.format("binaryFile").load([p for ps in (config.virus_paths, config.host_paths) for p in fasta.discover(list(ps))])
-    ids = digests.select(F.regexp_replace("path", "^file:", "").alias("source_path"), F.concat(F.lit("sha256:"), F.sha2("content", 256)).alias("source_input_id"))
-    records = records.join(ids, "source_path", "left")
+    digests = [(p, "sha256:" + sinks.file_sha256(Path(p))) for ps in (config.virus_paths, config.host_paths) for p in fasta.discover(list(ps))]
+    records = records.join(F.broadcast(spark.createDataFrame(digests, "source_path string, source_input_id string")), "source_path", "left")
     if config.metadata_path is None:
         many = records.groupBy("source_path").agg(F.count("*").alias("n")).where("n > 1")
         require_empty(many, "files of several records need metadata")
@@ -132,7 +131,9 @@ def build_catalog(contigs: DataFrame, duplicate_policy: str = "error") -> Catalo
     few = [r["label"] for r in kept.groupBy("label").count().where("count >= 2").collect()]
     if len(few) < 2:
         raise InputError("each class needs two distinct genomes")
-    return Catalog(materialize(contigs.join(kept.select("genome_id"), "genome_id", "left_semi"), "kept-contigs"), kept, exclusions)
+    own = materialize(contigs.join(kept.select("genome_id"), "genome_id", "left_semi"), "kept-contigs")
+    discard(contigs)
+    return Catalog(own, kept, exclusions)
 
 
 def plan_split(kind: str, cat: Catalog, config: BenchmarkConfig, spark: SparkSession) -> Split:
@@ -282,10 +283,10 @@ def _report(summary: dict) -> str:
     return f"# Benchmark\n\n| split | train | test | excluded genomes |\n|---|---|---|---|\n{rows}\n"
 
 
-def generate(spark: SparkSession, config: BenchmarkConfig, dry_run: bool = False) -> dict:
+def generate(spark: SparkSession, config: BenchmarkConfig, dry_run: bool = False, validate: bool = True) -> dict:
     """Write the bundle, validate it where it was staged, and publish it; returns counts.
 
-    With dry_run only the plans are made.
+    With dry_run only the plans are made; validate=False is for callers that validate what was published.
     """
     target = sinks.safe_target(Path(config.output_dir))
     if target.exists() and not config.overwrite:
@@ -302,7 +303,8 @@ def generate(spark: SparkSession, config: BenchmarkConfig, dry_run: bool = False
             sinks.write(staging / DIRECTORIES["similarity"] / "external-similarity.tsv", [Path(config.similarity_table).read_bytes()])
         sinks.write_checksums(staging)
         sinks.write(staging / sinks.EXECUTION, [sinks.json_bytes({"started": started, "finished": datetime.datetime.now(datetime.UTC).isoformat()})])
-        from .validate import validate_bundle
+        if validate:
+            from .validate import validate_bundle
 
-        validate_bundle(spark, staging)
+            validate_bundle(spark, staging)
     return json.loads((target / "manifest.json").read_text())

@@ -10,10 +10,12 @@ import json
 import os
 import shutil
 import tempfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
+from itertools import islice
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .errors import IntegrityError, InputError
@@ -21,6 +23,10 @@ from .errors import IntegrityError, InputError
 WIDTH = 80
 CHECKSUMS, MARKER, EXECUTION = "checksums.sha256", ".splitbench-bundle", "execution.json"
 LAYOUT = "urn:splitbench:bundle:1"
+#: Of gzip. At 9 it takes 40 times as long for four-letter text, to save 8 % of the bytes.
+GZIP_LEVEL = 4
+#: Bytes of a file that executors hand to the driver at once, but for one row.
+PART_BYTES = 1 << 20
 
 
 def cell(value) -> str:
@@ -49,22 +55,54 @@ def tsv_lines(rows: Iterable, columns: list[str]) -> Iterator[bytes]:
         yield buffer.getvalue().encode()
 
 
+def _columns(batch: pa.RecordBatch) -> Iterator[dict]:
+    """The rows of a batch as cell() takes them: maps are dictionaries."""
+    names = batch.schema.names
+    values = [c.to_pylist(maps_as_pydicts="strict") if pa.types.is_map(c.type) else c.to_pylist() for c in batch.columns]
+    return (dict(zip(names, row)) for row in zip(*values))
+
+
+def _formatted(df: DataFrame, lines: Callable[[Iterator[dict]], Iterator[bytes]]) -> Iterator[bytes]:
+    """An ordered DataFrame as bytes: executors write the lines, the driver takes one partition at a time."""
+
+    def formatted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = lambda held: pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], ["part"])
+        for batch in batches:
+            held, size = [], 0
+            for line in lines(_columns(batch)):
+                held.append(line)
+                size += len(line)
+                if size >= PART_BYTES:
+                    yield pack(held)
+                    held, size = [], 0
+            if held:
+                yield pack(held)
+
+    for row in df.mapInArrow(formatted, "part binary").toLocalIterator():
+        yield bytes(row["part"])
+
+
 def tsv(df: DataFrame, columns: list[str] | None = None) -> Iterator[bytes]:
-    """An ordered DataFrame as TSV, one partition at a time on the driver."""
+    """An ordered DataFrame as TSV."""
     columns = columns or df.columns
     if unknown := [c for c in columns if c not in df.columns]:
         raise InputError(f"no such columns: {', '.join(unknown)}")
-    return tsv_lines(df.select(*columns).toLocalIterator(), columns)
+    yield next(tsv_lines([], columns))
+    yield from _formatted(df.select(*columns), lambda rows: islice(tsv_lines(rows, columns), 1, None))
 
 
-def fasta(df: DataFrame) -> Iterator[bytes]:
-    """An ordered DataFrame of sequence_id and sequence as FASTA; headers are the identifiers alone."""
-    for row in df.select("sequence_id", "sequence").toLocalIterator():
+def _records(rows: Iterable[dict]) -> Iterator[bytes]:
+    for row in rows:
         s = row["sequence"]
         lines = [s[i : i + WIDTH] for i in range(0, len(s), WIDTH)]
         yield (f">{row['sequence_id']}\n" + "\n".join(lines) + "\n").encode()
 
 
+def fasta(df: DataFrame) -> Iterator[bytes]:
+    """An ordered DataFrame of sequence_id and sequence as FASTA; headers are the identifiers alone."""
+    return _formatted(df.select("sequence_id", "sequence"), _records)
+
+
 def json_bytes(value) -> bytes:
     return (json.dumps(value, indent=2, sort_keys=True, allow_nan=False, default=str) + "\n").encode()
 
@@ -74,7 +112,7 @@ def write(path: Path, parts: Iterable[bytes]) -> str:
     path.parent.mkdir(parents=True, exist_ok=True)
     temporary = path.with_name(path.name + ".part")
     with open(temporary, "wb") as raw:
-        out = gzip.GzipFile(filename="", mode="wb", fileobj=raw, mtime=0) if path.suffix == ".gz" else raw
+        out = gzip.GzipFile(filename="", mode="wb", compresslevel=GZIP_LEVEL, fileobj=raw, mtime=0) if path.suffix == ".gz" else raw
         for part in parts:
             out.write(part)
         if out is not raw:
@@ -90,6 +128,15 @@ def file_sha256(path: Path) -> str:
         return hashlib.file_digest(file, "sha256").hexdigest()
 
 
+def content_sha256(path: Path) -> str:
+    """The digest of what a file holds, unpacked a piece at a time if it is gzipped."""
+    with gzip.open(path) if path.suffix == ".gz" else open(path, "rb") as file:
+        h = hashlib.sha256()
+        while piece := file.read(PART_BYTES):
+            h.update(piece)
+    return h.hexdigest()
+
+
 def inventory(root: Path) -> list[str]:
     """All files of a bundle but the checksums and the execution record; symbolic links are refused."""
     out = []

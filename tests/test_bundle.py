@@ -1,14 +1,15 @@
 import gzip
+import hashlib
 import json
 import random
 import shutil
 
 import pytest
 
-from splitbench import cli, sinks
+from splitbench import cli, session, sinks
 from splitbench.config import BenchmarkConfig, SimilarityBands, parse_splits
 from splitbench.errors import ConfigurationError, InputError, IntegrityError
-from splitbench.plans import benchmark
+from splitbench.plans import benchmark, validate
 from splitbench.plans.validate import validate_bundle
 from splitbench.queries import files, fragments
 from splitbench.sources import fasta, tables
@@ -119,6 +120,34 @@ def test_bundle_validate_counts_the_genomes_of_all_documents(spark, sf_dir):
     assert (report.genomes, report.splits) == (contents, "genome,temporal") and contents > 100
 
 
+def test_bundle_validate_validates_once_and_leaves_nothing_behind(spark, sf_dir, monkeypatch, tmp_path):
+    for module in (session, files):
+        monkeypatch.setattr(module, "shared_folder", lambda spark: str(tmp_path))
+    calls = []
+    monkeypatch.setattr(files, "validate_bundle", lambda *a: calls.append(validate_bundle(*a)) or calls[-1])
+    monkeypatch.setattr(validate, "validate_bundle", lambda *a: pytest.fail("validated twice"))
+    report = files.bundle_validate(spark, sf_dir).first()
+    assert len(calls) == 1 and report.genomes == calls[0]["genomes"] == 183
+    assert not [p for p in tmp_path.rglob("*") if p.is_file()]
+
+
+def test_files_are_formatted_as_rows_are(spark, tmp_path):
+    rows = spark.sql("""select * from values
+        ('a"b', 1, 0.1D, true, date'2020-01-02', map('z', '1', 'b', null), array('x', null), repeat('ACGT', 41)),
+        ('t\tc', null, 1e-7D, false, null, map(), null, ''), (null, 3, null, null, null, null, array(), 'é') as t(sequence_id, n, x, b, d, m, a, sequence)""").orderBy("sequence")
+    want = list(sinks.tsv_lines(rows.collect(), rows.columns))
+    assert b"".join(sinks.tsv(rows)) == b"".join(want) and len(want) == 4
+    assert b"".join(sinks.tsv(rows.where("n = 9"))) == want[0]
+    long = spark.range(40).selectExpr("concat('s', id) as sequence_id", "repeat('ACGT', 20000 + int(id)) as sequence").orderBy("sequence_id")
+    text = b"".join(parts := list(sinks.fasta(long)))
+    assert 1 < len(parts) < 40 and max(map(len, parts)) < sinks.PART_BYTES + 100_000
+    body = {r.split("\n", 1)[0]: r.split("\n", 1)[1] for r in text.decode().split(">")[1:]}
+    assert list(body) == sorted(body) and {k: v.replace("\n", "") for k, v in body.items()} == {r.sequence_id: r.sequence for r in long.collect()}
+    assert all(len(x) == sinks.WIDTH for v in body.values() for x in v.split("\n")[:-2])
+    digest = sinks.write(tmp_path / "x.fa.gz", parts)
+    assert digest != sinks.content_sha256(tmp_path / "x.fa.gz") == hashlib.sha256(text).hexdigest()
+
+
 def _shift(root):
     p = root / "genome_holdout/test.truth.tsv.gz"
     lines = gzip.decompress(p.read_bytes()).decode().split("\n")

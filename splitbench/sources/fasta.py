@@ -40,25 +40,30 @@ def discover(paths: list[str]) -> list[str]:
 
 
 def parse(path: str, content: bytes) -> Iterator[tuple]:
-    """Records of a file, or a row whose error says what is wrong and where; the text is unpacked and read line by line."""
+    """Records of a file, or a row whose error says what is wrong and where; the text is unpacked and read line by line.
+
+    The fault of a record without a sequence names the record; its sequence is
+    empty, or null if no line follows the header.
+    """
     fault = lambda line, what: (path, line, None, None, None, f"{path}:{line}: {what}")
     raw = io.BytesIO(content)
     lines = io.TextIOWrapper(gzip.GzipFile(fileobj=raw) if path.lower().endswith(".gz") else raw, "utf-8", newline="\n")
-    head, parts, at, number = None, [], 0, 0
+    head, parts, at, number, follows = None, [], 0, 0, False
 
     def record():
-        return (path, at, *head, "".join(parts), None) if parts else fault(at, f"record {head[0]} has no sequence")
+        return (path, at, *head, "".join(parts), None) if parts else (path, at, *head, "" if follows else None, f"{path}:{at}: record {head[0]} has no sequence")
 
     try:
         for number, line in enumerate(lines, 1):
             line = line.rstrip("\r\n")
             if not line.strip():
+                follows = True
                 continue
             if line[0] == ">":
                 if head:
                     yield record()
                 ident, _, description = line[1:].strip().partition(" ")
-                head, parts, at = (ident, description.strip()), [], number
+                head, parts, at, follows = (ident, description.strip()), [], number, False
                 if not ident:
                     yield fault(number, "a header has no identifier")
                     return

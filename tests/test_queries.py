@@ -48,6 +48,18 @@ def test_metadata_audit_reports_documents_of_all_languages(spark, sf_dir):
     assert rows == {(i, "missing_metadata") for i in docs - labels} | {(i, "unused_metadata") for i in {*labels, -1} - docs}
 
 
+def test_fasta_scan_of_odd_documents(spark, tmp_path):
+    """Contigs without a letter, without text, and of odd or no sources."""
+    texts = ["An odd text", "12 %!", "", None, "a", "ab", "日本", "x"]
+    sources = ["src1", "src2", None, "src4", None, "", " a  b\n>c%20+ ", "src8"]
+    rows = [(i, t, "en", s) for i, (t, s) in enumerate(zip(texts, sources))]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {tuple(r) for r in QUERIES["fasta_scan"](spark, str(tmp_path)).select("sequence_id", "description", "sha256").collect()}
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == set(con.sql(f"SELECT sequence_id, description, sha256 FROM ({ORACLES['fasta_scan']})").fetchall()) and len(got) == 8
+
+
 def test_entry(spark):
     df = entry.entry(spark)
     assert df.count() > 0 and set(entry.oracle_sql()) <= set(entry.queries())

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from splitbench.errors import ConfigurationError, InputError, IntegrityError
 from splitbench.operators import audit, catalog, intervals, sampling, similarity, stats
 from splitbench.plans import benchmark, protocols
+from splitbench.sources import adapters
 
 D = datetime.date
 
@@ -211,3 +212,23 @@ def test_plan_violations(spark):
     assert rows(audit.plan_violations(a), "check", "key") == [("assigned_twice", "a"), ("group_on_both_sides", "g"), ("label_missing_on_a_side", "host")]
     with pytest.raises(IntegrityError):
         benchmark._checked(benchmark.Split("genome", a))
+
+
+@pytest.mark.parametrize("k", [1, 2, 7, 8, 21, 31])
+def test_kmer_counts_are_those_of_the_kmers(spark, monkeypatch, k):
+    """Also for genomes of several rows, without an identifier, with ambiguous letters, and longer than what is counted at once."""
+    monkeypatch.setattr(similarity, "LONG", 500)
+    monkeypatch.setattr(similarity, "AT_ONCE", 300)
+    r = random.Random(k)
+    text = lambda n: "".join(r.choices("ACGT" * 30 + "N", k=n))
+    repeat = text(97)
+    rows = [("a", text(400)), ("b", repeat * 3), ("b", repeat), ("b", text(40)), (None, text(60)), (None, repeat), ("c", repeat * 20), ("d", "ACG"), ("e", "N" * 50), ("f", ""), ("g", None), ("h", "T" * 40)]
+    df = spark.createDataFrame(rows, "genome_id string, sequence string")
+    want = similarity.canonical_kmers(df, k).groupBy("genome_id").agg(F.count("*").alias("n"), F.count_distinct("kmer").alias("n_distinct"), F.min("kmer").alias("first"))
+    assert sorted(map(str, similarity.kmer_counts(df, k).collect())) == sorted(map(str, want.collect()))
+
+
+def test_kmers_are_not_shuffled(spark, sf_dir):
+    """Of genomes in one row no k-mer becomes a row."""
+    c = adapters.contigs_from_documents(spark, sf_dir).select("genome_id", "sequence")
+    assert "explode" not in similarity.kmer_counts(c, 21)._jdf.queryExecution().toString()

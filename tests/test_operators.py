@@ -232,3 +232,38 @@ def test_kmers_are_not_shuffled(spark, sf_dir):
     """Of genomes in one row no k-mer becomes a row."""
     c = adapters.contigs_from_documents(spark, sf_dir).select("genome_id", "sequence")
     assert "explode" not in similarity.kmer_counts(c, 21)._jdf.queryExecution().toString()
+
+
+def related(seed, n, length=160):
+    """Sequences of shared words, some of them copies, some too short for a k-mer, some long."""
+    r = random.Random(seed)
+    words = ["".join(r.choices("ACGT", k=12)) for _ in range(30)]
+    texts = ["".join(r.choices(words, k=r.randrange(1, length // 12))) for _ in range(n)]
+    return [(f"g{i}", r.choice(texts[: i + 1]) if i % 3 == 0 else t[:3] if i % 17 == 5 else t) for i, t in enumerate(texts)]
+
+
+@pytest.mark.parametrize("k,size", [(2, 8), (5, 10), (11, 40), (11, 400)])
+def test_sketch_hits_are_the_nearest_of_all_pairs(spark, monkeypatch, k, size):
+    """In several blocks of either side, and with ties at an identity of 0; no pair becomes a row."""
+    monkeypatch.setattr(similarity, "BLOCK", 300)
+    df = spark.createDataFrame(related(k, 90), "genome_id string, sequence string")
+    sketched = similarity.sketches(df, k, size)
+    test = F.crc32("genome_id") % 3 == 0
+    proposal = df.select("genome_id", F.when(test, "test").otherwise("train").alias("candidate_partition"))
+    hits = protocols.sketch_hits(proposal, sketched, k, size, 0.95)
+    q, r = sketched.where(test).withColumnRenamed("genome_id", "query_id"), sketched.where(~test).withColumnRenamed("genome_id", "reference_id")
+    want = similarity.nearest(similarity.pairwise(q, r, k, size), q)
+    assert rows(hits, "genome_id", "nearest_train_genome_id", "max_train_similarity") == rows(want, "query_id", "nearest_id", "max_similarity")
+    plan = hits._jdf.queryExecution().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "posexplode" not in plan
+
+
+@pytest.mark.parametrize("k,size", [(1, 3), (11, 20), (31, 500)])
+def test_sketches_by_row_are_those_of_merged_stretches(spark, monkeypatch, k, size):
+    monkeypatch.setattr(similarity, "LONG", 900)
+    some = [*related(k, 40), ("long", dna(1, 5000)), ("unclear", dna(2, 90) + "N" + dna(3, 90)), ("none", None), (None, dna(4)), ("g1", dna(5)), ("n", "N" * 60)]
+    df = spark.createDataFrame(some, "genome_id string, sequence string")
+    got, want = similarity.sketches(df, k, size), similarity._sketch_columns(similarity._merged_parts(df, k, size, "genome_id", "sequence"), size, "genome_id")
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.select(*got.columns).collect()))
+    once = similarity.sketches(df.where("genome_id <> 'g1'"), k, size)
+    assert "MapInArrow" in once._jdf.queryExecution().toString()

@@ -1,5 +1,7 @@
 """Every registered query with SQL gives the SQL's rows."""
 
+from pathlib import Path
+
 import duckdb
 import pytest
 
@@ -63,3 +65,11 @@ def test_fasta_scan_of_odd_documents(spark, tmp_path):
 def test_entry(spark):
     df = entry.entry(spark)
     assert df.count() > 0 and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_similarity_recheck_keeps_no_sketches_and_lists_no_pairs(spark, sf_dir):
+    root = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = {p.name for p in root.iterdir()}
+    plan = QUERIES["similarity_recheck"](spark, sf_dir)._jdf.queryExecution().toString()
+    assert not [p.name for p in root.iterdir() if p.name.startswith("sketches-") and p.name not in before]
+    assert "FlatMapCoGroupsInArrow" in plan and "posexplode" not in plan

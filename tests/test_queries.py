@@ -6,6 +6,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from splitbench.config import BenchmarkConfig
+from splitbench.plans import protocols
 from splitbench.registry import ORACLES, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -73,3 +75,11 @@ def test_similarity_recheck_keeps_no_sketches_and_lists_no_pairs(spark, sf_dir):
     plan = QUERIES["similarity_recheck"](spark, sf_dir)._jdf.queryExecution().toString()
     assert not [p.name for p in root.iterdir() if p.name.startswith("sketches-") and p.name not in before]
     assert "FlatMapCoGroupsInArrow" in plan and "posexplode" not in plan
+
+
+def test_similarity_recheck_uses_sketches_of_the_default_size(spark, sf_dir, monkeypatch):
+    given, hits = [], protocols.sketch_hits
+    monkeypatch.setattr(protocols, "sketch_hits", lambda *a: given.append(a[2:4]) or hits(*a))
+    QUERIES["similarity_recheck"](spark, sf_dir)
+    assert given == [(BenchmarkConfig.similarity_k, BenchmarkConfig.sketch_size)] == [(21, 2_000)]
+    assert "[1:2000]" in ORACLES["similarity_recheck"] and "[1:100]" not in ORACLES["similarity_recheck"]
